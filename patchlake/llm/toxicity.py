@@ -88,7 +88,7 @@ def ngram_label_counts(labelled: DataFrame) -> DataFrame:
     return parts.groupBy("bucket").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
-def fit_logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, weight: np.ndarray, l2: float = 1e-3, rounds: int = 200) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, weight: np.ndarray, l2: float = 3e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Weights on presence (ratio times coefficient) and the bias, by accelerated gradient steps."""
     lengths = np.array([len(r) for r in rows])
     idx = np.concatenate(rows).astype(np.int64) if lengths.sum() else np.zeros(0, np.int64)
@@ -110,7 +110,7 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, weigh
     return v * ratio, b
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", features: int = 8192, max_fit_rows: int = 8000) -> Model:
+def fit(labelled: DataFrame, key: str = "doc_id", features: int = 4096, max_fit_rows: int = 8000) -> Model:
     """A model from rows (key, text, label 0 or 1).
 
     Counts and ratios cover all rows. The regression's weights are fitted on at most

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import language as lang
+from . import quality as qual
 from . import simhash
 from . import toxicity as tox
 from .common import table
@@ -24,11 +25,16 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang.language(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qual.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_toxicity": op2_toxicity,
         "op9_language": op9_language,
+        "op10_quality": op10_quality,
     }
 
 

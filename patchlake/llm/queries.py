@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import language as lang
-from . import mixing
+from . import mixing, packing
 from . import quality as qual
 from . import simhash
 from . import toxicity as tox
@@ -26,6 +27,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    length = F.expr("cast(octet_length(ids) / 4 as long)")
+    return pieces.select("doc_id", "start", length.alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_group")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang.language(table(spark, sf_dir, "documents"))
 
@@ -39,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_toxicity": op2_toxicity,
         "op3_mixing": op3_mixing,
+        "op6_packing": op6_packing,
         "op9_language": op9_language,
         "op10_quality": op10_quality,
     }

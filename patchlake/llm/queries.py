@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language as lang
-from . import mixing, packing
+from . import maxscore, mixing, packing
 from . import quality as qual
 from . import simhash
 from . import toxicity as tox
@@ -33,6 +33,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", length.alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_group")
 
 
+def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang.language(table(spark, sf_dir, "documents"))
 
@@ -41,16 +45,34 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qual.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+OP8_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as c
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, v.vec_id,
+         cast(list_sum(list_transform(range(1, least(len(q.c), len(v.c)) + 1), lambda i: q.c[i] * v.c[i])) as bigint) as score
+  from v as q join v on v.vec_id <> q.vec_id where q.vec_id % 100 = 0
+)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+where rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_toxicity": op2_toxicity,
         "op3_mixing": op3_mixing,
         "op6_packing": op6_packing,
+        "op8_maxscore": op8_maxscore,
         "op9_language": op9_language,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_maxscore": OP8_SQL}

@@ -12,7 +12,8 @@ from . import maxscore, mixing, packing
 from . import quality as qual
 from . import simhash
 from . import toxicity as tox
-from .common import table
+from . import warc
+from .common import fresh_path, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     length = F.expr("cast(octet_length(ids) / 4 as long)")
@@ -67,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_toxicity": op2_toxicity,
         "op3_mixing": op3_mixing,
+        "op4_warc": op4_warc,
         "op6_packing": op6_packing,
         "op8_maxscore": op8_maxscore,
         "op9_language": op9_language,

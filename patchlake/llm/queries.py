@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language as lang
+from . import html as pages_html
 from . import maxscore, mixing, packing
 from . import quality as qual
 from . import simhash
@@ -34,6 +35,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     length = F.expr("cast(octet_length(ids) / 4 as long)")
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_mixing": op3_mixing,
         "op4_warc": op4_warc,
+        "op5_html": op5_html,
         "op6_packing": op6_packing,
         "op8_maxscore": op8_maxscore,
         "op9_language": op9_language,

@@ -13,7 +13,7 @@ from . import maxscore, mixing, packing
 from . import quality as qual
 from . import simhash
 from . import toxicity as tox
-from . import warc
+from . import urlfilter, warc
 from .common import fresh_path, table
 
 
@@ -45,6 +45,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", length.alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_group")
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)))
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc": op4_warc,
         "op5_html": op5_html,
         "op6_packing": op6_packing,
+        "op7_urls": op7_urls,
         "op8_maxscore": op8_maxscore,
         "op9_language": op9_language,
         "op10_quality": op10_quality,

@@ -79,17 +79,8 @@ def threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return found.select("source", "budget", F.when(F.col("inside"), F.col("prefix")).otherwise(F.lit(1 << HASH_BITS)).alias("edge"), "below", F.when(F.col("inside"), F.col("own")).otherwise(0).alias("own"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, size, source_size, target, taken) for every row of ``docs``.
-
-    Each source takes all its documents as often as its target holds the source as a
-    whole, and once more those below a hash threshold for the rest. What the rest then
-    lacks is filled by a second, nested threshold over the documents above the first
-    that are no larger than the lack. A null text has size 0 and a null source is a
-    source of its own; rows with equal ids share their fate, so repeated rows and
-    null ids are taken or left together; an empty table gives an empty result; other
-    columns are ignored.
-    """
+def mixing_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, source, size, h) of ``docs`` and rows (s, source_size, target, whole, edge1, lack, edge2) of its sources."""
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     sized = written(sized.withColumn("h", place(F.col("doc_id"))), "mixing")
     goal = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "mixing")
@@ -105,5 +96,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     plan = goal.join(one, F.expr("source <=> s1")).join(two, F.expr("source <=> s2")).select(F.col("source").alias("s"), "source_size", "target", "whole", "edge1", "lack", "edge2")
     plan = written(plan, "mixing")
     extra = F.expr("h < edge1 or (size <= lack and h < edge2)")
+    return sized, plan
+
+
+#: How often a row (size, h) beside its source's row of the plan is taken.
+COPIES = "whole + cast((h < edge1 or (size <= lack and h < edge2)) as int)"
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, size, source_size, target, taken) for every row of ``docs``.
+
+    Each source takes all its documents as often as its target holds the source as a
+    whole, and once more those below a hash threshold for the rest. What the rest then
+    lacks is filled by a second, nested threshold over the documents above the first
+    that are no larger than the lack. A null text has size 0 and a null source is a
+    source of its own; rows with equal ids share their fate, so repeated rows and
+    null ids are taken or left together; an empty table gives an empty result; other
+    columns are ignored.
+    """
+    sized, plan = mixing_plan(docs, id_col, source_col, text_col)
     out = sized.join(plan, F.expr("source <=> s"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + extra.cast("int"))).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.expr(COPIES)).alias("taken"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, as often as the mix takes them."""
+    _, plan = mixing_plan(docs)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), place(F.col("doc_id").cast("long")).alias("h"))
+    taken = rows.join(plan, F.expr("source <=> s")).select("_row", F.expr(COPIES).cast("int").alias("n")).where("n > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), "n"))).select("_row.*")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .toxicity import BROADCAST_ROWS
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -189,6 +190,11 @@ def learn(labelled: DataFrame, key: str = "doc_id", label: str = "quality", max_
     return out
 
 
+def _sized(marks: DataFrame, labels: DataFrame) -> DataFrame:
+    """``marks`` for a broadcast if the label table has few enough rows."""
+    return F.broadcast(marks) if labels.count() <= BROADCAST_ROWS else marks
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
 
@@ -208,3 +214,15 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rules = learn(stats.where(~base_failed()).join(marks, "doc_id"))
     out = stats.withColumn("base_failed", base_failed()).withColumn("rule", F.when(~F.col("base_failed"), rules.column()))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that pass the base limits and the rules learnt from all labelled rows among them."""
+    marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_sized(marks, labels), "doc_id")
+    stats = written(text_statistics(known), "quality")
+    rules = learn(stats.where(~base_failed()))
+    whole = text_statistics(docs.select(F.struct(*docs.columns).alias("_row"), "text"))
+    # with a column that is not deterministic the filter stays above the statistics, which else were computed in it again and again
+    whole = whole.withColumn("_stay", F.monotonically_increasing_id())
+    return whole.where(~base_failed() & rules.column().isNull() & (F.col("_stay") >= 0)).select("_row.*")

@@ -240,3 +240,16 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
         return step
 
     return map_batches(docs.select("id", "text"), start, "id long, h binary")
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, all columns, without near-duplicates: of each group the document with the smallest id.
+
+    Repeated rows of one id stay once; rows with a null id name no document and stay.
+    """
+    groups = similar_groups(docs, **how)
+    gone = written(groups.where("doc_id <> group_id").select("doc_id"), "similar-gone")
+    again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "similar-again")
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    once = left.join(again, "doc_id", "left_anti").select(docs.columns)
+    return once.unionByName(left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))

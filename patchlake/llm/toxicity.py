@@ -197,3 +197,23 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     learn = with_labels(docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id", 3, 1)), labels, "toxic")
     out = score(docs, fit(learn))
     return out.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``threshold``; learns from all labelled rows.
+
+    Null and empty texts are kept unless the bias alone reaches the threshold;
+    repeated rows and null ids are judged like any other.
+    """
+    model = fit(with_labels(docs.where(F.col("doc_id").isNotNull()), labels, "toxic"))
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def start():
+        own = shared.value
+
+        def step(batch: pa.RecordBatch):
+            return batch.filter(pa.array([own.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        return step
+
+    return map_batches(docs, start, docs.schema)

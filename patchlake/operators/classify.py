@@ -110,41 +110,56 @@ def change_kind(facts: DataFrame) -> Column:
     )
 
 
-def risk(sensitive: Column | None = None) -> Column:
-    """Struct (level, tags, evidence) of a row of ``file_facts`` with ``classification``; a sensitive file is high whatever it is."""
+RISK_EVIDENCE = (
+    ("public_api", "API endpoint route or gRPC RPC method definition modified"),
+    ("public_api", "Public Controller action method signature modified"),
+    ("auth_security", "Authentication, authorization, or security sensitive logic modified"),
+    ("database_schema", "Database table or column structure altered"),
+    ("proto_contract", "gRPC protocol buffer contract file modified"),
+    ("secret_config", "Application configuration or secret property modified"),
+    ("dependency", "External dependency manifest or lockfile modified"),
+    ("concurrency_transaction", "Database transaction or thread concurrency sync primitive modified"),
+)
+
+
+def with_risk(facts: DataFrame, sensitive: Column | None = None) -> DataFrame:
+    """``file_facts`` with ``classification`` and now ``risk``, a struct (level, tags, evidence); a sensitive file is high whatever it is.
+
+    The rules are tested once into an array of flags; tags, evidence and level are read off it.
+    """
     path, text, ext, base = F.col("path"), F.col("text"), extname(F.col("path")), basename(F.col("path"))
     kind, functional = F.col("classification.kind"), F.col("classification.functional_change")
     has = lambda c, p: c.rlike("(?i)" + p)
-    routed = has(text, r"\[(HttpGet|HttpPost|HttpPut|HttpDelete|HttpPatch|Route)\b") | has(text, r"rpc\s+\w+\s*\(")
-    signature = has(text, r"public\s+async\s+Task<[^>]+>\s+\w+\s*\(") | has(text, r"public\s+\w+\s+\w+\s*\([^)]*\)")
-    surface = functional & (base.contains("Controller") | (ext == ".proto"))
-    api = F.when(surface, routed | signature).otherwise(False)
-    rules = [
-        (api, "public_api", F.when(routed, "API endpoint route or gRPC RPC method definition modified").otherwise("Public Controller action method signature modified")),
-        (has(text, r"\[Authorize\b|\[AllowAnonymous\]") | has(path, "jwt|token|bearer|claim|permission|rbac|identity") | has(text, "jwt|token|bearer|claim|permission|rbac|password|hash|encrypt|secret"), "auth_security", F.lit("Authentication, authorization, or security sensitive logic modified")),
-        ((kind == "database_migration") | has(text, r"migrationBuilder\.(CreateTable|DropTable|AddColumn|DropColumn|AlterColumn)|(CREATE|ALTER|DROP)\s+TABLE"), "database_schema", F.lit("Database table or column structure altered")),
-        (ext == ".proto", "proto_contract", F.lit("gRPC protocol buffer contract file modified")),
-        ((kind == "configuration") | (base == "appsettings.json") | base.endswith(".env") | has(text, "apiKey|ConnectionString|Password|Secret"), "secret_config", F.lit("Application configuration or secret property modified")),
-        (kind == "dependency_change", "dependency", F.lit("External dependency manifest or lockfile modified")),
-        (has(text, r"TransactionScope|BeginTransactionAsync|lock\s*\(|SemaphoreSlim|Monitor\."), "concurrency_transaction", F.lit("Database transaction or thread concurrency sync primitive modified")),
-    ]
-    sensitive = F.lit(False) if sensitive is None else sensitive
-    none = F.expr("cast(array() as array<string>)")
-    tags = F.when(functional, compact_tags([(c, name) for c, name, _ in rules])).otherwise(none)
-    evidence = F.when(functional, F.array_compact(F.array(*(F.when(c, why) for c, _, why in rules)))).otherwise(F.array(F.lit(NO_RISK)))
-    any_of = lambda *names: F.arrays_overlap(tags, F.array(*(F.lit(n) for n in names)))
+    routed = has(text, r"\[(HttpGet|HttpPost|HttpPut|HttpDelete|HttpPatch|Route)\b|rpc\s+\w+\s*\(")
+    signature = has(text, r"public\s+async\s+Task<[^>]+>\s+\w+\s*\(|public\s+\w+\s+\w+\s*\([^)]*\)")
+    surface = base.contains("Controller") | (ext == ".proto")
+    flags = F.array(
+        surface & routed,
+        surface & ~routed & signature,
+        has(text, r"\[Authorize\b|\[AllowAnonymous\]|jwt|token|bearer|claim|permission|rbac|password|hash|encrypt|secret") | has(path, "jwt|token|bearer|claim|permission|rbac|identity"),
+        (kind == "database_migration") | has(text, r"migrationBuilder\.(CreateTable|DropTable|AddColumn|DropColumn|AlterColumn)|(CREATE|ALTER|DROP)\s+TABLE"),
+        ext == ".proto",
+        (kind == "configuration") | (base == "appsettings.json") | base.endswith(".env") | has(text, "apiKey|ConnectionString|Password|Secret"),
+        kind == "dependency_change",
+        has(text, r"TransactionScope|BeginTransactionAsync|lock\s*\(|SemaphoreSlim|Monitor\."),
+    )
+    off = F.array(*(F.lit(False) for _ in RISK_EVIDENCE))
+    d = facts.withColumn("_r", F.when(functional, flags).otherwise(off)).withColumn("_s", F.lit(False) if sensitive is None else sensitive)
+    r = [F.get("_r", F.lit(i)) for i in range(len(RISK_EVIDENCE))]
+    tags = F.array_distinct(compact_tags([(c, name) for c, (name, _) in zip(r, RISK_EVIDENCE)]))
+    why = compact_tags([(c, text) for c, (_, text) in zip(r, RISK_EVIDENCE)] + [(~functional, NO_RISK)])
     level = first_match(
         [
-            (sensitive, F.lit("high")),
+            (F.col("_s"), F.lit("high")),
             (~functional, F.lit("none")),
-            (any_of("auth_security", "database_schema"), F.lit("high")),
-            (any_of("public_api", "secret_config", "concurrency_transaction"), F.lit("medium")),
-            ((F.size(tags) > 0) | (kind == "functional_logic"), F.lit("low")),
+            (r[2] | r[3], F.lit("high")),
+            (r[0] | r[1] | r[5] | r[7], F.lit("medium")),
+            (r[4] | r[6] | (kind == "functional_logic"), F.lit("low")),
         ],
         F.lit("none"),
     )
-    more = lambda c, x: F.when(sensitive, F.array_append(c, F.lit(x))).otherwise(c)
-    return F.struct(level.alias("level"), more(tags, "sensitive_configuration").alias("tags"), more(evidence, SENSITIVE_EVIDENCE).alias("evidence"))
+    more = lambda c, x: F.concat(c, compact_tags([(F.col("_s"), x)]))
+    return d.withColumn("risk", F.struct(level.alias("level"), more(tags, "sensitive_configuration").alias("tags"), more(why, SENSITIVE_EVIDENCE).alias("evidence"))).drop("_r", "_s")
 
 
 def module_of(path: Column) -> Column:

@@ -80,7 +80,7 @@ def analyze_files(stats: DataFrame, files: DataFrame, lines: DataFrame, path_mod
     shown = matched.select("pr", F.col("ord").alias("file_ord"), F.col("path").alias("original_path"), F.col("status").alias("index_status"), "lines_added", "lines_removed", F.col("old_path").alias("stat_old_path"))
     d = facts.join(shown, FILE)
     d = d.withColumn("sensitive", is_sensitive_file(F.col("original_path")))
-    d = d.withColumn("risk", classify.risk(F.col("sensitive")))
+    d = classify.with_risk(d, F.col("sensitive"))
     fid = file_id(F.col("file_ord"))
     return d.select(
         "pr", F.col("file_ord").alias("ord"), "diff_ord", fid.alias("id"), sanitize_path(F.col("original_path"), fid, path_mode).alias("path"),

@@ -34,32 +34,38 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """``tables[0]`` maps a word, ``tables[n]`` an n-gram, to its log frequencies in ``langs``."""
+    """``tables[0]`` maps a word, ``tables[n]`` an n-gram, to its row of log frequencies in ``langs``."""
 
     langs: list[str]
-    tables: dict[int, dict[str, np.ndarray]]
+    tables: dict[int, dict[str, int]]
+    logs: np.ndarray
     _at: dict[str, int] = field(default_factory=dict)
-    _rows: list[np.ndarray] = field(default_factory=list)
+    _rows: np.ndarray | None = None
 
     def word(self, word: str) -> np.ndarray:
         known = self.tables.get(0, {}).get(word)
         if known is not None:
-            return known
+            return self.logs[known]
         for n in ORDERS:
-            own = self.tables.get(n, {})
-            found = [own[g] for g in grams(word, n) if g in own]
+            own = self.tables.get(n, {}).get
+            found = [k for k in map(own, grams(word, n)) if k is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.logs[found].sum(0) / len(found)
         return np.zeros(len(self.langs))
 
     def _token(self, token: str) -> int:
-        if len(self._rows) >= _CACHE:
+        """The row of a token's summed words, remembered while there is room."""
+        if self._rows is None:
+            self._rows = np.zeros((1024, len(self.langs)))
+        if len(self._at) >= _CACHE:
             self._at.clear()
-            self._rows.clear()
+        at = len(self._at)
+        if at == len(self._rows):
+            self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
         words = _LETTERS.findall(token)
-        self._rows.append(np.sum([self.word(w) for w in words], axis=0) if words else np.zeros(len(self.langs)))
-        self._at[token] = len(self._rows) - 1
-        return self._at[token]
+        self._rows[at] = self.word(words[0]) if len(words) == 1 else sum((self.word(w) for w in words), np.zeros(len(self.langs)))
+        self._at[token] = at
+        return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its share among all; ``und`` and 0 for a text without letters or a model without languages."""
@@ -67,9 +73,15 @@ class Model:
             return UNKNOWN, 0.0
         total = np.zeros(len(self.langs))
         many = Counter(text.lower().split())
-        for token, times in many.items():
-            at = self._at.get(token)
-            total += times * self._rows[self._token(token) if at is None else at]
+        known = list(map(self._at.get, many))
+        rows = [k for k in known if k is not None]
+        if rows:
+            times = np.array([n for n, k in zip(many.values(), known) if k is not None], float)
+            total += times @ self._rows[rows]
+        for token, at in zip(many, known):
+            if at is None:
+                at = self._token(token)
+                total += many[token] * self._rows[at]
         share = np.exp(total - total.max())
         best = int(total.argmax())
         return self.langs[best], float(share[best] / share.sum())
@@ -118,7 +130,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", max_fit_rows: int = 4000, entr
     many = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     langs = sorted(many)
     if not langs:
-        return Model([], {})
+        return Model([], {}, np.zeros((0, 0)))
     limit = F.create_map(*(F.lit(x) for lang in langs for x in (lang, min(1_000_000, int(1e6 * max_fit_rows / many[lang])))))
     dice = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("fit")), F.lit(1_000_000))
     counts = written(_counts(labelled.where(dice < limit[F.col("lang")])), "language")
@@ -128,12 +140,13 @@ def fit(labelled: DataFrame, key: str = "doc_id", max_fit_rows: int = 4000, entr
         kinds_of[r["kind"]] = max(kinds_of.get(r["kind"], 0), r["d"])
     whole = counts.groupBy("kind", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
     top = reduce(DataFrame.unionByName, (whole.where((F.col("kind") == k) & (F.col("total") >= 2)).orderBy(F.desc("total"), "gram").limit(entries) for k in (0, *ORDERS)))
-    tables: dict[int, dict[str, np.ndarray]] = {}
+    tables: dict[int, dict[str, int]] = {}
+    logs = []
     for r in top.collect():
-        here = {x["lang"]: x["n"] for x in r["by"]}
-        k = r["kind"]
-        tables.setdefault(k, {})[r["gram"]] = np.array([np.log((here.get(x, 0) + 0.5) / (all_of.get((k, x), 0) + 0.5 * kinds_of[k])) for x in langs])
-    return Model(langs, tables)
+        here, k = {x["lang"]: x["n"] for x in r["by"]}, r["kind"]
+        tables.setdefault(k, {})[r["gram"]] = len(logs)
+        logs.append([np.log((here.get(x, 0) + 0.5) / (all_of.get((k, x), 0) + 0.5 * kinds_of[k])) for x in langs])
+    return Model(langs, tables, np.array(logs).reshape(-1, len(langs)))
 
 
 def language(docs: DataFrame) -> DataFrame:

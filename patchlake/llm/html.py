@@ -34,7 +34,7 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",), "option": ("select", "datalist")}
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>", re.S)
 _CLASS = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPLIT = re.compile(r"[-_\s]+")
 _DIGITS = re.compile(r"\d+")
@@ -162,9 +162,13 @@ class Page:
         flush()
 
     def path(self, element: int) -> str:
-        if element not in self._paths:
-            self._paths[element] = f"{self.path(self.parent[element])}>{self.label[element]}"
-        return self._paths[element]
+        chain = []
+        while element not in self._paths:
+            chain.append(element)
+            element = self.parent[element]
+        for e in reversed(chain):
+            self._paths[e] = f"{self._paths[self.parent[e]]}>{self.label[e]}"
+        return self._paths[chain[0] if chain else element]
 
     def best(self) -> tuple[str, float]:
         """The path of the container whose paragraphs hold most text besides links, and its score; no path without text."""

@@ -73,7 +73,7 @@ def _ends(rows: DataFrame, shard_bytes: int, most_shards: int = 4096, sample: in
         return []
     each = max(shard_bytes, -(-total // most_shards))
     share = max(1, -(-many // sample))
-    picked = rows.where(F.pmod(F.xxhash64("page_id"), F.lit(share)) == 0).groupBy("page_id").agg(F.sum("bytes").alias("bytes")).collect()
+    picked = rows.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(share)) == 0)).groupBy("page_id").agg(F.sum("bytes").alias("bytes")).collect()
     ends, held = [], 0
     for page, size in sorted((r["page_id"], r["bytes"]) for r in picked):
         held += size * share

@@ -64,7 +64,8 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; one bad line discards its whole file."""
-    d = spark.read.schema(f"{schema}, _corrupt_record string").json(path).withColumn("_file", F.input_file_name())
+    lines = spark.read.text(path).where("trim(value) <> ''").withColumn("_file", F.input_file_name())
+    d = lines.select("_file", F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("x")).select("_file", "x.*")
     bad = d.where("_corrupt_record is not null").select("_file").distinct()
     return d.join(bad, "_file", "left_anti").drop("_file", "_corrupt_record")
 

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and readable after executors are lost."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package where the driver runs outside its folder."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*known, root])
 
 
 def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None]], schema: str) -> DataFrame:
@@ -59,6 +68,7 @@ def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], It
         if end is not None:
             yield from end()
 
+    importable(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import importable
+
 #: Vectors in a shard and queries in a block.
 SHARD, BLOCK = 8192, 1024
 #: Share of a shard's vectors in a term's posting list.
@@ -157,6 +159,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     place = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     data = rows.select("vec_id", "v", place(shards, 1).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     asks = rows.where("asks").select("vec_id", "v", place(blocks, 2).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    importable(vectors.sparkSession)
     near = data.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInPandas(_search_block(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -93,5 +93,59 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP3_SQL = r"""
+with d as (
+  select doc_id, source, coalesce(cast(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as bigint), 0) as size,
+    coalesce(cast('0x' || substr(md5(cast(doc_id as varchar)), 1, 12) as bigint), 0) as h
+  from documents
+), n as (
+  select source, cast(sum(size) as bigint) as source_size, ([3.0, 1.0, 2.0])[cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as integer)]::double as w
+  from d group by source
+), c as (
+  select *, source_size * 2.0::double as cap, sum(source_size) over () * 1.5::double as whole_mix from n
+), l as (
+  select *, (whole_mix - coalesce(sum(cap) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0))
+    / sum(w) over (order by cap / w, source nulls last rows between current row and unbounded following) as level from c
+), o as (
+  select *, first_value(case when level * w <= cap then level end ignore nulls) over (order by cap / w, source nulls last rows between unbounded preceding and unbounded following) as top from l
+), t as (
+  select source, source_size, least(cap, coalesce(top * w, cap)) as target from o
+), g as (
+  select *, case when source_size > 0 then cast(floor(target / source_size + 1e-9) as bigint) else 0 end as whole from t
+), r as (
+  select *, greatest(target - whole * source_size, 0.0) as rest from g
+), c1 as (
+  select source, h, sum(own) over (partition by source order by h) - own as below, sum(own) over (partition by source order by h) as upto
+  from (select source, h, sum(size) as own from d group by source, h)
+), e1 as (
+  select r.source, min(c1.h) filter (c1.upto > r.rest) as edge, coalesce(arg_min(c1.below, c1.h) filter (c1.upto > r.rest), max(c1.upto)) as below
+  from r join c1 on r.source is not distinct from c1.source group by r.source
+), p1 as (
+  select r.*, coalesce(e1.edge, 281474976710656) as edge1, r.rest - e1.below as lack from r join e1 on r.source is not distinct from e1.source
+), c2 as (
+  select source, h, sum(own) over (partition by source order by h) - own as below, sum(own) over (partition by source order by h) as upto
+  from (select d.source, d.h, sum(d.size) as own from d join p1 on d.source is not distinct from p1.source where d.h >= p1.edge1 and d.size <= p1.lack and d.size > 0 group by d.source, d.h)
+), e2 as (
+  select p1.source, min(c2.h) filter (c2.upto > p1.lack) as edge, arg_min(case when c2.upto - p1.lack < p1.lack - c2.below then 1 else 0 end, c2.h) filter (c2.upto > p1.lack) as up
+  from p1 join c2 on p1.source is not distinct from c2.source group by p1.source
+), p2 as (
+  select p1.*, coalesce(e2.edge + e2.up, 281474976710656) as edge2 from p1 left join e2 on p1.source is not distinct from e2.source
+)
+select d.doc_id, d.size, p2.source_size, p2.target, cast(d.size * (p2.whole + case when d.h < p2.edge1 or (d.size <= p2.lack and d.h < p2.edge2) then 1 else 0 end) as bigint) as taken
+from d join p2 on d.source is not distinct from p2.source
+"""
+
+OP4_SQL = """
+with p as (
+  select page_id, cast(octet_length(encode(coalesce(html, ''))) as bigint) as payload_bytes, sha1(coalesce(html, '')) as hex,
+    min(page_id) over (partition by coalesce(html, '')) as first from pages
+)
+select page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + ((cast('0x' || substr(hex, 5 * (i // 4) + 1, 5) as bigint) >> (15 - 5 * (i % 4))) & 31) as integer), 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_maxscore": OP8_SQL}
+    return {"op3_mixing": OP3_SQL, "op4_warc": OP4_SQL, "op8_maxscore": OP8_SQL}

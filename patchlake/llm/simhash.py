@@ -94,34 +94,56 @@ def _masks(bits: int, ball: int) -> list[int]:
     return [sum(1 << b for b in at) for r in range(1, ball + 1) for at in combinations(range(bits), r)]
 
 
-def segment_matches(prints: DataFrame, node: str, segments: list[tuple[int, int, int]], ball: int, keep: Column) -> DataFrame:
-    """Pairs (a, b) of nodes that share a segment up to ``ball`` bits and satisfy ``keep`` on (x.f0, y.f0).
+def _segment_rows(prints: DataFrame, node: str, segments: list[tuple[int, int, int]], *more: str) -> DataFrame:
+    """Rows (id, f0, *more, s, v): every node's value v of every segment s."""
+    values = F.array(*(F.struct(F.lit(i).alias("s"), F.shiftrightunsigned(F.col(f"f{w}"), lo).bitwiseAND(F.lit((1 << n) - 1)).alias("v")) for i, (w, lo, n) in enumerate(segments)))
+    return prints.select(F.col(node).cast("long").alias("id"), "f0", *more, F.inline(values))
+
+
+def segment_pivots(prints: DataFrame, node: str, segments: list[tuple[int, int, int]], keep: Column) -> DataFrame:
+    """Pairs (a, b) of each node with three nodes of every bucket it is in: smallest, largest and smallest by hash.
+
+    As many pairs as the buckets have entries: in a large group of near copies, which
+    shares its buckets, these few find most of what holds the group together.
+    """
+    seg = _segment_rows(prints, node, segments)
+    at = F.struct("id", "f0")
+    pivots = seg.groupBy("s", "v").agg(F.min(at).alias("p0"), F.max(at).alias("p1"), F.min_by(at, F.xxhash64("id")).alias("p2"), F.count("*").alias("n")).where("n > 1")
+    pairs = seg.join(pivots, ["s", "v"]).select(F.col("id").alias("x"), F.col("f0").alias("h0"), F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("p"))
+    pairs = pairs.select("x", "h0", F.col("p.id").alias("y"), F.col("p.f0").alias("g0")).where((F.col("x") != F.col("y")) & keep)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def segment_matches(prints: DataFrame, node: str, segments: list[tuple[int, int, int]], ball: int, keep: Column, group: str | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes that share a segment up to ``ball`` bits and satisfy ``keep`` on (h0, g0); with ``group`` only pairs of different groups.
 
     ``prints`` has a distinct long ``node`` and the words f0, f1, ...; a segment is
     (word, lowest bit, bits). For a ball of one bit only the flips of unset bits are
     looked up: of two values that differ in one bit exactly one has it unset, so
     each pair is met once and half the probes suffice.
     """
-    values = F.array(*(F.struct(F.lit(i).alias("s"), F.shiftrightunsigned(F.col(f"f{w}"), lo).bitwiseAND(F.lit((1 << n) - 1)).alias("v")) for i, (w, lo, n) in enumerate(segments)))
     widest = max(n for _, _, n in segments)
     one = ball <= 1
-    seg = prints.select(F.col(node).cast("long").alias("id"), "f0", F.inline(values))
+    own_group = [group] if group else []
+    seg = _segment_rows(prints, node, segments, *own_group)
     key = lambda v: F.shiftleft(F.col("s").cast("long"), widest).bitwiseOR(v)
-    table = seg.select(key(F.col("v")).alias("k"), F.col("id").alias("y"), F.col("f0").alias("g0"))
-    same = seg.select(key(F.col("v")).alias("k"), F.col("id").alias("x"), F.col("f0").alias("h0"), F.lit(True).alias("same"))
+    table = seg.select(key(F.col("v")).alias("k"), F.col("id").alias("y"), F.col("f0").alias("g0"), *(F.col(g).alias("gy") for g in own_group))
+    same = seg.select(key(F.col("v")).alias("k"), F.col("id").alias("x"), F.col("f0").alias("h0"), F.lit(True).alias("same"), *(F.col(g).alias("gx") for g in own_group))
     probes = same
     if ball:
         sizes = {n: F.array(*(F.lit(m).cast("long") for m in _masks(n, ball))) for n in {n for _, _, n in segments}}
         flips = None
         for n, masks in sizes.items():
             own = [i for i, (_, _, b) in enumerate(segments) if b == n]
-            part = seg.where(F.col("s").isin(own)).select("id", "f0", "s", "v", F.explode(masks).alias("m"))
+            part = seg.where(F.col("s").isin(own)).select("id", "f0", *own_group, "s", "v", F.explode(masks).alias("m"))
             if one:
                 part = part.where(F.col("v").bitwiseAND(F.col("m")) == 0)
-            part = part.select(key(F.col("v").bitwiseXOR(F.col("m"))).alias("k"), F.col("id").alias("x"), F.col("f0").alias("h0"), F.lit(False).alias("same"))
+            part = part.select(key(F.col("v").bitwiseXOR(F.col("m"))).alias("k"), F.col("id").alias("x"), F.col("f0").alias("h0"), F.lit(False).alias("same"), *(F.col(g).alias("gx") for g in own_group))
             flips = part if flips is None else flips.unionByName(part)
         probes = same.unionByName(flips)
     order = F.col("x") < F.col("y")
+    if group:
+        keep = keep & (F.col("gx") != F.col("gy"))
     pairs = probes.join(table, (probes["k"] == table["k"]) & keep & ((~F.col("same")) & (F.col("x") != F.col("y")) | order))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -166,14 +188,16 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / union if union else 1.0
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, radius: int = 76) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, radius: int = 44) -> DataFrame:
     """Rows (id_col, group_id) for every distinct id: near-duplicate groups by word shingles.
 
     Candidates come from 256-bit SimHash fingerprints over three-word shingles,
     found by multi-index hashing (twelve segments of 20 bits, balls of one bit) and
     verified on the complete fingerprint (at most ``radius`` bits); a candidate
     becomes a link if the sets of ``width``-word shingles have a Jaccard similarity
-    of ``least`` or more. Texts with the same words are one node, whatever their
+    of ``least`` or more. A large group is not spelt out in pairs: links to a few
+    nodes of each bucket come first, and the complete look-up skips pairs that are
+    in one group already. Texts with the same words are one node, whatever their
     number. ``group_id`` is the smallest id of the group. Null and empty texts are
     one group of their own. Null ids are left out: they name no document.
     """
@@ -196,18 +220,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = named.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     prints = written(map_batches(source, start, "id long, words long, f0 long, f1 long, f2 long, f3 long"), "similar")
     nodes = written(prints.groupBy("words").agg(F.min("id").alias("node"), *(F.first(f"f{k}").alias(f"f{k}") for k in range(4))), "similar")
-    rough = F.expr("bit_count(h0 ^ g0) <= 24")
-    pairs = segment_matches(nodes, "node", SIMILAR_SEGMENTS, 1, rough)
+    rough = F.expr("bit_count(h0 ^ g0) <= 16")
     full = nodes.select("node", "f0", "f1", "f2", "f3")
     at_a = full.select(F.col("node").alias("a"), *(F.col(f"f{k}").alias(f"p{k}") for k in range(4)))
     at_b = full.select(F.col("node").alias("b"), *(F.col(f"f{k}").alias(f"q{k}") for k in range(4)))
     apart = "+".join(f"bit_count(p{k} ^ q{k})" for k in range(4))
-    pairs = written(pairs.join(at_a, "a").join(at_b, "b").where(F.expr(f"{apart} <= {radius}")).select("a", "b"), "similar")
-
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    asked = source.join(ends, "id", "left_semi").dropDuplicates(["id"])
-    sets = written(_shingle_sets(asked, width), "similar")
-    checked = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
 
     def verify():
         def step(batch: pa.RecordBatch):
@@ -219,8 +236,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return step
 
-    links = map_batches(checked.select("a", "b", "ha", "hb"), verify, "a long, b long")
-    roots = components(links)
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.join(at_a, "a").join(at_b, "b").where(F.expr(f"{apart} <= {radius}")).select("a", "b"), "similar")
+        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        asked = source.join(ends, "id", "left_semi").dropDuplicates(["id"])
+        sets = written(_shingle_sets(asked, width), "similar")
+        checked = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+        return written(map_batches(checked.select("a", "b", "ha", "hb"), verify, "a long, b long"), "similar")
+
+    # what a few pairs a bucket tie together needs no other link; the complete look-up is between the groups so found
+    first = links(segment_pivots(nodes, "node", SIMILAR_SEGMENTS, rough))
+    known = components(first).select("node", F.col("root").alias("g"))
+    grouped = written(nodes.join(known, "node", "left").withColumn("g", F.coalesce("g", "node")), "similar")
+    second = links(segment_matches(grouped, "node", SIMILAR_SEGMENTS, 1, rough, "g"))
+    roots = components(first.unionByName(second))
     named_nodes = prints.select("id", "words").join(nodes.select("words", "node"), "words")
     out = named_nodes.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("group_id"))
     return out.groupBy(F.col("id").alias(id_col)).agg(F.min("group_id").alias("group_id"))

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import components, map_batches, written
 
 SEED = 42
+#: Id lists of at most so many rows are broadcast (8 bytes each).
+BROADCAST_ROWS = 1_000_000
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BYTE_AT = np.arange(8) * 256
 _CHUNK = 1 << 16
@@ -238,7 +240,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs.join(at_a, "a").join(at_b, "b").where(F.expr(f"{apart} <= {radius}")).select("a", "b"), "similar")
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        ends = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "similar")
+        # a bounded list of ids is sent to the texts; a longer one meets them in a shuffle
+        ends = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
         asked = source.join(ends, "id", "left_semi").dropDuplicates(["id"])
         sets = written(_shingle_sets(asked, width), "similar")
         checked = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")

@@ -96,56 +96,34 @@ def _masks(bits: int, ball: int) -> list[int]:
     return [sum(1 << b for b in at) for r in range(1, ball + 1) for at in combinations(range(bits), r)]
 
 
-def _segment_rows(prints: DataFrame, node: str, segments: list[tuple[int, int, int]], *more: str) -> DataFrame:
-    """Rows (id, f0, *more, s, v): every node's value v of every segment s."""
-    values = F.array(*(F.struct(F.lit(i).alias("s"), F.shiftrightunsigned(F.col(f"f{w}"), lo).bitwiseAND(F.lit((1 << n) - 1)).alias("v")) for i, (w, lo, n) in enumerate(segments)))
-    return prints.select(F.col(node).cast("long").alias("id"), "f0", *more, F.inline(values))
-
-
-def segment_pivots(prints: DataFrame, node: str, segments: list[tuple[int, int, int]], keep: Column) -> DataFrame:
-    """Pairs (a, b) of each node with three nodes of every bucket it is in: smallest, largest and smallest by hash.
-
-    As many pairs as the buckets have entries: in a large group of near copies, which
-    shares its buckets, these few find most of what holds the group together.
-    """
-    seg = _segment_rows(prints, node, segments)
-    at = F.struct("id", "f0")
-    pivots = seg.groupBy("s", "v").agg(F.min(at).alias("p0"), F.max(at).alias("p1"), F.min_by(at, F.xxhash64("id")).alias("p2"), F.count("*").alias("n")).where("n > 1")
-    pairs = seg.join(pivots, ["s", "v"]).select(F.col("id").alias("x"), F.col("f0").alias("h0"), F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("p"))
-    pairs = pairs.select("x", "h0", F.col("p.id").alias("y"), F.col("p.f0").alias("g0")).where((F.col("x") != F.col("y")) & keep)
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def segment_matches(prints: DataFrame, node: str, segments: list[tuple[int, int, int]], ball: int, keep: Column, group: str | None = None) -> DataFrame:
-    """Pairs (a, b) of nodes that share a segment up to ``ball`` bits and satisfy ``keep`` on (h0, g0); with ``group`` only pairs of different groups.
+def segment_matches(prints: DataFrame, node: str, segments: list[tuple[int, int, int]], ball: int, keep: Column) -> DataFrame:
+    """Pairs (a, b) of nodes that share a segment up to ``ball`` bits and satisfy ``keep`` on (x.f0, y.f0).
 
     ``prints`` has a distinct long ``node`` and the words f0, f1, ...; a segment is
     (word, lowest bit, bits). For a ball of one bit only the flips of unset bits are
     looked up: of two values that differ in one bit exactly one has it unset, so
     each pair is met once and half the probes suffice.
     """
+    values = F.array(*(F.struct(F.lit(i).alias("s"), F.shiftrightunsigned(F.col(f"f{w}"), lo).bitwiseAND(F.lit((1 << n) - 1)).alias("v")) for i, (w, lo, n) in enumerate(segments)))
     widest = max(n for _, _, n in segments)
     one = ball <= 1
-    own_group = [group] if group else []
-    seg = _segment_rows(prints, node, segments, *own_group)
+    seg = prints.select(F.col(node).cast("long").alias("id"), "f0", F.inline(values))
     key = lambda v: F.shiftleft(F.col("s").cast("long"), widest).bitwiseOR(v)
-    table = seg.select(key(F.col("v")).alias("k"), F.col("id").alias("y"), F.col("f0").alias("g0"), *(F.col(g).alias("gy") for g in own_group))
-    same = seg.select(key(F.col("v")).alias("k"), F.col("id").alias("x"), F.col("f0").alias("h0"), F.lit(True).alias("same"), *(F.col(g).alias("gx") for g in own_group))
+    table = seg.select(key(F.col("v")).alias("k"), F.col("id").alias("y"), F.col("f0").alias("g0"))
+    same = seg.select(key(F.col("v")).alias("k"), F.col("id").alias("x"), F.col("f0").alias("h0"), F.lit(True).alias("same"))
     probes = same
     if ball:
         sizes = {n: F.array(*(F.lit(m).cast("long") for m in _masks(n, ball))) for n in {n for _, _, n in segments}}
         flips = None
         for n, masks in sizes.items():
             own = [i for i, (_, _, b) in enumerate(segments) if b == n]
-            part = seg.where(F.col("s").isin(own)).select("id", "f0", *own_group, "s", "v", F.explode(masks).alias("m"))
+            part = seg.where(F.col("s").isin(own)).select("id", "f0", "s", "v", F.explode(masks).alias("m"))
             if one:
                 part = part.where(F.col("v").bitwiseAND(F.col("m")) == 0)
-            part = part.select(key(F.col("v").bitwiseXOR(F.col("m"))).alias("k"), F.col("id").alias("x"), F.col("f0").alias("h0"), F.lit(False).alias("same"), *(F.col(g).alias("gx") for g in own_group))
+            part = part.select(key(F.col("v").bitwiseXOR(F.col("m"))).alias("k"), F.col("id").alias("x"), F.col("f0").alias("h0"), F.lit(False).alias("same"))
             flips = part if flips is None else flips.unionByName(part)
         probes = same.unionByName(flips)
     order = F.col("x") < F.col("y")
-    if group:
-        keep = keep & (F.col("gx") != F.col("gy"))
     pairs = probes.join(table, (probes["k"] == table["k"]) & keep & ((~F.col("same")) & (F.col("x") != F.col("y")) | order))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -180,8 +158,32 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(id_col, F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), F.coalesce("component_id", id_col).alias("component_id"))
 
 
-#: For similarity groups: twelve segments of 20 bits over 256, looked up with balls of one bit.
-SIMILAR_SEGMENTS = [(w, lo, 20) for w in range(4) for lo in (0, 20, 40)]
+#: For similarity groups: 256 minima of a text's distinct shingles under as many odd multipliers, of which
+#: 36 bands hold 7 each. Of pairs of similarity s, 1 - (1 - s^7)^36 share a band: 99.98 % at 0.8, more above.
+MINIMA, BANDS, BAND = 256, 36, 7
+_ODD = np.random.default_rng(SEED).integers(0, 2**64, MINIMA, np.uint64, endpoint=False) | np.uint64(1)
+_PLACE = np.random.default_rng(SEED + 1).integers(0, 2**64, (BANDS, BAND), np.uint64, endpoint=False) | np.uint64(1)
+_FOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Bits in which the sketches of a pair may differ, of all 256 and of the first 64. A bit differs with probability
+#: (1 - s) / 2, so at 0.8 they differ in 25.6 and 6.4 on average; these limits are some six deviations off.
+APART, ROUGH = 56, 20
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    parts = list(shingle_hashes(ascii_words(text), width))
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
+def min_hashes(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a set that is not empty the band keys and the sketch: one bit of every minimum, as four signed longs."""
+    low = np.full(MINIMA, 2**64 - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(shingles), 256):
+            np.minimum(low, np.multiply.outer(_ODD, shingles[at : at + 256]).min(axis=1), out=low)
+        keys = _mixed((low[: BANDS * BAND].reshape(BANDS, BAND) * _PLACE).sum(axis=1, dtype=np.uint64), 1)
+        bits = ((low ^ (low >> np.uint64(29))) * _FOLD) >> np.uint64(63)
+    return keys.view(np.int64), np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -190,39 +192,39 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / union if union else 1.0
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, radius: int = 44) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """Rows (id_col, group_id) for every distinct id: near-duplicate groups by word shingles.
 
-    Candidates come from 256-bit SimHash fingerprints over three-word shingles,
-    found by multi-index hashing (twelve segments of 20 bits, balls of one bit) and
-    verified on the complete fingerprint (at most ``radius`` bits); a candidate
-    becomes a link if the sets of ``width``-word shingles have a Jaccard similarity
-    of ``least`` or more. A large group is not spelt out in pairs: links to a few
-    nodes of each bucket come first, and the complete look-up skips pairs that are
-    in one group already. Texts with the same words are one node, whatever their
-    number. ``group_id`` is the smallest id of the group. Null and empty texts are
-    one group of their own. Null ids are left out: they name no document.
+    Candidates share one of the bands of minima over the sets of ``width``-word
+    shingles and have sketches that differ in few bits; a candidate becomes a link
+    if the sets themselves have a Jaccard similarity of ``least`` or more. Bands and
+    limits are laid out for 0.8 or more; see the figures beside them. A large group
+    is not spelt out in pairs: links to the smallest node of each bucket come first,
+    and the complete look-up skips pairs that are in one group already. Texts with
+    the same words are one node, whatever their number. ``group_id`` is the smallest
+    id of the group. Null and empty texts are one group of their own. Null ids are
+    left out: they name no document.
     """
-    from pyspark.sql import types as T
-
     named = docs.where(F.col(id_col).isNotNull())
+    none = np.empty(0, np.int64), np.zeros(4, np.int64)
 
     def start():
         def step(batch: pa.RecordBatch):
             texts = batch.column(1).to_pylist()
             same = [xxhash.xxh3_64_intdigest(b" ".join(ascii_words(t)), SEED) for t in texts]
-            prints = np.array([simhash(t, 3, 4) for t in texts], np.int64).reshape(-1, 4)
+            found = [min_hashes(h) if (h := shingle_set(t, width)).size else none for t in texts]
+            keys = pa.array([k for k, _ in found], pa.list_(pa.int64()))
+            prints = np.array([p for _, p in found], np.int64).reshape(-1, 4)
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(same, np.uint64).view(np.int64)), *(pa.array(prints[:, k]) for k in range(4))],
-                names=["id", "words", "f0", "f1", "f2", "f3"],
+                [batch.column(0), pa.array(np.array(same, np.uint64).view(np.int64)), keys, *(pa.array(prints[:, k]) for k in range(4))],
+                names=["id", "words", "bands", "f0", "f1", "f2", "f3"],
             )
 
         return step
 
     source = named.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = written(map_batches(source, start, "id long, words long, f0 long, f1 long, f2 long, f3 long"), "similar")
-    nodes = written(prints.groupBy("words").agg(F.min("id").alias("node"), *(F.first(f"f{k}").alias(f"f{k}") for k in range(4))), "similar")
-    rough = F.expr("bit_count(h0 ^ g0) <= 16")
+    prints = written(map_batches(source, start, "id long, words long, bands array<long>, f0 long, f1 long, f2 long, f3 long"), "similar")
+    nodes = written(prints.groupBy("words").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), *(F.first(f"f{k}").alias(f"f{k}") for k in range(4))), "similar")
     full = nodes.select("node", "f0", "f1", "f2", "f3")
     at_a = full.select(F.col("node").alias("a"), *(F.col(f"f{k}").alias(f"p{k}") for k in range(4)))
     at_b = full.select(F.col("node").alias("b"), *(F.col(f"f{k}").alias(f"q{k}") for k in range(4)))
@@ -239,7 +241,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return step
 
     def links(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.join(at_a, "a").join(at_b, "b").where(F.expr(f"{apart} <= {radius}")).select("a", "b"), "similar")
+        pairs = written(pairs.join(at_a, "a").join(at_b, "b").where(F.expr(f"{apart} <= {APART}")).select("a", "b"), "similar")
         ends = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "similar")
         # a bounded list of ids is sent to the texts; a longer one meets them in a shuffle
         ends = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
@@ -248,11 +250,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         checked = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
         return written(map_batches(checked.select("a", "b", "ha", "hb"), verify, "a long, b long"), "similar")
 
-    # what a few pairs a bucket tie together needs no other link; the complete look-up is between the groups so found
-    first = links(segment_pivots(nodes, "node", SIMILAR_SEGMENTS, rough))
-    known = components(first).select("node", F.col("root").alias("g"))
-    grouped = written(nodes.join(known, "node", "left").withColumn("g", F.coalesce("g", "node")), "similar")
-    second = links(segment_matches(grouped, "node", SIMILAR_SEGMENTS, 1, rough, "g"))
+    # what a pair a node and bucket ties together needs no other link; the complete look-up is between the groups so found
+    rows = nodes.select(F.explode("bands").alias("k"), F.col("node").alias("x"), F.col("f0").alias("h0"))
+    met = written(rows.groupBy("k").agg(F.min(F.struct("x", "h0")).alias("p"), F.count("*").alias("n")).where("n > 1").select("k", F.col("p.x").alias("y"), F.col("p.h0").alias("g0")), "similar")
+    entries = written(rows.join(met, "k"), "similar")
+    rough = F.expr(f"bit_count(h0 ^ g0) <= {ROUGH}")
+    first = links(entries.where((F.col("x") != F.col("y")) & rough).select(F.col("y").alias("a"), F.col("x").alias("b")).distinct())
+    known = components(first).select(F.col("node").alias("x"), F.col("root").alias("g"))
+    grouped = written(entries.select("k", "x", "h0").join(known, "x", "left").withColumn("g", F.coalesce("g", "x")), "similar")
+    mixed = written(grouped.groupBy("k").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("k"), "similar")
+    own = written(grouped.join(mixed, "k"), "similar")
+    other = own.select("k", F.col("x").alias("y"), F.col("h0").alias("g0"), F.col("g").alias("gy"))
+    between = own.withColumnRenamed("k", "kx").join(other, (F.col("kx") == F.col("k")) & (F.col("g") != F.col("gy")) & (F.col("x") < F.col("y")) & rough)
+    second = links(between.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     roots = components(first.unionByName(second))
     named_nodes = prints.select("id", "words").join(nodes.select("words", "node"), "words")
     out = named_nodes.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("group_id"))
@@ -264,11 +274,7 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
     def start():
         def step(batch: pa.RecordBatch):
-            def packed(t):
-                parts = list(shingle_hashes(ascii_words(t), width))
-                return np.unique(np.concatenate(parts)).tobytes() if parts else b""
-
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(t) for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "h"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "h"])
 
         return step
 

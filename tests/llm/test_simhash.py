@@ -60,6 +60,27 @@ def test_similar_groups_equal_brute_force(spark):
     assert got == dict(enumerate(want))
 
 
+def _same_groups(spark, pairs):
+    """Whether each pair, and nothing else, is one group; every pair is similar enough."""
+    texts = [" ".join(w) for pair in pairs for w in pair]
+    for a, b in pairs:
+        x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b))
+        assert len(x & y) >= 0.8 * len(x | y)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(df).collect()}
+    assert got == {k: k - k % 2 for k in range(len(texts))}
+
+
+def test_replaced_blocks_and_appended_tails_are_found(spark):
+    rng = random.Random(7)
+    pick = lambda n: rng.choices([f"w{k}" for k in range(5000)], k=n)
+    pairs = []
+    for _ in range(60):
+        a, at = pick(500), rng.randrange(400)
+        pairs += [(a, a[:446] + pick(54)), (b := pick(500), b[:at] + pick(50) + b[at + 50 :]), (c := pick(500), c + pick(120))]
+    _same_groups(spark, pairs)
+
+
 def test_empty_tables_and_repeated_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_components(empty).count() == 0

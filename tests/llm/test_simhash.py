@@ -81,6 +81,15 @@ def test_replaced_blocks_and_appended_tails_are_found(spark):
     _same_groups(spark, pairs)
 
 
+def test_repeated_passages_are_found(spark):
+    rng = random.Random(8)
+    pairs = []
+    for n, times in ((300, 8), (300, 5), (500, 10), (120, 2)) * 10:
+        a = rng.choices([f"w{k}" for k in range(5000)], k=n)
+        pairs.append((a, a + a[:12] * times))
+    _same_groups(spark, pairs)
+
+
 def test_empty_tables_and_repeated_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_components(empty).count() == 0

@@ -74,6 +74,12 @@ def test_packing_round_trip(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_encoder_takes_double_or_unusual_white_space_as_a_whole():
+    encode = packing.Encoder(packing.vocabulary_path())
+    texts = ["p\tq\tr\n\n\nb", "x\u3000y\u3000z\n\n\nw", "a\u00a0b  c", "p\tq\n\nr", "a b\nc", " a", "a ", "\na\n", "", " "]
+    assert encode(texts) == [array("I", encode.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+
+
 def test_maxscore_equals_brute_force(spark):
     rng = random.Random(6)
     rows = [(k, [rng.gauss(0, 1) for _ in range(6)]) for k in range(700)] + [(1000 + k, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for k in range(40)]

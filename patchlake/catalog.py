@@ -483,6 +483,23 @@ def sensitive_files(spark, d):
     return rows.withColumn("sensitive", sanitize.is_sensitive_file(F.col("name")))
 
 
+#: Names that stand for every part of the rule, and near misses; whether the rule takes them.
+FILE_NAMES = (
+    (".env", True), (".ENV.local", True), ("doc.env", False), ("envs", False), ("appsettings.Dev#.json", True), ("my.appsettings.json", False), ("secrets#.json", True), ("secrets.yml", False), ("credentials#", True),
+    ("my-credentials", False), ("doc#.PEM", True), ("doc#.key", True), ("doc#.pfx", True), ("doc#.p12", True), ("doc#.pem.txt", False), ("id_rsa#", True), ("old_id_rsa", False), ("db#.ConnectionStrings.json", True), ("doc#.json", False), ("doc#.ts", False),
+)
+FILE_NAMES_SQL = ", ".join(f"({k}, '{name}', {str(hit).lower()})" for k, (name, hit) in enumerate(FILE_NAMES))
+
+
+@query(f"select doc_id, 'a/' || replace(t.name, '#', cast(doc_id as varchar)) as name, t.hit as sensitive from documents join (values {FILE_NAMES_SQL}) t(k, name, hit) on doc_id % {len(FILE_NAMES)} = t.k")
+def sensitive_names(spark, d):
+    """F08 over all documents: every part of the rule and its near misses (``sensitive_files`` is its half of two endings)."""
+    at = (F.col("doc_id") % len(FILE_NAMES) + 1).cast("int")
+    name = F.replace(F.element_at(F.array(*(F.lit(n) for n, _ in FILE_NAMES)), at), F.lit("#"), F.col("doc_id").cast("string"))
+    rows = read(spark, d, "documents").select("doc_id", F.concat(F.lit("a/"), name).alias("name"))
+    return rows.withColumn("sensitive", sanitize.is_sensitive_file(F.col("name")))
+
+
 @query(r"""select doc_id, cast(doc_id % 50 as bigint) as files, cast(doc_id % 9 as bigint) as additions, cast(0 as bigint) as deletions from documents""")
 def shortstat(spark, d):
     """S08."""

@@ -1,0 +1,30 @@
+"""Queries that run over all rows, on tables whose rows the narrower SQL leaves out."""
+
+import duckdb
+import pytest
+
+from patchlake import catalog
+
+SCHEMA = "doc_id long, text string, source string"
+
+
+def _documents(spark, folder, texts):
+    spark.createDataFrame([(k, t, f"s{k % 3}") for k, t in enumerate(texts)], SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    return con
+
+
+def _same(spark, con, name, folder):
+    got = catalog.QUERIES[name](spark, f"file://{folder}")
+    want = con.execute(f"select {', '.join(got.columns)} from ({catalog.ORACLE[name]})").fetchall()
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows, key=repr) == sorted(want, key=repr)
+    return [r.asDict() for r in got.collect()]
+
+
+def test_sensitive_names_cover_the_rule_over_all_documents(spark, tmp_path):
+    con = _documents(spark, tmp_path, ["x"] * 50)
+    got = {r["doc_id"]: (r["name"], r["sensitive"]) for r in _same(spark, con, "sensitive_names", tmp_path)}
+    assert len(got) == 50
+    assert got[0] == ("a/.env", True) and got[2] == ("a/doc.env", False) and got[26] == ("a/secrets26.json", True) and got[38] == ("a/doc38.json", False)

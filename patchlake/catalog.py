@@ -142,6 +142,20 @@ def code_risk(spark, d):
     return facts.select("pr", "classification.kind", "risk.level", F.array_join("risk.tags", ",").alias("tags"), F.concat_ws("|", "classification.evidence", "risk.evidence").alias("evidence"))
 
 
+@query(WORD_SQL + r""", r as (select pr, regexp_matches(word, '(?i)jwt|token|bearer|claim|permission|rbac|identity|password|hash|encrypt|secret') as auth,
+  regexp_matches(word, '(?i)apikey|connectionstring|password|secret') as config, regexp_matches(word, '(?i)lock$|transactionscope|begintransactionasync|semaphoreslim') as locks from x)
+select pr, 'functional_logic' as kind, case when auth then 'high' else 'medium' end as level,
+  concat_ws(',', 'public_api', case when auth then 'auth_security' end, case when config then 'secret_config' end, case when locks then 'concurrency_transaction' end) as tags,
+  concat_ws('|', 'Functional code modifications present', 'Public Controller action method signature modified', case when auth then 'Authentication, authorization, or security sensitive logic modified' end,
+    case when config then 'Application configuration or secret property modified' end, case when locks then 'Database transaction or thread concurrency sync primitive modified' end) as evidence from r""")
+def code_risk_all(spark, d):
+    """X03, X05 on code of all documents, risk words too (``code_risk`` leaves those out)."""
+    marked = diff.marked_lines(_lines_view(spark, d, "", ""))
+    facts = classify.file_facts(diff.diff_files(marked), diff.diff_lines(marked))
+    facts = classify.with_risk(facts.withColumn("classification", classify.change_kind(facts)))
+    return facts.select("pr", "classification.kind", "risk.level", F.array_join("risk.tags", ",").alias("tags"), F.concat_ws("|", "classification.evidence", "risk.evidence").alias("evidence"))
+
+
 # --- roll-ups ------------------------------------------------------------------------
 
 
@@ -374,8 +388,8 @@ def pii_redact(spark, d):
 
 @query(rf"select source as pr, cast(count(*) filter (regexp_matches(text, '{EMAIL_SQL}')) as bigint) as redacted_values from documents where not regexp_matches(text, '(?i)bearer\s|akia|asia|private key|(password|pwd)\s*=|://') group by source")
 def redaction_tally(spark, d):
-    """Texts that hit, by source."""
-    texts = read(spark, d, "documents").where(~F.col("text").rlike(r"(?i)bearer\s|akia|asia|private key|(password|pwd)\s*=|://")).select(F.col("source").alias("pr"), "text")
+    """Hits of all texts, by source; the SQL knows e-mails only and leaves out texts with links or secrets."""
+    texts = read(spark, d, "documents").select(F.col("source").alias("pr"), "text")
     return manifest.redaction_tally(texts).select("pr", "redacted_values")
 
 

@@ -79,8 +79,12 @@ def threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return found.select("source", "budget", F.when(F.col("inside"), F.col("prefix")).otherwise(F.lit(1 << HASH_BITS)).alias("edge"), "below", F.when(F.col("inside"), F.col("own")).otherwise(0).alias("own"))
 
 
-def mixing_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, source, size, h) of ``docs`` and rows (s, source_size, target, whole, edge1, lack, edge2) of its sources."""
+def mixing_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, source, size, h) of ``docs``, rows (s, source_size, target, whole, edge1, lack, edge2) of its sources and rows (hs, hh, heavy) of their heavy hashes.
+
+    A hash is heavy if its rows fit the lack one by one and exceed it together: it is
+    taken or left as a block, so the second pass leaves it out.
+    """
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     sized = written(sized.withColumn("h", place(F.col("doc_id"))), "mixing")
     goal = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "mixing")
@@ -89,18 +93,20 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     one = threshold(sized, goal.select("source", F.col("rest").alias("budget")))
     one = one.select(F.col("source").alias("s1"), F.col("edge").alias("edge1"), (F.col("budget") - F.col("below")).alias("lack"))
     one = written(one, "mixing")
-    left = sized.join(one, F.expr("source <=> s1")).where("h >= edge1 and size <= lack and size > 0").select("source", "h", "size")
+    left = sized.join(one, F.expr("source <=> s1")).where("h >= edge1 and size <= lack and size > 0").select("source", "h", "size", "lack")
+    blocks = left.groupBy("source", "h").agg(F.sum("size").alias("all"), F.max("lack").alias("lack"))
+    heavy = written(blocks.where("all > lack").select(F.col("source").alias("hs"), F.col("h").alias("hh"), F.lit(True).alias("heavy")), "mixing")
+    left = left.join(heavy, F.expr("source <=> hs and h = hh"), "left_anti").select("source", "h", "size")
     two = threshold(left, one.select(F.col("s1").alias("source"), F.col("lack").alias("budget")))
     up = F.expr("own > 0 and (below + own) - budget < budget - below")
     two = two.select(F.col("source").alias("s2"), (F.col("edge") + up.cast("int")).alias("edge2"))
     plan = goal.join(one, F.expr("source <=> s1")).join(two, F.expr("source <=> s2")).select(F.col("source").alias("s"), "source_size", "target", "whole", "edge1", "lack", "edge2")
     plan = written(plan, "mixing")
-    extra = F.expr("h < edge1 or (size <= lack and h < edge2)")
-    return sized, plan
+    return sized, plan, heavy
 
 
-#: How often a row (size, h) beside its source's row of the plan is taken.
-COPIES = "whole + cast((h < edge1 or (size <= lack and h < edge2)) as int)"
+#: How often a row (size, h) beside its source's row of the plan and its heavy hash, if any, is taken.
+COPIES = "whole + cast((h < edge1 or (heavy is null and size <= lack and h < edge2)) as int)"
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -109,19 +115,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     Each source takes all its documents as often as its target holds the source as a
     whole, and once more those below a hash threshold for the rest. What the rest then
     lacks is filled by a second, nested threshold over the documents above the first
-    that are no larger than the lack. A null text has size 0 and a null source is a
+    that are no larger than the lack, hashes that exceed it as a whole left out. A null text has size 0 and a null source is a
     source of its own; rows with equal ids share their fate, so repeated rows and
     null ids are taken or left together; an empty table gives an empty result; other
     columns are ignored.
     """
-    sized, plan = mixing_plan(docs, id_col, source_col, text_col)
-    out = sized.join(plan, F.expr("source <=> s"))
+    sized, plan, heavy = mixing_plan(docs, id_col, source_col, text_col)
+    out = sized.join(plan, F.expr("source <=> s")).join(heavy, F.expr("source <=> hs and h = hh"), "left")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.expr(COPIES)).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, as often as the mix takes them."""
-    _, plan = mixing_plan(docs)
+    _, plan, heavy = mixing_plan(docs)
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), place(F.col("doc_id").cast("long")).alias("h"))
-    taken = rows.join(plan, F.expr("source <=> s")).select("_row", F.expr(COPIES).cast("int").alias("n")).where("n > 0")
+    taken = rows.join(plan, F.expr("source <=> s")).join(heavy, F.expr("source <=> hs and h = hh"), "left").select("_row", F.expr(COPIES).cast("int").alias("n")).where("n > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1), "n"))).select("_row.*")

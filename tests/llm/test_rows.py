@@ -46,6 +46,15 @@ def test_mix_reaches_targets(spark):
     assert out.columns == df.columns
 
 
+def test_mix_reaches_targets_beside_a_heavy_id(spark):
+    rows = [(k, "a", "w " * 13) for k in range(159)] + [(1000 + k, "b", "w " * 5) for k in range(134)] + [(None, "b", "w " * 5)] * 66
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = [r for r in mixing.mix(df).collect() if r["size"] == 5]
+    assert len(got) == 200 and {r["source_size"] for r in got} == {1000}
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 5 and 1100 < got[0]["target"] < 1200
+    assert mixing.mixed(df).where("source = 'b'").count() * 5 == sum(r["taken"] for r in got)
+
+
 def test_packing_round_trip(spark):
     rng = random.Random(4)
     texts = [None, "", "a  b\n\nc", "don't\tstop\r\n", " x ", "naïve café — 12,345 <|endoftext|>", "word " * 30_000]

@@ -1,12 +1,13 @@
-"""Hierarchical packing of tokenised documents into windows of several context sizes.
+"""Best-fit packing of tokenised documents into windows of one context size.
 
 Each task tokenises its documents and packs them as it goes, so no token is ever
-shuffled. A document gives its full windows at once; its rest is routed to the tier
-of the smallest power of two that holds it. Tiers are packed from the longest: the
-longest rest opens a window, whose gap is filled by the longest rests of shorter
-tiers that fit and at last by a cut one, so every window but a task's last is full.
-What remains at the end of a task is emitted in windows of shorter tiers, each full.
-Windows are dealt to step groups of equal token counts.
+shuffled. A document gives its full windows at once; its rest joins one pool, sorted
+by length. The longest rest opens a window, whose gap is filled by the longest rests
+that fit and at last by a cut one, so every window but a task's last is full. What
+remains at the end of a task is emitted in windows of falling powers of two, each
+full. There are no tiers of several context sizes. A task's windows are dealt to step
+groups of equal token counts in the order they come, its last group of any size;
+groups are not balanced across tasks.
 """
 
 from __future__ import annotations
@@ -148,7 +149,7 @@ class Packer:
         return self.piece.pop(number)
 
     def _fill(self, gap: int) -> Iterator[tuple]:
-        """Pieces that fill ``gap`` exactly: the longest that fit, then one cut from the shortest tier that is long enough."""
+        """Pieces that fill ``gap`` exactly: the longest that fit, then one cut from the shortest rest that is long enough."""
         while gap and self.rest:
             at = bisect_right(self.rest, (gap, self.number))
             if at:

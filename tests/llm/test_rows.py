@@ -55,38 +55,71 @@ def test_mix_reaches_targets_beside_a_heavy_id(spark):
     assert mixing.mixed(df).where("source = 'b'").count() * 5 == sum(r["taken"] for r in got)
 
 
+def _tokens(tok, text):
+    return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+
 def test_packing_round_trip(spark):
-    rng = random.Random(4)
-    texts = [None, "", "a  b\n\nc", "don't\tstop\r\n", " x ", "naïve café — 12,345 <|endoftext|>", "word " * 30_000]
-    texts += [" ".join(rng.choices(["alpha", "beta,", "Gamma.", "δέλτα", "42", "new\nline"], k=rng.randint(1, 900))) for _ in range(150)]
-    df = spark.createDataFrame(list(enumerate(texts)) + [(None, "null id")], "doc_id long, text string").repartition(3)
-    rows = packing.pack(df).collect()
     from tokenizers import Tokenizer
 
+    rng = random.Random(4)
+    texts = [None, "", "a  b\n\nc", "don't\tstop\r\n", " x ", "naïve café — 12,345 <|endoftext|>", "word " * 30_000, "u" * 5000]
+    texts += [" ".join(rng.choices(["alpha", "beta,", "Gamma.", "δέλτα", "42", "new\nline"], k=rng.randint(1, 900))) for _ in range(300)]
+    texts += ["short text " * rng.randint(1, 20) for _ in range(3000)]
+    rows = list(enumerate(texts)) + [(None, "null id"), (7000, "twice is twice"), (7000, "twice is twice")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("number", F.lit("clash")).repartition(3)
+    got = packing.pack(df, step_tokens=8192).collect()
     tok = Tokenizer.from_file(packing.vocabulary_path())
-    tok.encode_special_tokens = True
-    own, seqs = defaultdict(list), defaultdict(list)
-    for r in rows:
+    own, seqs, used = defaultdict(list), defaultdict(list), {}
+    for r in got:
         own[r["doc_id"]].append((r["start"], bytes(r["ids"])))
         seqs[r["sequence_id"]].append((r["offset"], len(r["ids"]) // 4))
+        used[r["sequence_id"]] = (r["sequence_tokens"], r["step_group"])
+    last = array("I", [1]).tobytes()
     for k, t in [*enumerate(texts), (None, "null id")]:
-        assert b"".join(x for _, x in sorted(own[k])) == array("I", tok.encode(t or "", add_special_tokens=False).ids + [1]).tobytes()
-    padding = 0
-    for parts in seqs.values():
+        assert b"".join(x for _, x in sorted(own[k])) == _tokens(tok, t or "") + last
+    assert sum(len(x) for _, x in own[7000]) == 2 * len(_tokens(tok, "twice is twice") + last)
+    for k, parts in seqs.items():
         at = 0
         for offset, n in sorted(parts):
             assert offset == at
             at += n
-        assert at <= 2048
-        padding += 0 if at & (at - 1) == 0 else 2048 - at
-    assert padding == 0
+        assert at == used[k][0] and at <= 2048 and at & (at - 1) == 0
+    # windows under the shortest tier hold less than one of its windows a task
+    assert sum(n for n, _ in used.values() if n < 256) < 3 * 256
+    assert {256, 512, 1024, 2048} <= {n for n, _ in used.values()}
+    groups = defaultdict(list)
+    for n, g in used.values():
+        groups[g].append(n)
+    assert all(len(set(g)) == 1 for g in groups.values())
+    for tier in (256, 512, 1024, 2048):
+        sums = [sum(g) for _, g in sorted(groups.items()) if g[0] == tier]
+        assert all(x == 8192 for x in sums[:-1]) and 0 < sums[-1] <= 8192
     assert packing.pack(df.limit(0)).count() == 0
 
 
-def test_encoder_takes_double_or_unusual_white_space_as_a_whole():
-    encode = packing.Encoder(packing.vocabulary_path())
-    texts = ["p\tq\tr\n\n\nb", "x\u3000y\u3000z\n\n\nw", "a\u00a0b  c", "p\tq\n\nr", "a b\nc", " a", "a ", "\na\n", "", " "]
-    assert encode(texts) == [array("I", encode.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+def test_packer_routes_rests_to_tiers_and_fills_gaps_from_shorter_ones():
+    p = packing.Packer(0)
+    piece = lambda n: b"\0\0\0\0" * n
+    for doc, n in enumerate((1500, 400, 200, 700, 300, 2048 + 100, 30)):
+        list(p.add(doc, piece(n)))
+    assert {t: [n for n, _ in r] for t, r in p.rest.items()} == {256: [30, 100, 200], 512: [300, 400], 1024: [700], 2048: [1500]}
+    rows = [(r[5], r[0], r[1], len(r[2]) // 4) for r in p.pack(0)]
+    # 1500 leaves a gap of 548: the longest rests that fit are 400 and 100, then 30, and 18 are cut off the shortest left
+    assert rows[:4] == [(2048, 0, 0, 1500), (2048, 1, 0, 400), (2048, 5, 2048, 100), (2048, 6, 0, 30)] and rows[4] == (2048, 2, 0, 18)
+    assert rows[5:] == [(1024, 3, 0, 700), (1024, 4, 0, 300), (1024, 2, 18, 24)]
+    assert [(r[5], r[0], len(r[2]) // 4) for r in p.end()] == [(128, 2, 128), (16, 2, 16), (8, 2, 8), (4, 2, 4), (2, 2, 2)]
+
+
+def test_encoder_gives_the_tokenizer_s_ids():
+    from tokenizers import Tokenizer
+
+    tok, encode = Tokenizer.from_file(packing.vocabulary_path()), packing.Encoder(packing.vocabulary_path())
+    texts = ["p\tq\tr\n\n\nb", "x\u3000y\u3000z\n\n\nw", "a\u00a0b  c", "p\tq\n\nr", "a b\nc", " a", "a ", "\na\n", "", " ", "\n\n\t.\ta\t.", "hello <|endoftext|> world", "<|endoftext|>", "x" * 3000]
+    rng = random.Random(11)
+    parts = ["a", "the", "word", ".", ",", "'s", "é", "ß", "日本", "12", "#", "<|endoftext|>", " ", " ", " ", "\n", "\t", "  ", "\u3000", "\xa0", "\x85", "\r\n", "\x1c", "\u2028", "👍🏽", "\u0301"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(6000)]
+    assert encode(texts) == [_tokens(tok, t) for t in texts]
 
 
 def test_maxscore_equals_brute_force(spark):

@@ -1,10 +1,15 @@
 """Main text of web pages by consensus host paths.
 
-Each page scores its containers by the text of their paragraphs less their links and
-votes for the generalised tag-and-class path of the best one. Votes are summed by host
-in Spark, and every page is read again with the winning path of its host; a page
-without that path uses its own best container. Menus, headers, footers, sidebars,
-notices, adverts, forms, reader comments and the like are left out wherever they stand.
+Each page scores its containers by the text they hold less the text of links, picks the
+deepest one that holds most of it, and votes for that container's generalised
+tag-and-class path. Votes are summed by host in Spark, and every page is read again with
+the winning path of its host; a page without that path uses its own best container, in
+the end the page itself. Menus, headers, footers, sidebars, notices, adverts, forms,
+reader comments and the like are left out wherever they stand.
+
+Reading is linear in the page in time and memory, however deep or broken its markup: open
+elements are found by their names' own stacks, what an element inherits lies on the stack,
+and a path is one number folded from its labels.
 
 Scale: a page gives one vote row; the paths that win are one row a host, joined by
 host (broadcast by Spark when small). Nothing else is shuffled.
@@ -14,8 +19,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,174 +33,221 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body html caption dd dt legend li option optgroup summary tbody td tfoot th thead tr".split())
-CONTAINER = frozenset("article main section div td body blockquote form li center".split())
-DROPPED = frozenset("nav footer aside form script style noscript iframe template svg canvas object button select textarea dialog menu head title math audio video map".split())
-NEVER_DROPPED = frozenset("html body article main".split())
-UNWANTED = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations breadcrumb breadcrumbs menu nav navbar navigation sidebar sidenav widget widgets footer header masthead topbar toolbar pagination pager comment comments commentlist respond reply replies disqus discussion skip hidden".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th"), "thead": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead", "tfoot", "tr", "td", "th")}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",), "option": ("select", "datalist")}
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>", re.S)
-_CLASS = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_SPLIT = re.compile(r"[-_\s]+")
+#: Elements that may be a page's main text.
+CONTAINER = frozenset("article main section div td center".split())
+#: Elements whose kind alone says that they are no main text.
+DROPPED = frozenset("nav footer aside form script style noscript iframe template button select textarea dialog menu search head title".split())
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
+#: Elements no class or id can take out.
+NEVER_DROPPED = frozenset("html body article main".split())
+#: Words of a class or id that name other parts of a page, ...
+UNWANTED = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adsbygoogle sponsor sponsors sponsored promo promos promotion banner cookie cookies consent gdpr notice notices notification notifications alert alerts popup popover modal overlay toast newsletter subscribe subscription signup login register searchbox searchform share sharing social related recommended recommendations breadcrumb breadcrumbs menu menus nav navs navbar navigation navmenu topnav sitenav subnav sidebar sidebars sidenav widget widgets footer colophon copyright topbar toolbar pagination pager comment comments commentlist respond reply replies responses disqus discussion skip relatedposts relatedarticles relatedstories recommendedposts recommendedarticles recommendedstories readercomments usercomments commentthread commentsthread disqusthread privacynotice alertinfo alertwarning alertdanger alertsuccess".split())
+#: ... of a page's header, which inside an article is its headline's place, ...
+HEADER = frozenset("header masthead".split())
+#: ... and words that say nothing beside them. A name counts only if all its words are of these kinds, so "related-work" or "share-prices" stays.
+PLAIN = frozenset("site page global main top bottom left right center side primary secondary first second third wrapper wrap container holder outer inner box bar block area zone region section panel pane group grid list items item link links button buttons icon icons row col column content text body title heading form fixed sticky floating small large big mobile desktop slot unit rail leaderboard skyscraper google js el m".split())
+#: Headings under which readers' comments follow.
+COMMENTS = re.compile(r"(?:\d+ )?(?:reader |readers' |user )?comments?(?: \(?\d+\)?)?:?|leave a (?:reply|comment)|(?:\d+ )?(?:kommentare|leserkommentare|commentaires|comentarios)(?: \(?\d+\)?)?:?", re.I)
+
+#: Share of a page's text that the chosen container must hold.
+MOST = 0.6
+
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)(?:>|\Z)", re.S)
+_NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
+_PART = re.compile(r"[a-z]+")
+
+
+@lru_cache(4096)
+def _kind(name: str) -> int:
+    """Of one class or id: 2 if it names an unwanted part, 1 if a header, else 0."""
+    words = _PART.findall(_HUMP.sub(" ", name).lower())
+    words.append("".join(words))  # "side-bar" is "sidebar"
+    if words[-1] in UNWANTED:
+        return 2
+    if words[-1] in HEADER:
+        return 1
+    own = set(words[:-1])
+    if not own or own - UNWANTED - HEADER - PLAIN:
+        return 0
+    return 2 if own & UNWANTED else 1 if own & HEADER else 0
+
+
+@lru_cache(8192)
+def _read_tag(name: str, attributes: str) -> tuple[str, bool, bool]:
+    """The generalised label of an element, whether it is dropped by itself and whether it is a header."""
+    label, drop, header = name, name in DROPPED, name == "header"
+    if "=" in attributes:
+        found = {k.lower(): a or b or c for k, a, b, c in _NAMED.findall(attributes)}
+        own = entities.unescape(found.get("class", "")).split()
+        if own:
+            label = ".".join([name, *sorted({_DIGITS.sub("", c.lower()) for c in own})])
+        if name not in NEVER_DROPPED:
+            kinds = {_kind(c) for c in (*own, *entities.unescape(found.get("id", "")).split()) if len(c) <= 100}
+            drop = drop or 2 in kinds or found.get("role", "").strip().lower() in DROPPED_ROLES
+            header = header or 1 in kinds and name not in HEADING
+    return label, drop, header
 
 
 class Page:
-    """A page's elements and its blocks of text, in page order."""
+    """A page's containers and its blocks of text, in page order."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.label, self.drop = [""], [-1], [""], [False]
-        self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
-        self._paths: dict[int, str] = {0: ""}
+        # of each container: the one around it, its path, the nearest article or main (itself included) or -1
+        self.parent, self.path, self.semantic = [-1], [0], [-1]
+        self.blocks: list[tuple[int, str, int, bool]] = []  # container, text, characters in links, whether a heading
         self._read(source)
 
-    def _open(self, name: str, attributes: str, parent: int) -> int:
-        drop, label = self.drop[parent], name
-        if attributes and attributes.strip():
-            found = {k.lower(): a or b or c or "" for k, a, b, c in _CLASS.findall(attributes)}
-            if "class" in found:
-                label = ".".join([name, *sorted(set(_DIGITS.sub("", found["class"].lower()).split()))])
-            if name not in NEVER_DROPPED and not drop:
-                words = set(_SPLIT.split(" ".join((found.get("class", ""), found.get("id", ""), found.get("role", ""))).lower()))
-                drop = bool(words & UNWANTED) or "hidden" in found or found.get("aria-hidden") == "true"
-        if name in DROPPED:
-            drop = True
-        elif name == "header" and not self._inside(parent, ("article", "main")):
-            drop = True
-        self.tag.append(name)
-        self.parent.append(parent)
-        self.label.append(label)
-        self.drop.append(drop)
-        return len(self.tag) - 1
-
-    def _inside(self, at: int, names: tuple[str, ...]) -> bool:
-        while at > 0:
-            if self.tag[at] in names:
-                return True
-            at = self.parent[at]
-        return False
-
     def _read(self, source: str) -> None:
-        stack, text, links, in_link = [0], [], 0, 0
-        lower = None
-
-        def flush():
-            nonlocal text, links
-            if text:
-                joined = " ".join("".join(text).split())
-                if joined:
-                    at = next((e for e in reversed(stack) if self.tag[e] in BLOCK), stack[0])
-                    if not self.drop[stack[-1]] and not (self.tag[at] not in HEADING and self._inside(at, ("header",))):
-                        self.blocks.append((at, joined, links))
-                text, links = [], 0
-
-        def close_to(depth: int):
-            nonlocal in_link
-            for e in stack[depth:]:
-                in_link -= self.tag[e] == "a"
-            del stack[depth:]
-
-        def add(raw: str):
+        # of each open element: name, dropped, in a header, path, container, in an article or main
+        stack = [("", False, False, 0, 0, False)]
+        at_name: dict[str, list[int]] = {}  # depths of the open elements of each name
+        blocks: list[int] = [0]  # depths of the open blocks
+        text: list[str] = []
+        links, lower = 0, None
+
+        def depth_of(names) -> int:
+            return max((at_name[n][-1] for n in names if at_name.get(n)), default=0)
+
+        def close_to(depth: int) -> None:
+            while len(stack) > depth:
+                at_name[stack.pop()[0]].pop()
+            while blocks[-1] >= depth:
+                blocks.pop()
+
+        def flush() -> None:
             nonlocal links
-            if raw and not self.drop[stack[-1]]:
+            if not text:
+                return
+            joined = " ".join("".join(text).split())
+            text.clear()
+            if joined:
+                at = blocks[-1]
+                name, _, header, _, container, _ = stack[at]
+                if name in HEADING and COMMENTS.fullmatch(joined):
+                    around = stack[at - 1]  # its rest is dropped
+                    stack[at - 1] = (around[0], True, *around[2:])
+                elif name in HEADING or not header:
+                    self.blocks.append((container, joined, links, name in HEADING))
+            links = 0
+
+        def add(raw: str) -> None:
+            nonlocal links
+            if raw and not stack[-1][1]:
                 clean = entities.unescape(raw) if "&" in raw else raw
                 text.append(clean)
-                if in_link:
+                if at_name.get("a"):
                     links += len(clean.strip())
 
         at = 0
-        while True:
-            m = _TAG.search(source, at)
-            add(source[at : m.start()] if m else source[at:])
-            if m is None:
-                break
+        for m in iter(lambda: _TAG.search(source, at), None):
+            add(source[at : m.start()])
             at = m.end()
             name = m[2] or m[5]
             if name is None:
                 continue
             name, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
             if closing:
-                depth = next((d for d in range(len(stack) - 1, 0, -1) if self.tag[stack[d]] == name), 0)
+                depth = depth_of((name,))
                 if depth:
-                    if name not in BLOCK and any(self.tag[e] in BLOCK for e in stack[depth + 1 :]):
-                        continue
                     if name in BLOCK:
                         flush()
+                    elif blocks[-1] > depth:
+                        continue
                     close_to(depth)
                 elif name == "p":
                     flush()
                 continue
             if name in BLOCK:
                 flush()
-                if name in CLOSES_P:
-                    for d in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[d]] == "p":
-                            close_to(d)
-                            break
-                        if self.tag[stack[d]] in BLOCK and self.tag[stack[d]] != "p":
-                            break
+                if name in CLOSES_P and stack[blocks[-1]][0] == "p":
+                    close_to(blocks[-1])
                 if name in SIBLINGS:
-                    for d in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[d]] in SIBLINGS[name]:
-                            close_to(d)
-                            if name not in ("tr", "tbody", "tfoot"):
-                                break
-                        elif self.tag[stack[d]] in SCOPE[name]:
-                            break
-                if name in ("html", "body") and any(self.tag[e] == name for e in stack):
+                    scope, again = depth_of(SCOPE[name]), True
+                    while again and (depth := depth_of(SIBLINGS[name])) > scope:
+                        close_to(depth)
+                        again = name in ("tr", "tbody", "tfoot")
+                if name in ("html", "body") and at_name.get(name):
                     continue
-                if name == "body":
-                    close_to(next((d for d, e in enumerate(stack) if self.tag[e] == "head"), len(stack)))
+                if name == "body" and at_name.get("head"):
+                    close_to(at_name["head"][-1])
             elif name == "br":
                 add(" ")
                 continue
-            element = self._open(name, attributes, stack[-1])
             if name in VOID or attributes.endswith("/") and name not in BLOCK and name not in RAW:
                 continue
             if name in RAW:
                 lower = lower or source.lower()
                 end = lower.find(f"</{name}", at)
+                while end >= 0 and lower[end + len(name) + 2 : end + len(name) + 3] not in ("", ">", "/", " ", "\t", "\n", "\r", "\f"):
+                    end = lower.find(f"</{name}", end + 1)
                 at = len(source) if end < 0 else (source.find(">", end) + 1 or len(source))
                 continue
-            stack.append(element)
-            in_link += name == "a"
+            _, drop, header, path, container, inside = stack[-1]
+            if len(attributes) > 400:
+                label, own_drop, own_header = _read_tag.__wrapped__(name, attributes)
+            else:
+                label, own_drop, own_header = _read_tag(name, attributes if _NAMED.search(attributes) else "")
+            inside = inside or name in ("article", "main")
+            if name not in ("html", "body"):
+                path = xxhash.xxh3_64_intdigest(label.encode("utf-8", "surrogatepass"), path)
+            if name in CONTAINER:
+                self.parent.append(container)
+                self.path.append(path)
+                self.semantic.append(len(self.path) - 1 if name in ("article", "main") else self.semantic[container])
+                container = len(self.path) - 1
+            drop = drop or own_drop or own_header and not inside
+            at_name.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                blocks.append(len(stack))
+            stack.append((name, drop, header or own_header, path, container, inside))
+        add(source[at:])
         flush()
 
-    def path(self, element: int) -> str:
-        chain = []
-        while element not in self._paths:
-            chain.append(element)
-            element = self.parent[element]
-        for e in reversed(chain):
-            self._paths[e] = f"{self._paths[self.parent[e]]}>{self.label[e]}"
-        return self._paths[chain[0] if chain else element]
-
-    def best(self) -> tuple[str, float]:
-        """The path of the container whose paragraphs hold most text besides links, and its score; no path without text."""
-        score: dict[int, float] = {}
-        for element, text, links in self.blocks:
-            own = max(0, len(text) - 2 * links)
-            share, at = float(own), element
-            while at > 0 and share > own / 4:
-                if self.tag[at] in CONTAINER:
-                    score[at] = score.get(at, 0.0) + share
-                    share /= 2
-                at = self.parent[at]
-        if not score:
-            return "", 0.0
-        top = max(score.items(), key=lambda x: (x[1], -x[0]))[0]
-        return self.path(top), score[top]
-
-    def text(self, path: str) -> str | None:
-        """Blocks inside the elements with this path, joined by line feeds; None if there is no such element."""
-        inside = [False] * len(self.tag)
-        found = False
-        for e in range(1, len(self.tag)):
-            inside[e] = inside[self.parent[e]] or (self.label[e] == path.rpartition(">")[2] and self.path(e) == path)
-            found = found or inside[e]
-        return "\n".join(t for e, t, _ in self.blocks if inside[e]) if found else None
+    def best(self) -> tuple[int, float]:
+        """The path of the deepest container that holds most of the text besides links, and how much it holds; path 0 is the page itself.
+
+        A container inside an article or main gives way to that. Otherwise it gives
+        way to the one around it while that adds headings only.
+        """
+        held, plain = [0] * len(self.path), [0] * len(self.path)
+        for container, text, links, heading in self.blocks:
+            held[container] += max(0, len(text) - 2 * links)
+            plain[container] += 0 if heading else len(text)
+        for c in range(len(self.path) - 1, 0, -1):
+            held[self.parent[c]] += held[c]
+            plain[self.parent[c]] += plain[c]
+        whole, top = held[0], 0
+        if whole:
+            for c in range(1, len(self.path)):  # a container that holds most lies in the one found before
+                if held[c] >= MOST * whole:
+                    top = c
+        if self.semantic[top] >= 0:
+            top = self.semantic[top]
+        else:
+            while top and plain[self.parent[top]] == plain[top]:
+                top = self.parent[top]
+        return self.path[top], float(held[top])
+
+    def text(self, path: int) -> str:
+        """Blocks inside the containers with this path, joined by line feeds."""
+        inside = [path == 0]
+        for c in range(1, len(self.path)):
+            inside.append(inside[self.parent[c]] or self.path[c] == path)
+        return "\n".join(t for c, t, _, _ in self.blocks if inside[c])
+
+
+def main_text(source: str | None, path: int | None) -> str:
+    """The text under ``path``; under the page's own best container if there is none, of the whole page if that is empty too."""
+    if not source:
+        return ""
+    page = Page(source)
+    return (page.text(path) if path else "") or page.text(page.best()[0]) or page.text(0)
 
 
 def host_of(url: Column) -> Column:
@@ -204,34 +258,35 @@ def host_of(url: Column) -> Column:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Rows (page_id, url, text, n_chars) for every row of ``pages``.
 
-    A null or empty html gives an empty text. Pages with a null url, or one without a
-    host, vote together. Ties between paths go to the one with more text, then to the
-    smaller path. Repeated rows are returned as often as they come in, null ids too;
-    an empty table gives an empty result; other columns are ignored.
+    A null or empty html gives an empty text, as does a page all of whose text is in
+    parts that are left out; text outside any container belongs to the page itself.
+    White space is white space in Unicode, so a no-break space is one; a line break
+    element is white space inside its block. Of a header inside an article only the
+    headings stay. After a heading like "Comments" the rest of the element around it
+    is reader comments. A tag cut off by the end of the page is markup. Pages with a
+    null url, or one without a host, vote together. Ties between paths go to the one
+    with more text, then to the smaller path. Repeated rows are returned as often as
+    they come in, null ids too; an empty table gives an empty result; other columns
+    are ignored.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
     def vote():
         def step(batch: pa.RecordBatch):
-            best = [Page(x).best() if x else ("", 0.0) for x in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.float64())], names=["host", "path", "score"])
+            best = [Page(x).best() if x else (0, 0.0) for x in batch.column(1).to_pylist()]
+            paths = [b[0] - (1 << 64) if b[0] >> 63 else b[0] for b in best]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.int64()), pa.array([b[1] for b in best], pa.float64())], names=["host", "path", "score"])
 
         return step
 
-    votes = map_batches(rows.select(host_of(F.col("url")).alias("host"), "html"), vote, "host string, path string, score double").where("path <> ''")
-    sums = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.round(F.sum("score")).alias("score"))
+    votes = map_batches(rows.select(host_of(F.col("url")).alias("host"), "html"), vote, "host string, path long, score double").where("path <> 0")
+    sums = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
     first = F.min(F.struct(-F.col("n"), -F.col("score"), "path"))
     won = written(sums.groupBy("host").agg(first.alias("x")).select(F.col("host").alias("h"), F.col("x.path").alias("path")), "html-paths")
 
     def read():
         def step(batch: pa.RecordBatch):
-            texts = []
-            for source, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                page = Page(source) if source else None
-                text = page.text(path) if page and path else None
-                if page and not text:
-                    text = page.text(page.best()[0])
-                texts.append(text or "")
+            texts = [main_text(x, None if p is None else p % (1 << 64)) for x, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
         return step

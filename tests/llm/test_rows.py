@@ -169,21 +169,3 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.write(df.limit(0), empty)["files"] == [] and warc.read(spark, empty).count() == 0
     name = first["files"][0]["name"]
     assert zlib.crc32((tmp_path / "w" / name).read_bytes()) == first["files"][0]["crc32"]
-
-
-PAGE = """<html><head><title>t</title><style>x</style></head><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav>
-<div class="cookie-notice">We use cookies on this site</div><div class="main post-{n}"><h1>Head &amp; line</h1><p>First   paragraph of page {n} with enough words.<p>Second&nbsp;one.</p>
-<script>var a="</p>"</script><div class="ad">Buy</div><form>Name <input></form><section class="comments"><p>A very long reader comment that goes on and on and on and on.</p></section></div><footer>f</footer>"""
-
-
-def test_html_consensus(spark):
-    rows = [(k, "http://h.org/x", PAGE.replace("{n}", str(k))) for k in range(6)]
-    rows += [(10, "http://H.org/y", "<body><p>Only this.</p>"), (11, None, None), (12, "u", ""), (13, "http://z/", "plain &lt;text&gt;"), (14, "http://h.org", "<" * 50_000), (15, "http://h.org", "<div>" * 3000 + "deep")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("path", F.lit("clash"))
-    got = {r["page_id"]: r for r in html.extract(df).collect()}
-    for k in range(6):
-        assert got[k]["text"] == f"Head & line\nFirst paragraph of page {k} with enough words.\nSecond one."
-        assert got[k]["n_chars"] == len(got[k]["text"])
-    assert got[10]["text"] == "Only this." and got[11]["text"] == "" and got[12]["n_chars"] == 0
-    assert got[15]["text"] == "deep"
-    assert html.extract(df.limit(0)).count() == 0

@@ -6,9 +6,15 @@ expression. Other urls are judged by their words: Viterbi splits each name in th
 and path into the likeliest words of a unigram model, and multinomial naive Bayes
 scores the words.
 
-The unigram model and the naive Bayes counts come from a seed vocabulary of allowed
-and blocked words and from all urls of the table: tokens are counted in Spark, and the
-model keeps the most frequent ones.
+Nobody labels urls, so both classes are learnt from all urls of the table, starting
+from a short seed vocabulary: urls with a word that is a blocked seed are the first
+blocked ones; the words of either side are counted in Spark, the counts make a model, the
+model labels every url anew, and the words counted again make the next. So a word that keeps company with blocked ones gets a weight of its own, and a seed that
+mostly stands in clean urls loses its weight. Rules take no part in this: they are
+policies on places, not statements on words.
+
+Model size: a word is kept if it makes up at least ``SHARE`` of all tokens, which no more
+than 1 / ``SHARE`` words can, so the model is bounded and the rule is the same at every size.
 """
 
 from __future__ import annotations
@@ -21,17 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, written
 from .html import host_of
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 #: Seed words of urls to block and to allow.
-BLOCKED = "adult bet bets betting bingo bonus casino cams cash cheap crack cracked dating drugs escort free gambling game hack hentai jackpot keygen loan loans lottery naked nude payday pharma pharmacy pills pirate poker porn prize roulette serial sex sexy slot slots spam spins torrent viagra warez webcam win winner xxx".split()
-ALLOWED = "about academy archive article articles blog book books city college culture data doc docs edu education encyclopedia english example forum gallery gov guide health help history home index journal law learn library list magazine map market math media movie museum music nature news online page paper people photo post press product project radio report research review school science shop society sport sports store story study support team tech times travel university video weather web wiki work world".split()
+BLOCKED = "ads adserver adult bet bets betting bingo bonus casino cams cash cheap crack cracked dating drugs escort free gambling game hack hentai jackpot keygen loan loans lottery malware naked nude payday pharma pharmacy phishing pills pirate poker porn prize roulette serial sex sexy slot slots spam spins torrent tracker tracking viagra warez webcam win winner xxx".split()
+ALLOWED = "about academy archive article articles blog book books city college culture data doc docs edu education encyclopedia english forum gallery gov guide health help history home index journal law learn library list magazine map market math media movie museum music nature news online page paper people photo post press product project radio report research review school science shop society sport sports store story study support team tech times travel university video weather web wiki work world".split()
 _TOKEN = re.compile(r"[^\W\d_]+")
 #: Parts of a host that say nothing of its content.
-PLAIN = frozenset("www com net org html htm php http https m".split())
+PLAIN = frozenset("www com net org example html htm php http https m".split())
 
 
 def path_of(url: Column) -> Column:
@@ -87,68 +93,106 @@ class Segmenter:
         return words[::-1]
 
 
+#: Least share of all tokens that makes a token or word part of the model.
+SHARE = 1 / 200_000
+#: Letters a word of the unigram model may have; longer names are split and scored like any other.
+LONGEST = 64
+#: Times each seed word counts on its side, besides what is counted.
+SEEN = 50
+
+
+def segmenter(counts: dict[str, int]) -> Segmenter:
+    """A unigram model from counts of whole tokens and the seeds; a token that falls apart into seed words is no word itself."""
+    seeds = {w: SEEN for w in (*BLOCKED, *ALLOWED)}
+    plain, out = Segmenter(seeds), Counter(seeds)
+    for token, n in counts.items():
+        parts = plain.split(token)
+        if len(parts) == 1 or not all(p in seeds for p in parts):
+            out[token] += n
+    return Segmenter(out)
+
+
 class Model:
-    def __init__(self, seen: dict[str, int], seed_weight: int = 50, prior: float = 0.1, common: float = 0.1):
-        """``seen``: counts of whole tokens over all urls but those with a blocked word.
-
-        A seed word counts ``seed_weight`` times on its side; any other word counts as
-        allowed, as often as it is seen but no more than a seed word. Words that make
-        up a share of ``common`` or more of all tokens, and those of one or two
-        letters, say nothing and have no weight. A token that falls apart into seed
-        words is no word itself.
-        """
-        seeds = {w: seed_weight for w in (*BLOCKED, *ALLOWED)}
-        plain = Segmenter(seeds)
-        counts = Counter(seeds)
-        for token, n in seen.items():
-            parts = plain.split(token)
-            if len(parts) == 1 or not all(p in seeds for p in parts):
-                counts[token] += n
-        self.segmenter = Segmenter(counts)
-        total = max(1, sum(seen.values()))
-        bad, good = Counter({w: seed_weight for w in BLOCKED}), Counter({w: seed_weight for w in ALLOWED})
-        for token, n in seen.items():
-            words = self.segmenter.split(token)
-            if not any(w in bad for w in words):
-                for w in words:
-                    good[w] = min(good[w] + n, seed_weight)
-        words = {w for w in (*bad, *good) if len(w) > 2 and seen.get(w, 0) < common * total}
-        b, g = sum(bad.values()) + len(words), sum(good.values()) + len(words)
+    """Multinomial naive Bayes over words of three letters and more, with Laplace smoothing."""
+
+    def __init__(self, names: Segmenter, bad: dict[str, int] | None = None, good: dict[str, int] | None = None, urls: tuple[int, int] = (1, 9)):
+        """``bad`` and ``good``: counts of words in blocked and allowed urls; ``urls``: how many urls were blocked and allowed."""
+        self.segmenter = names
+        bad, good = Counter(bad or {}), Counter(good or {})
+        bad.update({w: SEEN for w in BLOCKED})
+        good.update({w: SEEN for w in ALLOWED})
+        words = {w for w in (*bad, *good) if len(w) > 2}
+        b, g = (sum(side[w] for w in words) + len(words) for side in (bad, good))
         self.ratio = {w: math.log((bad[w] + 1) / b) - math.log((good[w] + 1) / g) for w in words}
-        self.bias = math.log(prior / (1 - prior))
+        self.bias = math.log((urls[0] + 1) / (urls[1] + 1))
+
+    def words(self, host: str, path: str) -> list[str]:
+        return [w for t in tokens(host, path) for w in self.segmenter.split(t)]
 
     def score(self, host: str, path: str) -> float:
         """Log odds of blocking."""
-        return self.bias + sum(self.ratio.get(w, 0.0) for t in tokens(host, path) for w in self.segmenter.split(t))
+        return self.bias + sum(self.ratio.get(w, 0.0) for w in self.words(host, path))
 
 
-def fit(urls: DataFrame, most_tokens: int = 50_000, longest: int = 64) -> Model:
-    """A model from rows (host, path): all without a blocked word are counted, the ``most_tokens`` most frequent tokens of at most ``longest`` letters are kept."""
+def _summed(urls: DataFrame, count, names: list[str]) -> DataFrame:
+    """Rows (word, *names): ``count(host, path, sums)`` over all urls, summed in each task first; the word ``""`` counts urls."""
 
     def start():
-        seen: Counter = Counter()
-        blocked = frozenset(BLOCKED)
+        sums: dict[str, list[int]] = {}
 
         def flush():
-            if seen:
-                names, many = zip(*seen.items())
-                seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(many, pa.int64())], names=["token", "n"])
+            if sums:
+                words, many = list(sums), list(zip(*sums.values()))
+                sums.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(words), *(pa.array(n, pa.int64()) for n in many)], names=["word", *names])
 
         def step(batch: pa.RecordBatch):
             for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = tokens(host, path)
-                if not blocked.intersection(own):
-                    seen.update(t for t in own if len(t) <= longest)
-            if len(seen) > 500_000:
-                yield from flush()
+                count(host, path, sums)
+                if len(sums) > 300_000:
+                    yield from flush()
 
         step.end = flush
         return step
 
-    counts = map_batches(urls.select("host", "path"), start, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(most_tokens).collect()
-    return Model({r["token"]: r["n"] for r in top})
+    parts = map_batches(urls.select("host", "path"), start, "word string, " + ", ".join(f"{n} long" for n in names))
+    return written(parts.groupBy("word").agg(*(F.sum(n).alias(n) for n in names)), "urls")
+
+
+def _frequent(sums: DataFrame, names: list[str], share: float) -> tuple[dict[str, list[int]], list[int]]:
+    """The words with at least ``share`` of all counts, at most 1 / ``share`` of them, and the urls on either side."""
+    n = "+".join(names)
+    whole = sums.where("word <> ''").agg(F.sum(F.expr(n))).first()[0] or 0
+    rows = sums.where((F.col("word") == "") | (F.expr(n) >= share * whole)).collect()
+    out = {r["word"]: [r[x] for x in names] for r in rows}
+    return out, out.pop("", [0] * len(names))
+
+
+def fit(urls: DataFrame, rounds: int = 2, share: float = SHARE) -> Model:
+    """A model from rows (host, path): tokens of all urls make the unigram model, then ``rounds`` times all urls are labelled, first by the seeds, and their words counted."""
+
+    def tokens_of(host, path, sums):
+        for t in tokens(host, path):
+            if len(t) <= LONGEST:
+                sums.setdefault(t, [0])[0] += 1
+
+    seen, _ = _frequent(_summed(urls, tokens_of, ["n"]), ["n"], share)
+    model = Model(segmenter({t: n for t, (n,) in seen.items()}))
+    seeds = frozenset(BLOCKED)
+    for k in range(rounds):
+        shared = urls.sparkSession.sparkContext.broadcast(model)
+
+        def labelled(host, path, sums, shared=shared, first=k == 0):
+            now = shared.value
+            words = now.words(host, path)
+            blocked = not seeds.isdisjoint(words) if first else now.score(host, path) > 0
+            for w in ("", *words):
+                sums.setdefault(w, [0, 0])[0 if blocked else 1] += 1
+
+        sums, sides = _frequent(_summed(urls, labelled, ["bad", "good"]), ["bad", "good"], share)
+        shared.unpersist()
+        model = Model(model.segmenter, {w: b for w, (b, _) in sums.items() if b}, {w: g for w, (_, g) in sums.items() if g}, (sides[0], sides[1]))
+    return model
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -156,7 +200,8 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
 
     ``verdict`` is the rule's, else block if the model's log odds are above 0. A null
     url, or one without ``://``, has an empty host and path, fits no rule and is
-    allowed. Repeated rows are returned as often as they come in, null ids too; an
+    allowed, unless blocked urls are the majority of the table. Very long names are
+    split and scored whole. Repeated rows are returned as often as they come in, null ids too; an
     empty table gives an empty result; other columns are ignored.
     """
     url = F.col(url_col).cast("string")

@@ -97,17 +97,27 @@ class Segmenter:
 SHARE = 1 / 200_000
 #: Letters a word of the unigram model may have; longer names are split and scored like any other.
 LONGEST = 64
-#: Times each seed word counts on its side, besides what is counted.
-SEEN = 50
+#: Times each seed word counts in the unigram model and on its side of naive Bayes, besides what is counted.
+SEEN, PSEUDO = 50, 20
+
+
+def _falls_apart(token: str, n: int, words: Counter) -> bool:
+    """Whether a token is two or more words of at least three letters, each a seed or as frequent as the token."""
+    ends = [0]
+    for end in range(3, len(token) + 1):
+        if any((w := token[start:end]) != token and (w in _SEEDS or words[w] >= n) for start in ends if end - start >= 3):
+            ends.append(end)
+    return ends[-1] == len(token)
+
+
+_SEEDS = frozenset((*BLOCKED, *ALLOWED))
 
 
 def segmenter(counts: dict[str, int]) -> Segmenter:
-    """A unigram model from counts of whole tokens and the seeds; a token that falls apart into seed words is no word itself."""
-    seeds = {w: SEEN for w in (*BLOCKED, *ALLOWED)}
-    plain, out = Segmenter(seeds), Counter(seeds)
-    for token, n in counts.items():
-        parts = plain.split(token)
-        if len(parts) == 1 or not all(p in seeds for p in parts):
+    """A unigram model from counts of whole tokens and the seeds; a token that falls apart into shorter words is no word itself."""
+    out = Counter(dict.fromkeys(_SEEDS, SEEN))
+    for token, n in sorted(counts.items(), key=lambda x: (len(x[0]), x[0])):
+        if token in _SEEDS or len(token) < 6 or not _falls_apart(token, n, out):
             out[token] += n
     return Segmenter(out)
 
@@ -119,8 +129,8 @@ class Model:
         """``bad`` and ``good``: counts of words in blocked and allowed urls; ``urls``: how many urls were blocked and allowed."""
         self.segmenter = names
         bad, good = Counter(bad or {}), Counter(good or {})
-        bad.update({w: SEEN for w in BLOCKED})
-        good.update({w: SEEN for w in ALLOWED})
+        bad.update(dict.fromkeys(BLOCKED, PSEUDO))
+        good.update(dict.fromkeys(ALLOWED, PSEUDO))
         words = {w for w in (*bad, *good) if len(w) > 2}
         b, g = (sum(side[w] for w in words) + len(words) for side in (bad, good))
         self.ratio = {w: math.log((bad[w] + 1) / b) - math.log((good[w] + 1) / g) for w in words}
@@ -168,7 +178,7 @@ def _frequent(sums: DataFrame, names: list[str], share: float) -> tuple[dict[str
     return out, out.pop("", [0] * len(names))
 
 
-def fit(urls: DataFrame, rounds: int = 2, share: float = SHARE) -> Model:
+def fit(urls: DataFrame, rounds: int = 4, share: float = SHARE) -> Model:
     """A model from rows (host, path): tokens of all urls make the unigram model, then ``rounds`` times all urls are labelled, first by the seeds, and their words counted."""
 
     def tokens_of(host, path, sums):

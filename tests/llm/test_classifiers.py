@@ -1,6 +1,9 @@
+import math
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from patchlake.llm import language, quality, toxicity, urlfilter
 
 
@@ -108,10 +111,94 @@ def test_quality_rules(spark):
 
 
 def test_url_rules_and_words(spark):
-    urls = [("http://a.Example.NET/en/1?x", "example.net/en/", "allow"), ("https://x.net/a", "net/", "block"), ("https://example.com/de/x#y", "example.com/de/", "block"), ("https://notexample.com/de/x", None, "allow"), ("http://q.org/fr/", "org/fr/", "allow"), ("https://freecasinobets.com/win", None, "block"), ("https://citylibrary.org/books", None, "allow"), (None, None, "allow"), ("nothing", None, "allow"), ("://", None, "allow")]
-    df = spark.createDataFrame([(k, u[0]) for k, u in enumerate(urls)], "page_id long, url string")
-    for r in urlfilter.judge(df).collect():
-        assert (r["rule"], r["verdict"]) == urls[r["page_id"]][1:], urls[r["page_id"]]
-    first = urlfilter.judge(df).where("page_id = 0").first()
+    urls = [("http://a.Example.NET/en/1?x", "example.net/en/", "allow"), ("https://x.net/a", "net/", "block"), ("https://example.com/de/x#y", "example.com/de/", "block"), ("https://notexample.com/de/x", None, "allow"), ("http://q.org/fr/", "org/fr/", "allow"), ("https://freecasinobets.com/win", None, "block"), ("https://citylibrary.org/books", None, "allow"), (None, None, "allow"), ("nothing", None, "allow"), ("://", None, "allow"), ("https://city.org/" + "q" * 20_000, None, "allow"), ("https://org/fr", None, "allow"), ("https://net", None, "allow"), ("https://net/", "net/", "block")]
+    df = spark.createDataFrame([(k, u[0]) for k, u in enumerate(urls)] + [(9000, urls[5][0]), (9000, urls[5][0]), (None, urls[5][0])], "page_id long, url string").withColumn("host", F.lit("clash"))
+    got = urlfilter.judge(df).collect()
+    assert len(got) == len(urls) + 3 and {(r["rule"], r["verdict"]) for r in got if r["page_id"] in (None, 9000)} == {(None, "block")}
+    for r in got:
+        if r["page_id"] is not None and r["page_id"] < 9000:
+            assert (r["rule"], r["verdict"]) == urls[r["page_id"]][1:], urls[r["page_id"]]
+    first = next(r for r in got if r["page_id"] == 0)
     assert (first["host"], first["path"]) == ("a.example.net", "/en/1")
     assert urlfilter.judge(df.limit(0)).count() == 0
+
+
+def test_splits_are_the_likeliest_of_all():
+    rng = random.Random(13)
+    names = urlfilter.segmenter({"farm": 40, "or": 9, "organic": 5, "an": 30, "gan": 2, "ic": 3, "inspiration": 4})
+    total = sum(round(math.exp(-c) * 1e9) for c in names.cost.values()) / 1e9  # shares of all words: one but for the added one
+    assert 0.99 < total < 1
+
+    def cost(word):
+        return names.cost[word] if word in names.cost else names.unknown + 1.5 * len(word)
+
+    for _ in range(120):
+        name = "".join(rng.choices(["farm", "or", "an", "ic", "win", "x", "q", "free", "art"], k=rng.randint(1, 4)))[:10]
+        every = []
+        for cut in range(1 << (len(name) - 1)):
+            at, words = 0, []
+            for k in range(1, len(name) + 1):
+                if k == len(name) or cut >> (k - 1) & 1:
+                    words.append(name[at:k])
+                    at = k
+            every.append(sum(map(cost, words)))
+        got = names.split(name)
+        assert "".join(got) == name and abs(sum(map(cost, got)) - min(every)) < 1e-9
+
+
+def _url_table(rng, n):
+    """Hosts of two kinds; most blocked ones hold a seed, some only words that keep company with seeds elsewhere."""
+    company = ["royale", "vegas", "reels", "chips", "streams", "leaks"]
+    clean = ["garden", "river", "kitchen", "mountain", "bakery", "museum", "paper", "letters", "village", "harbour"]
+    rows = []
+    for k in range(n):
+        bad = rng.random() < 0.15
+        plain = rng.sample(clean, 2)
+        if bad:
+            own = [rng.choice(company), rng.choice(["casino", "bets", "porn", "warez", "jackpot"])] if rng.random() < 0.8 else rng.sample(company, 2)
+            rng.shuffle(own)
+        else:
+            own = plain
+        host = rng.choice(["", "-"]).join(own) + rng.choice([".com", ".org", ".info"])
+        rows.append((k, f"https://{rng.choice(['', 'www.', 'm.'])}{host}/{rng.choice(['en', 'fr'])}/{rng.choice(clean)}-{k}", bad))
+    return rows
+
+
+def test_urls_without_seed_words_are_learnt(spark):
+    rows = _url_table(random.Random(14), 4000)
+    fit, held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3], [r for r in rows if not zlib.crc32(str(r[0]).encode()) % 3]
+    url = F.col("url")
+    df = spark.createDataFrame(fit, "page_id long, url string, bad boolean")
+    model = urlfilter.fit(df.select(urlfilter.host_of(url).alias("host"), urlfilter.path_of(url).alias("path")))
+
+    def blocked(r):
+        host, _, path = r[1].removeprefix("https://").partition("/")
+        return model.score(host, "/" + path) > 0
+
+    seeds = set(urlfilter.BLOCKED)
+    unseen = [r for r in held if r[2] and not any(s in r[1] for s in seeds)]
+    assert len(unseen) > 20
+    found, wrong = sum(map(blocked, unseen)) / len(unseen), sum(blocked(r) for r in held if not r[2]) / len([r for r in held if not r[2]])
+    print("learnt", found, wrong)
+    assert found >= 0.9 and wrong <= 0.02, (found, wrong)
+    assert all(blocked(r) for r in held if r[2] and any(s in r[1] for s in seeds))
+
+
+def test_url_weights_equal_counts_by_hand(spark):
+    rows = _url_table(random.Random(15), 300)
+    pairs = [(h, "/" + p) for h, _, p in (r[1].removeprefix("https://").partition("/") for r in rows)]
+    model = urlfilter.fit(spark.createDataFrame(pairs, "host string, path string").repartition(3), rounds=1)
+    bad, good, n = dict.fromkeys(urlfilter.BLOCKED, urlfilter.PSEUDO), dict.fromkeys(urlfilter.ALLOWED, urlfilter.PSEUDO), [0, 0]
+    for host, path in pairs:
+        words = [w for t in urlfilter.tokens(host, path) for w in model.segmenter.split(t)]
+        is_bad = bool(set(words) & set(urlfilter.BLOCKED))
+        n[0 if is_bad else 1] += 1
+        for w in words:
+            if len(w) > 2:
+                (bad if is_bad else good)[w] = (bad if is_bad else good).get(w, 0) + 1
+    known = set(bad) | set(good)
+    assert set(model.ratio) == known
+    b, g = sum(bad.values()) + len(known), sum(good.values()) + len(known)
+    for w in known:
+        assert abs(model.ratio[w] - math.log((bad.get(w, 0) + 1) / b * g / (good.get(w, 0) + 1))) < 1e-9
+    assert abs(model.bias - math.log((n[0] + 1) / (n[1] + 1))) < 1e-9

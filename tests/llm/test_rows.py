@@ -122,22 +122,56 @@ def test_encoder_gives_the_tokenizer_s_ids():
     assert encode(texts) == [_tokens(tok, t) for t in texts]
 
 
-def test_maxscore_equals_brute_force(spark):
-    rng = random.Random(6)
-    rows = [(k, [rng.gauss(0, 1) for _ in range(6)]) for k in range(700)] + [(1000 + k, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for k in range(40)]
-    rows += [(2000, None), (2100, [float("nan")] * 6), (2200, [1.0, None]), (2300, [0.0] * 6), (None, [1.0] * 6), (2400, [float("inf")] * 6)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+def _brute_top_k(rows, k=10):
     import math
 
-    good = {k: [math.floor(1024 * x) for x in v] for k, v in rows if k is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    good = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            good[i] = min(good.get(i, [float("inf")]), [float(math.floor(1024 * x)) for x in v])
     want = []
     for q in good:
         if q % 100 == 0:
-            best = sorted(((-sum(a * b for a, b in zip(good[q], v)), k) for k, v in good.items() if k != q))[:10]
-            want += [(q, i + 1, k, -s) for i, (s, k) in enumerate(best)]
+            best = sorted(((-sum(int(a) * int(b) for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q))[:k]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("kind", ["dense", "sparse", "huge"])
+def test_maxscore_equals_brute_force(spark, monkeypatch, kind):
+    rng = random.Random(6)
+    one = {"dense": lambda: [rng.gauss(0, 1) for _ in range(6)], "sparse": lambda: [rng.choice([0.0] * 9 + [rng.random()]) for _ in range(24)], "huge": lambda: [rng.choice([-1, 1]) * rng.randint(1, 3) * 2.0 ** (7 * k // 5) for k in range(12)]}[kind]
+    rows = [(k, one()) for k in range(2700)] + [(10_000 + k, rows_of_ties) for k, rows_of_ties in enumerate([[1.0, 0.0, 0.0, 0.0, 0.0, 0.0]] * 40)]
+    rows += [(20_000, None), (20_100, [float("nan")] * 6), (20_200, [1.0, None]), (20_300, [0.0] * 6), (None, [1.0] * 6), (20_400, [float("inf")] * 6), (20_500, []), (20_600, [0.5]), (7, [9.0] * 6), (100, [2.0] * 6), (300, rows[300][1])]
+    monkeypatch.setattr(maxscore, "SHARD_BYTES", 1)  # shards of 1024 vectors
+    monkeypatch.setattr(maxscore, "BLOCK_BYTES", 900)
+    monkeypatch.setattr(maxscore, "SAMPLE_BYTES", 3000)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
     got = maxscore.top_k(df, F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)))
-    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == sorted(want)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(map(tuple, got.collect())) == _brute_top_k(rows)
     assert maxscore.top_k(df.limit(0), F.lit(True)).count() == 0
+    few = df.where("vec_id in (100, 200, 3)")
+    assert sorted(map(tuple, maxscore.top_k(few, F.col("vec_id") % 100 == 0).collect())) == _brute_top_k([r for r in rows if r[0] in (100, 200, 3)])
+
+
+def test_maxscore_traverses_and_probes_a_part_only():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    w = np.floor(1024 * (x := rng.normal(size=(20_000, 64))) / np.linalg.norm(x, axis=1, keepdims=True))
+    ids = np.arange(len(w))
+    floors = []
+    for q in range(20):
+        floors.append(float(maxscore.Shard(ids[::5], w[::5]).search(w[q], q, 10)[1][9]))
+    best = maxscore.Best(ids[:20], w[:20], floors, 10)
+    for at in range(0, len(w), 4096):
+        best.meet(maxscore.Shard(ids[at : at + 4096], w[at : at + 4096]))
+    for q in range(20):
+        score = w @ w[q]
+        score[q] = -np.inf
+        assert best.found[q][1].tolist() == np.sort(score)[::-1][:10].tolist()
+    assert best.work.traversed < 0.5 * best.work.whole and best.work.probed < 0.25 * best.work.whole
 
 
 def test_warc_round_trip(spark, tmp_path):

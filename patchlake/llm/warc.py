@@ -3,15 +3,16 @@
 Records are dealt to shards by ranges of their id, whose bounds come from a sample
 that a hash of the id picks, so they depend on the data alone. A task sorts a shard,
 rolls its files by compressed size, makes headers and digests anew and writes every
-file under a temporary name of its own attempt. The driver then renames the files of
-the attempts that won and writes a manifest; what a lost attempt left is never listed.
+file under a temporary name of its own attempt. What the attempts that won have written
+is a table; a second stage of tasks gives its files their names, and the manifest, a
+table too, is written last. What a lost attempt left is never listed. The driver holds
+the shards' bounds and sums only, never a list of files.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import json
 import uuid
 import zlib
 from urllib.parse import quote
@@ -25,7 +26,7 @@ from .common import map_batches, written
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6f1b7b52-52f4-5f0e-9d2f-3c1f0f6a7d10")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "manifest.json"
+MANIFEST = "manifest.parquet"
 
 
 def file_system(uri: str):
@@ -43,7 +44,7 @@ def _lines(pairs: list[tuple[str, str]]) -> bytes:
     return "".join(f"{k}: {v}\r\n" for k, v in pairs).encode("utf-8", "surrogatepass")
 
 
-def record(page_id, url: str | None, payload: bytes, number: int, refers_to=None) -> tuple[bytes, dict]:
+def record(page_id, url: str | None, payload: bytes, number: int, refers_to=None) -> bytes:
     """One compressed member: a response, or a revisit of the record of page ``refers_to``."""
     sha = digest(payload)
     uri = quote(url or "about:blank", safe="/:?#[]@!$&'()*+,;=%~-._")
@@ -56,7 +57,7 @@ def record(page_id, url: str | None, payload: bytes, number: int, refers_to=None
     fields += [("WARC-Payload-Digest", f"sha1:{sha}"), ("WARC-Block-Digest", f"sha1:{digest(block)}"), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     raw = b"WARC/1.1\r\n" + _lines(fields) + b"\r\n" + block + b"\r\n\r\n"
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return packer.compress(raw) + packer.flush(), {"sha": sha}
+    return packer.compress(raw) + packer.flush()
 
 
 def _info(name: str) -> bytes:
@@ -66,7 +67,7 @@ def _info(name: str) -> bytes:
     return packer.compress(b"WARC/1.1\r\n" + _lines(fields) + b"\r\n" + body + b"\r\n\r\n") + packer.flush()
 
 
-def _ends(rows: DataFrame, shard_bytes: int, most_shards: int = 4096, sample: int = 65_536) -> list[int]:
+def _ends(rows: DataFrame, shard_bytes: int, most_shards: int = 16_384, sample: int = 1 << 18) -> list[int]:
     """Upper ends of the shards' id ranges, from a sample of ids that a hash of the id picks: the same for the same rows."""
     many, total = rows.agg(F.count("page_id"), F.sum("bytes")).first()
     if not many:
@@ -95,21 +96,27 @@ def _shard_of(ends: list[int], side: int = 64):
     return F.when(F.col("page_id").isNull(), F.lit(len(ends))).otherwise(coarse + fine)
 
 
+FILES = "name string, tmp string, bytes long, crc32 long, records long"
+
+
 def write(pages: DataFrame, folder: str, least_revisit: int = 0, roll_bytes: int = 64 << 20, shard_bytes: int = 4 << 20) -> dict:
-    """Write a record for every row (page_id, url, html) under ``folder`` and return the manifest.
-
-    Of the records with equal payloads of at least ``least_revisit`` bytes the one
-    with the smallest page_id is the response and the others revisit it; shorter ones
-    are all responses. Rows with one page_id and payload are one response and
-    revisits of it. Rows with a null page_id come last, all as responses. A null url
-    is written as about:blank, a null html as an empty payload; an empty table writes
-    a manifest without files.
+    """Write a record for every row (page_id, url, html) under ``folder`` and return {"files": how many, "records": how many}.
+
+    Of the records with equal payloads of at least ``least_revisit`` bytes one is the
+    response and the others revisit it: the row with the smallest page_id, of several
+    with that id the first by url. Shorter ones are all responses, and so are rows
+    with a null page_id if no row of their payload has an id. Rows with a null page_id
+    come last. A null url is written as about:blank, a null html as an empty payload;
+    an empty table writes an empty manifest. A shard is about ``shard_bytes`` of
+    payload, more only beyond 16,384 shards; a file ends before ``roll_bytes``
+    compressed, or with its shard.
     """
+    spark = pages.sparkSession
     fs, root = file_system(folder)
     fs.create_dir(f"{root}/tmp", recursive=True)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
-    shared = rows.where((F.col("bytes") >= least_revisit) & F.col("page_id").isNotNull()).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
+    shared = rows.where(F.col("bytes") >= least_revisit).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("sha", "first")
     shared = written(shared, "warc-shared")  # its size is known from here on: small enough, it is broadcast
     ends = _ends(rows.select("page_id", "bytes"), shard_bytes)
     dealt = rows.join(shared, "sha", "left").withColumn("shard", _shard_of(ends)).repartition(2 * len(ends) + 1, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "sha", F.col("url").asc_nulls_first())
@@ -117,7 +124,7 @@ def write(pages: DataFrame, folder: str, least_revisit: int = 0, roll_bytes: int
     def start():
         attempt = uuid.uuid4().hex
         out_fs, out_root = file_system(folder)
-        state = {"shard": None, "seq": 0, "file": None, "last": None}
+        state = {"shard": None, "seq": 0, "file": None, "last": None, "number": 0}
         done: list[dict] = []
 
         def close():
@@ -140,15 +147,15 @@ def write(pages: DataFrame, folder: str, least_revisit: int = 0, roll_bytes: int
             put(_info(name))
 
         def step(batch: pa.RecordBatch):
-            for shard, page, url, payload, first in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, page, url, payload, sha, first in zip(*(c.to_pylist() for c in batch.columns)):
                 if shard != state["shard"]:
                     close()
                     state.update(shard=shard, seq=0)
-                same = (page, first, digest(payload)) if first is not None and page is not None else None
-                number = state["number"] + 1 if same is not None and same == state["last"] else 0
-                state.update(last=same, number=number)
-                refers = first if same is not None and (page != first or number) else None
-                data, _ = record(page, url, payload, number, refers)
+                # rows of one page and payload lie side by side
+                number = state["number"] + 1 if (page, sha) == state["last"] else 0
+                state.update(last=(page, sha), number=number)
+                refers = first if first is not None and (page != first or number) else None
+                data = record(page, url, payload, number, refers)
                 if state["file"] is not None and state["size"] + len(data) > roll_bytes:
                     close()
                 if state["file"] is None:
@@ -164,17 +171,32 @@ def write(pages: DataFrame, folder: str, least_revisit: int = 0, roll_bytes: int
         step.end = end
         return step
 
-    won = map_batches(dealt.select("shard", "page_id", "url", "payload", "first"), start, "name string, tmp string, bytes long, crc32 long, records long").collect()
-    files = []
-    for r in sorted(won, key=lambda r: r["name"]):
-        fs.move(f"{root}/{r['tmp']}", f"{root}/{r['name']}")
-        files.append({k: r[k] for k in ("name", "bytes", "crc32", "records")})
-    manifest = {"files": files, "records": sum(f["records"] for f in files)}
-    with fs.open_output_stream(f"{root}/tmp/{MANIFEST}", compression=None) as out:
-        out.write(json.dumps(manifest, sort_keys=True).encode())
-    fs.move(f"{root}/tmp/{MANIFEST}", f"{root}/{MANIFEST}")
+    won = written(map_batches(dealt.select("shard", "page_id", "url", "payload", "sha", "first"), start, FILES), "warc-files")
+
+    def rename():
+        at_fs, at_root = file_system(folder)
+
+        def step(batch: pa.RecordBatch):
+            for name, tmp, size in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                here, there = at_fs.get_file_info([f"{at_root}/{tmp}", f"{at_root}/{name}"])
+                if here.is_file:
+                    at_fs.move(here.path, there.path)
+                elif not there.is_file or there.size != size:  # else an attempt before this one has renamed it
+                    raise FileNotFoundError(tmp)
+            return batch
+
+        return step
+
+    files = map_batches(won, rename, FILES).select("name", "bytes", "crc32", "records")
+    files.write.mode("overwrite").parquet(f"{folder}/{MANIFEST}")
     fs.delete_dir(f"{root}/tmp")
-    return manifest
+    many = manifest(spark, folder).agg(F.count("*"), F.coalesce(F.sum("records"), F.lit(0))).first()
+    return {"files": many[0], "records": many[1]}
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows (name, bytes, crc32, records) of the files that were committed."""
+    return spark.read.schema("name string, bytes long, crc32 long, records long").parquet(f"{folder}/{MANIFEST}")
 
 
 def parse(stream) -> list[dict]:
@@ -215,13 +237,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     A revisit's payload is null; its length and digest are those of the full payload.
     """
-    fs, root = file_system(folder)
-    with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
-        files = json.loads(f.read())["files"]
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    names = spark.createDataFrame([(f["name"], f["crc32"]) for f in files], "name string, crc32 long")
-    if files:
-        names = names.repartition(len(files), "name")
+    names = manifest(spark, folder).select("name")
+    names = names.repartition(max(1, names.count()), "name")
 
     def start():
         in_fs, in_root = file_system(folder)

@@ -80,7 +80,7 @@ def threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def mixing_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, source, size, h) of ``docs``, rows (s, source_size, target, whole, edge1, lack, edge2) of its sources and rows (hs, hh, heavy) of their heavy hashes.
+    """Rows (doc_id, source, size, h) of ``docs``, rows (s, source_size, target, whole, rest, edge1, lack, edge2) of its sources and rows (hs, hh, heavy) of their heavy hashes.
 
     A hash is heavy if its rows fit the lack one by one and exceed it together: it is
     taken or left as a block, so the second pass leaves it out.
@@ -100,13 +100,13 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     two = threshold(left, one.select(F.col("s1").alias("source"), F.col("lack").alias("budget")))
     up = F.expr("own > 0 and (below + own) - budget < budget - below")
     two = two.select(F.col("source").alias("s2"), (F.col("edge") + up.cast("int")).alias("edge2"))
-    plan = goal.join(one, F.expr("source <=> s1")).join(two, F.expr("source <=> s2")).select(F.col("source").alias("s"), "source_size", "target", "whole", "edge1", "lack", "edge2")
+    plan = goal.join(one, F.expr("source <=> s1")).join(two, F.expr("source <=> s2")).select(F.col("source").alias("s"), "source_size", "target", "whole", "rest", "edge1", "lack", "edge2")
     plan = written(plan, "mixing")
     return sized, plan, heavy
 
 
-#: How often a row (size, h) beside its source's row of the plan and its heavy hash, if any, is taken.
-COPIES = "whole + cast((h < edge1 or (heavy is null and size <= lack and h < edge2)) as int)"
+#: How often a row (size, h) beside its source's row of the plan and its heavy hash, if any, is taken; once more than as a whole only if the rest holds a word.
+COPIES = "whole + cast(rest >= 1 and (h < edge1 or (heavy is null and size <= lack and h < edge2)) as int)"
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -115,8 +115,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     Each source takes all its documents as often as its target holds the source as a
     whole, and once more those below a hash threshold for the rest. What the rest then
     lacks is filled by a second, nested threshold over the documents above the first
-    that are no larger than the lack, hashes that exceed it as a whole left out. A null text has size 0 and a null source is a
-    source of its own; rows with equal ids share their fate, so repeated rows and
+    that are no larger than the lack, hashes that exceed it as a whole left out. A null
+    text has size 0, and a null source is a source of its own; rows with equal ids share their fate, so repeated rows and
     null ids are taken or left together; an empty table gives an empty result; other
     columns are ignored.
     """

@@ -124,25 +124,28 @@ with d as (
   select r.*, coalesce(e1.edge, 281474976710656) as edge1, r.rest - e1.below as lack from r join e1 on r.source is not distinct from e1.source
 ), c2 as (
   select source, h, sum(own) over (partition by source order by h) - own as below, sum(own) over (partition by source order by h) as upto
-  from (select d.source, d.h, sum(d.size) as own from d join p1 on d.source is not distinct from p1.source where d.h >= p1.edge1 and d.size <= p1.lack and d.size > 0 group by d.source, d.h)
+  from (select d.source, d.h, sum(d.size) as own from d join p1 on d.source is not distinct from p1.source where d.h >= p1.edge1 and d.size <= p1.lack and d.size > 0 group by d.source, d.h having sum(d.size) <= any_value(p1.lack))
+), heavy as (
+  select d.source, d.h from d join p1 on d.source is not distinct from p1.source where d.h >= p1.edge1 and d.size <= p1.lack and d.size > 0 group by d.source, d.h having sum(d.size) > any_value(p1.lack)
 ), e2 as (
   select p1.source, min(c2.h) filter (c2.upto > p1.lack) as edge, arg_min(case when c2.upto - p1.lack < p1.lack - c2.below then 1 else 0 end, c2.h) filter (c2.upto > p1.lack) as up
   from p1 join c2 on p1.source is not distinct from c2.source group by p1.source
 ), p2 as (
   select p1.*, coalesce(e2.edge + e2.up, 281474976710656) as edge2 from p1 left join e2 on p1.source is not distinct from e2.source
 )
-select d.doc_id, d.size, p2.source_size, p2.target, cast(d.size * (p2.whole + case when d.h < p2.edge1 or (d.size <= p2.lack and d.h < p2.edge2) then 1 else 0 end) as bigint) as taken
-from d join p2 on d.source is not distinct from p2.source
+select d.doc_id, d.size, p2.source_size, p2.target, cast(d.size * (p2.whole + case when d.h < p2.edge1 or (heavy.h is null and d.size <= p2.lack and d.h < p2.edge2) then 1 else 0 end) as bigint) as taken
+from d join p2 on d.source is not distinct from p2.source left join heavy on d.source is not distinct from heavy.source and d.h = heavy.h
 """
 
 OP4_SQL = """
 with p as (
   select page_id, cast(octet_length(encode(coalesce(html, ''))) as bigint) as payload_bytes, sha1(coalesce(html, '')) as hex,
-    min(page_id) over (partition by coalesce(html, '')) as first from pages
+    min(page_id) over (partition by coalesce(html, '')) as first,
+    row_number() over (partition by coalesce(html, '') order by page_id nulls last, url nulls first) as place from pages
 )
 select page_id, payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + ((cast('0x' || substr(hex, 5 * (i // 4) + 1, 5) as bigint) >> (15 - 5 * (i % 4))) & 31) as integer), 1)), '') as payload_digest,
-  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+  case when place = 1 or first is null then 'response' else 'revisit' end as record_type, case when place > 1 then first end as refers_to
 from p
 """
 

@@ -174,32 +174,76 @@ def test_maxscore_traverses_and_probes_a_part_only():
     assert best.work.traversed < 0.5 * best.work.whole and best.work.probed < 0.25 * best.work.whole
 
 
+def _kinds(rows):
+    """The records' kinds by the contract: one response a payload, the smallest id's; the others revisit it."""
+    groups = defaultdict(list)
+    for k, u, h in rows:
+        groups[h or ""].append((k is None, k or 0, u or "", k))
+    out = []
+    for own in groups.values():
+        own.sort(key=lambda x: x[:3])
+        first = own[0][3]
+        out += [(-1 if k is None else k, "response" if n == 0 or first is None else "revisit", None if n == 0 else first) for n, (_, _, _, k) in enumerate(own)]
+    return sorted(out, key=repr)
+
+
+WARC_ROWS = [(k, f"http://h/{k}", f"<p>{k % 7}</p>") for k in range(60)] + [(90, None, None), (91, "ü ö", ""), (None, "u", "<p>1</p>"), (92, "a", "x" * 300_000), (93, "a", "same"), (93, "a", "same"), (93, "b", "same"), (None, "a", "same"), (None, "a", "none has an id"), (None, "b", "none has an id"), (None, "b", "alone")]
+
+
 def test_warc_round_trip(spark, tmp_path):
-    rows = [(k, f"http://h/{k}", f"<p>{k % 7}</p>") for k in range(60)] + [(90, None, None), (91, "ü ö", ""), (None, "u", "<p>1</p>"), (92, "a", "x" * 300_000), (93, "a", "same"), (93, "a", "same")]
+    rows = WARC_ROWS
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit("clash"))
     folder = f"file://{tmp_path}/w"
     first = warc.write(df, folder, roll_bytes=4000, shard_bytes=400)
-    assert first["records"] == len(rows) and len(first["files"]) > 3
+    assert first["records"] == len(rows) and first["files"] > 3
     got = warc.read(spark, folder).collect()
-    least = {}
-    for k, _, h in rows:
-        if k is not None:
-            least[h or ""] = min(k, least.get(h or "", k))
     for r in got:
         if r["payload"] is not None:
             assert base64.b32encode(hashlib.sha1(bytes(r["payload"])).digest()).decode() == r["payload_digest"]
-    kinds = sorted((r["page_id"] if r["page_id"] is not None else -1, r["record_type"], r["refers_to"] or 0) for r in got)
-    seen, want = set(), []
-    for k, _, h in rows:
-        h = h or ""
-        new = k is None or (k == least[h] and h not in seen)
-        if k is not None and new:
-            seen.add(h)
-        want.append((-1 if k is None else k, "response" if new else "revisit", 0 if new else least[h]))
-    assert kinds == sorted(want)
-    again = warc.write(df.repartition(5), f"file://{tmp_path}/w2", roll_bytes=4000, shard_bytes=400)
-    assert again == first
+    assert sorted(((r["page_id"] if r["page_id"] is not None else -1, r["record_type"], r["refers_to"]) for r in got), key=repr) == _kinds(rows)
+    listed = sorted(map(tuple, warc.manifest(spark, folder).collect()))
+    assert warc.write(df.repartition(5), f"file://{tmp_path}/w2", roll_bytes=4000, shard_bytes=400) == first
+    assert sorted(map(tuple, warc.manifest(spark, f"file://{tmp_path}/w2").collect())) == listed
     empty = f"file://{tmp_path}/w3"
-    assert warc.write(df.limit(0), empty)["files"] == [] and warc.read(spark, empty).count() == 0
-    name = first["files"][0]["name"]
-    assert zlib.crc32((tmp_path / "w" / name).read_bytes()) == first["files"][0]["crc32"]
+    assert warc.write(df.limit(0), empty) == {"files": 0, "records": 0} and warc.read(spark, empty).count() == 0
+    assert {p.name for p in (tmp_path / "w").glob("*.warc.gz")} == {n for n, *_ in listed} and not (tmp_path / "w" / "tmp").exists()
+    for name, size, crc, _ in listed:
+        data = (tmp_path / "w" / name).read_bytes()
+        assert (zlib.crc32(data), len(data)) == (crc, size)
+
+
+def test_warc_sql_and_code_agree_on_repeated_rows_and_null_ids(spark, tmp_path):
+    import duckdb
+
+    from patchlake.llm import queries
+
+    spark.createDataFrame(WARC_ROWS, "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = queries.op4_warc(spark, f"file://{tmp_path}")
+    want = con.execute(f"select {', '.join(got.columns)} from ({queries.OP4_SQL})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_mixing_sql_and_code_agree_beside_heavy_ids_and_empty_texts(spark, tmp_path):
+    import duckdb
+
+    from patchlake.llm import queries
+
+    rng = random.Random(21)
+    rows = [(k, "a", "w " * 13) for k in range(159)] + [(1000 + k, "b", "w " * 5) for k in range(134)] + [(None, "b", "w " * 5)] * 66 + [(3000 + k, "c", "w " * rng.randint(0, 3)) for k in range(50)] + [(4000 + k, None, rng.choice([None, "", "x y"])) for k in range(20)] + [(77, "d", "w w w")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    df.write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.op3_mixing(spark, f"file://{tmp_path}")
+    want = con.execute(f"select {', '.join(got.columns)} from ({queries.OP3_SQL})").fetchall()
+    plain = lambda rows: sorted([(r[0], r[1], r[2], round(r[3], 6), r[4]) for r in rows], key=repr)
+    assert plain(map(tuple, got.collect())) == plain(want)
+
+
+def test_no_document_is_taken_more_than_twice(spark):
+    rows = [(k, "a", "one two three four five") for k in range(4)] + [(10 + k, "a", "") for k in range(6)] + [(100 + k, "b", "w " * 40) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    times = {r["doc_id"]: r["count"] for r in mixing.mixed(df).groupBy("doc_id").count().collect()}
+    assert max(times.values()) == 2 and all(times.get(k) == 2 for k in (0, 10, 15))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, written
 
 BITS = 20
 ORDERS = (3, 4, 5)
@@ -110,6 +110,15 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, weigh
     return v * ratio, b
 
 
+#: Sides of the dice that picks rows to fit on: fine enough for any number of rows.
+DICE = 1 << 50
+
+
+def dice(key: str):
+    """A number below ``DICE`` by a hash of the id."""
+    return F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("fit")), F.lit(DICE))
+
+
 def fit(labelled: DataFrame, key: str = "doc_id", features: int = 4096, max_fit_rows: int = 8000) -> Model:
     """A model from rows (key, text, label 0 or 1).
 
@@ -117,19 +126,17 @@ def fit(labelled: DataFrame, key: str = "doc_id", features: int = 4096, max_fit_
     about ``max_fit_rows`` rows a label, chosen by a hash of ``key``.
     Without rows of both labels the model gives every text the share of toxic rows.
     """
-    counts = ngram_label_counts(labelled).persist()
+    counts = written(ngram_label_counts(labelled), "toxicity")
     total = counts.where("bucket = -1").first()
     n1, n0 = (total["n1"], total["n0"]) if total else (0, 0)
     slot = np.full(1 << BITS, -1, np.int64)
     if not n1 or not n0:
-        counts.unpersist()
         share = (n1 + 0.5) / (n1 + n0 + 1)
         return Model(slot, np.zeros(0), float(np.log(share / (1 - share))))
     p1, p0 = (F.col("n1") + 0.5) / (n1 + 1), (F.col("n0") + 0.5) / (n0 + 1)
     both = (F.col("n1") + F.col("n0") + 0.5) / (n1 + n0 + 1)
     gain = (p1 - p0) * (p1 - p0) / (both * (1.0001 - both))
     best = counts.where("bucket >= 0 and n1 + n0 >= 3").select("bucket", "n1", "n0", gain.alias("gain")).orderBy(F.desc("gain"), "bucket").limit(features).collect()
-    counts.unpersist()
     slot[[r["bucket"] for r in best]] = np.arange(len(best))
     c1, c0 = np.array([r["n1"] for r in best], float), np.array([r["n0"] for r in best], float)
     ratio = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
@@ -143,8 +150,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", features: int = 4096, max_fit_
         return step
 
     share1, share0 = min(1.0, max_fit_rows / n1), min(1.0, max_fit_rows / n0)
-    dice = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("fit")), F.lit(1_000_000))
-    chosen = labelled.where(dice < F.when(F.col("label") == 1, int(share1 * 1e6)).otherwise(int(share0 * 1e6)))
+    chosen = labelled.where(dice(key) < F.when(F.col("label") == 1, F.lit(int(share1 * DICE))).otherwise(F.lit(int(share0 * DICE))))
     sample = map_batches(chosen.select("text", F.col("label").cast("int").alias("label")), start, "label int, present binary").collect()
     rows = [np.frombuffer(r["present"], np.int32) for r in sample]
     y = np.array([r["label"] for r in sample], float)

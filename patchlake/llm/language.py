@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, written
-from .toxicity import held_out
+from .toxicity import DICE, dice, held_out
 
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE = 400_000
+#: Tokens whose rows a worker remembers (some 30 MB), and tokens of a text summed at a time.
+_CACHE, _PART = 200_000, 50_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -53,35 +54,34 @@ class Model:
                 return self.logs[found].sum(0) / len(found)
         return np.zeros(len(self.langs))
 
-    def _token(self, token: str) -> int:
-        """The row of a token's summed words, remembered while there is room."""
-        if self._rows is None:
-            self._rows = np.zeros((1024, len(self.langs)))
-        if len(self._at) >= _CACHE:
-            self._at.clear()
+    def _place(self, token: str) -> int:
+        """Where the row of a token's summed words is remembered."""
         at = len(self._at)
-        if at == len(self._rows):
-            self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
+        if self._rows is None or at == len(self._rows):
+            more = np.zeros((max(1024, at), len(self.langs)))
+            self._rows = more if self._rows is None else np.concatenate([self._rows, more])
         words = _LETTERS.findall(token)
         self._rows[at] = self.word(words[0]) if len(words) == 1 else sum((self.word(w) for w in words), np.zeros(len(self.langs)))
         self._at[token] = at
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its share among all; ``und`` and 0 for a text without letters or a model without languages."""
+        """The language and its share among all; ``und`` and 0 for a text without letters or a model without languages.
+
+        Rows of tokens are summed in the order of the text, whatever is remembered, so
+        the same text and model give the same bits.
+        """
         if not self.langs or not text or not any(c.isalpha() for c in text):
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs))
         many = Counter(text.lower().split())
-        known = list(map(self._at.get, many))
-        rows = [k for k in known if k is not None]
-        if rows:
-            times = np.array([n for n, k in zip(many.values(), known) if k is not None], float)
-            total += times @ self._rows[rows]
-        for token, at in zip(many, known):
-            if at is None:
-                at = self._token(token)
-                total += many[token] * self._rows[at]
+        total, tokens = np.zeros(len(self.langs)), list(many)
+        for k in range(0, len(tokens), _PART):
+            part = tokens[k : k + _PART]
+            if len(self._at) + len(part) > _CACHE:
+                self._at.clear()
+            known = self._at.get
+            rows = [at if (at := known(t)) is not None else self._place(t) for t in part]
+            total += np.fromiter(map(many.__getitem__, part), float, len(part)) @ self._rows[rows]
         share = np.exp(total - total.max())
         best = int(total.argmax())
         return self.langs[best], float(share[best] / share.sum())
@@ -131,9 +131,8 @@ def fit(labelled: DataFrame, key: str = "doc_id", max_fit_rows: int = 4000, entr
     langs = sorted(many)
     if not langs:
         return Model([], {}, np.zeros((0, 0)))
-    limit = F.create_map(*(F.lit(x) for lang in langs for x in (lang, min(1_000_000, int(1e6 * max_fit_rows / many[lang])))))
-    dice = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("fit")), F.lit(1_000_000))
-    counts = written(_counts(labelled.where(dice < limit[F.col("lang")])), "language")
+    limit = F.create_map(*(F.lit(x) for lang in langs for x in (lang, int(DICE * min(1.0, max_fit_rows / many[lang])))))
+    counts = written(_counts(labelled.where(dice(key) < limit[F.col("lang")])), "language")
     size = counts.groupBy("kind", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect()
     all_of, kinds_of = {(r["kind"], r["lang"]): r["n"] for r in size}, {}
     for r in size:

@@ -72,6 +72,100 @@ def test_backoff_goes_to_shorter_grams():
     assert model.word("qq").tolist() == [0, 0]
 
 
+def test_ngrams_counts_and_scores_equal_brute_force(spark):
+    import numpy as np
+
+    def buckets(text):
+        flat, out = " " + " ".join(text.lower().split()) + " ", set()
+        for n in (3, 4, 5):
+            for k in range(len(flat) - n + 1):
+                h = 0
+                for c in flat[k : k + n]:
+                    h = (h * 0x100000001B3 + ord(c)) % 2**64
+                out.add(((h * 0x9E3779B97F4A7C15 + n * 0x100000001B3) * 0x9E3779B97F4A7C15) % 2**64 >> 44)
+        return out
+
+    rng = random.Random(17)
+    texts = ["", "a", "ab", "ß Ü", "日本 語"] + ["".join(rng.choices("abc dé", k=rng.randint(1, 60))) for _ in range(120)]
+    for t in texts:
+        assert {int(x) for b in toxicity.ngram_buckets(t) for x in b} == buckets(t), t
+    labels = [rng.randint(0, 1) for _ in texts]
+    df = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(zip(texts, labels))], "doc_id long, text string, label int").repartition(3)
+    got = {r["bucket"]: (r["n1"], r["n0"]) for r in toxicity.ngram_label_counts(df).collect()}
+    want = {-1: (sum(labels), len(labels) - sum(labels))}
+    for t, y in zip(texts, labels):
+        for b in buckets(t):
+            a = want.get(b, (0, 0))
+            want[b] = (a[0] + y, a[1] + 1 - y)
+    assert got == want
+    model = toxicity.fit(df, features=200)
+    for t in texts:
+        on = [int(model.slot[b]) for b in buckets(t) if model.slot[b] >= 0]
+        z = model.bias + sum(model.weight[k] for k in set(on))
+        assert abs(model.score(t) - 1 / (1 + math.exp(-z))) < 1e-9
+    # the features are those with the largest gain, and no small step of the weights lowers the loss
+    n1, n0 = want[-1]
+    def gain(b):
+        c1, c0 = want[b]
+        p1, p0, both = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1), (c1 + c0 + 0.5) / (n1 + n0 + 1)
+        return (p1 - p0) ** 2 / (both * (1.0001 - both))
+    ranked = sorted((b for b in want if b >= 0 and sum(want[b]) >= 3), key=lambda b: (-round(gain(b), 12), b))[:200]
+    assert {round(gain(b), 9) for b in ranked} == {round(gain(b), 9) for b in np.flatnonzero(model.slot >= 0)}
+    ratio = np.zeros(200)
+    for b in np.flatnonzero(model.slot >= 0):
+        c1, c0 = want[int(b)]
+        ratio[model.slot[b]] = math.log((c1 + 0.5) / (n1 + 1)) - math.log((c0 + 0.5) / (n0 + 1))
+    present = np.zeros((len(texts), 200))
+    for k, t in enumerate(texts):
+        present[k, model.present(t)] = 1
+    y, safe = np.array(labels), np.where(ratio == 0, 1, ratio)
+
+    def loss(v, b):
+        z = b + present @ (v * ratio)
+        return np.mean(np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y)) + 3e-4 / 2 * v @ v
+
+    v = np.where(ratio == 0, 0, model.weight / safe)
+    assert loss(v, model.bias) < loss(np.zeros(200), math.log(n1 / n0)) * 0.8
+
+
+def test_language_equals_brute_force(spark):
+    import re
+    from collections import Counter
+
+    docs, _ = _docs(spark, 240)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect() if r["doc_id"] is not None and r["doc_id"] < 240]
+    extra = [(900, "riverhouse unbekannte wörter geht", None), (901, "zzzz qqq", None), (902, "the der", None)]
+    df = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string").repartition(4)
+    got = {r["doc_id"]: r for r in language.language(df).collect()}
+    counts = {k: {"de": Counter(), "en": Counter()} for k in (0, 1, 2, 3, 4, 5)}
+    for k, text, lang in rows:
+        if zlib.crc32(str(k).encode()) % 4 != 2:
+            for w in re.findall(r"[^\W\d_]+", text.lower()):
+                counts[0][lang][w] += 1
+                for n in range(1, 6):
+                    counts[n][lang].update(f" {w} "[i : i + n] for i in range(len(w) + 3 - n))
+    kinds = {n: max(len(c) for c in by.values()) for n, by in counts.items()}
+    known = {n: {g for g in {*by["de"], *by["en"]} if by["de"][g] + by["en"][g] >= 2} for n, by in counts.items()}
+
+    def log(n, g, lang):
+        return math.log((counts[n][lang][g] + 0.5) / (sum(counts[n][lang].values()) + 0.5 * kinds[n]))
+
+    def word(w, lang):
+        if w in known[0]:
+            return log(0, w, lang)
+        for n in (5, 4, 3, 2, 1):
+            own = [g for i in range(len(w) + 3 - n) if (g := f" {w} "[i : i + n]) in known[n]]
+            if own:
+                return sum(log(n, g, lang) for g in own) / len(own)
+        return 0.0
+
+    for k, text, _ in rows + extra:
+        total = {lang: sum(word(w, lang) for w in re.findall(r"[^\W\d_]+", text.lower())) for lang in ("de", "en")}
+        best = max(total, key=lambda x: total[x])
+        share = 1 / (1 + math.exp(min(total.values()) - max(total.values())))
+        assert got[k]["lang_pred"] == best and abs(got[k]["score"] - share) < 1e-9, (k, text)
+
+
 def _repeats(words):
     from collections import Counter
 

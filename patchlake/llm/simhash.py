@@ -284,11 +284,15 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, all columns, without near-duplicates: of each group the document with the smallest id.
 
-    Repeated rows of one id stay once; rows with a null id name no document and stay.
+    Of several rows of one id only the smallest by its text (null first), then by a
+    hash of the whole row takes part; rows with a null id name no document and stay.
     """
+    again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "similar-again")
+    if again.count():
+        once, row = docs.join(again, "doc_id", "left_anti").select(docs.columns), F.struct(*docs.columns)
+        twice = docs.join(again, "doc_id", "left_semi").select(row.alias("_row"))
+        twice = twice.groupBy("_row.doc_id").agg(F.min_by("_row", F.struct(F.col("_row.text"), F.xxhash64("_row"))).alias("_row")).select("_row.*")
+        docs = once.unionByName(twice.select(docs.columns))
     groups = similar_groups(docs, **how)
     gone = written(groups.where("doc_id <> group_id").select("doc_id"), "similar-gone")
-    again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "similar-again")
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    once = left.join(again, "doc_id", "left_anti").select(docs.columns)
-    return once.unionByName(left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

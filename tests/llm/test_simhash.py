@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -97,3 +98,23 @@ def test_empty_tables_and_repeated_rows(spark):
     rows = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
     assert [tuple(r)[0::2] for r in simhash.simhash_components(rows).orderBy("doc_id").collect()] == [(None, 5), (5, 5), (5, 5), (7, 5)]
     assert sorted(r["doc_id"] or 0 for r in simhash.one_of_each(rows).collect()) == [0, 5]
+
+
+def test_of_rows_with_one_id_the_smallest_text_stays(spark):
+    a, b, c = "b c d e f g h i j", "a c d e f g h i j", "x y z x y z x y z"
+    rows = spark.createDataFrame([(1, a, "p"), (1, b, "q"), (1, b, "r"), (2, a, "s"), (3, c, "t"), (4, c, "u"), (None, c, "v"), (None, c, "v")], "doc_id long, text string, source string")
+    for parts in (1, 3):
+        got = sorted((r["doc_id"] or 0, r["text"], r["source"]) for r in simhash.one_of_each(rows.repartition(parts)).collect())
+        assert [x[:2] for x in got] == [(0, c), (0, c), (1, b), (2, a), (3, c)] and got[2] in ((1, b, "q"), (1, b, "r"))
+
+
+def test_fingerprints_equal_a_plain_count_of_bits():
+    import xxhash
+
+    for text in _texts():
+        words = [w for w in re.split("[\\x20\\x09-\\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w][:3000]
+        text = " ".join(words)
+        shingles = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([text] if words else [])
+        hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+        want = sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+        assert simhash.simhash(text)[0] % 2**64 == want

@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 from .functions import ids, sanitize, text, urls
 from .operators import classify, diff, discovery, gate, manifest, payload, progress, reading, registry, render, search
 from .operators import symbols as symbol_ops
+from .registering import ORACLE, QUERIES, query, read
 
-NOW = "2024-06-01 00:00:00"
-
+__all__ = ["ORACLE", "QUERIES"]
 
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+NOW = "2024-06-01 00:00:00"
 
 
 # --- adapter views -----------------------------------------------------------------
@@ -68,20 +67,6 @@ def raw_diff_view(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select(F.col("doc_id").alias("pr"), raw.alias("raw_diff"), "source")
 
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
-
 # --- diffs ---------------------------------------------------------------------------
 
 
@@ -89,7 +74,7 @@ def query(sql: str | None = None):
   cast(len(string_split(text, chr(10))) as bigint) as additions, cast(0 as bigint) as deletions from documents""")
 def diff_file_stats(spark, d):
     """Per-file counts of parsed raw diffs."""
-    files = diff.diff_files(diff.marked_lines(raw_diff_view(spark, d)))
+    files = diff.parsed_files(raw_diff_view(spark, d))
     return files.select("pr", diff.file_path(files).alias("path"), "status", "additions", "deletions")
 
 
@@ -103,13 +88,12 @@ def diff_line_numbers(spark, d):
 @query("""select doc_id as pr, 'documentation_only' as kind, false as functional_change, cast(1.0 as double) as confidence, 'none' as level, 'markdown' as language from documents""")
 def change_kinds(spark, d):
     """Kind, risk and language of every parsed file."""
-    marked = diff.marked_lines(raw_diff_view(spark, d))
-    facts = classify.file_facts(diff.diff_files(marked), diff.diff_lines(marked))
+    facts = classify.parsed_facts(diff.parsed_files(raw_diff_view(spark, d)))
     facts = classify.with_risk(facts.withColumn("classification", classify.change_kind(facts)))
     return facts.select("pr", "classification.kind", "classification.functional_change", F.col("classification.confidence").cast("double").alias("confidence"), "risk.level", classify.language(F.col("path")).alias("language"))
 
 
-def _lines_view(spark, d, head, tail):
+def _lines_view(spark, d):
     """Documents as source files of one class each: one hunk whose lines are code around the document's first word."""
     word = F.regexp_replace(F.initcap(F.regexp_extract(F.lower("text"), "[a-z]{3,}", 0)), "[^A-Za-z]", "")
     docs = read(spark, d, "documents").where(F.length(word) > 0)
@@ -126,32 +110,20 @@ WORD_SQL = "with w as (select doc_id as pr, regexp_extract(lower(text), '[a-z]{3
   union all select pr, 'constructor', word || 'Controller', 'deleted_symbol', 7 from x""")
 def diff_symbols(spark, d):
     """Symbols of changed lines."""
-    marked = diff.marked_lines(_lines_view(spark, d, "", ""))
+    marked = diff.marked_lines(_lines_view(spark, d))
     files = diff.diff_files(marked).withColumn("kind", F.lit("functional_logic"))
     return symbol_ops.symbols(diff.diff_lines(marked), files).select("pr", "kind", "name", "change", F.col("line").cast("long").alias("line"))
 
 
-@query(WORD_SQL + """ select pr, 'functional_logic' as kind, 'medium' as level, 'public_api' as tags, 'Functional code modifications present|Public Controller action method signature modified' as evidence from x
-  where not regexp_matches(word, '(?i)jwt|token|bearer|claim|permission|rbac|identity|password|hash|encrypt|secret|apikey|lock')""")
-def code_risk(spark, d):
-    """X03, X05 on code: tags and evidence of controllers (documents whose word is no risk word itself)."""
-    marked = diff.marked_lines(_lines_view(spark, d, "", ""))
-    facts = classify.file_facts(diff.diff_files(marked), diff.diff_lines(marked))
-    facts = classify.with_risk(facts.withColumn("classification", classify.change_kind(facts)))
-    facts = facts.where(~F.col("path").rlike("(?i)jwt|token|bearer|claim|permission|rbac|identity|password|hash|encrypt|secret|apikey|lock"))
-    return facts.select("pr", "classification.kind", "risk.level", F.array_join("risk.tags", ",").alias("tags"), F.concat_ws("|", "classification.evidence", "risk.evidence").alias("evidence"))
-
-
 @query(WORD_SQL + r""", r as (select pr, regexp_matches(word, '(?i)jwt|token|bearer|claim|permission|rbac|identity|password|hash|encrypt|secret') as auth,
   regexp_matches(word, '(?i)apikey|connectionstring|password|secret') as config, regexp_matches(word, '(?i)lock$|transactionscope|begintransactionasync|semaphoreslim') as locks from x)
 select pr, 'functional_logic' as kind, case when auth then 'high' else 'medium' end as level,
   concat_ws(',', 'public_api', case when auth then 'auth_security' end, case when config then 'secret_config' end, case when locks then 'concurrency_transaction' end) as tags,
   concat_ws('|', 'Functional code modifications present', 'Public Controller action method signature modified', case when auth then 'Authentication, authorization, or security sensitive logic modified' end,
     case when config then 'Application configuration or secret property modified' end, case when locks then 'Database transaction or thread concurrency sync primitive modified' end) as evidence from r""")
-def code_risk_all(spark, d):
-    """X03, X05 on code of all documents, risk words too (``code_risk`` leaves those out)."""
-    marked = diff.marked_lines(_lines_view(spark, d, "", ""))
-    facts = classify.file_facts(diff.diff_files(marked), diff.diff_lines(marked))
+def code_risk(spark, d):
+    """X03, X05 on code of all documents."""
+    facts = classify.parsed_facts(diff.parsed_files(_lines_view(spark, d)))
     facts = classify.with_risk(facts.withColumn("classification", classify.change_kind(facts)))
     return facts.select("pr", "classification.kind", "risk.level", F.array_join("risk.tags", ",").alias("tags"), F.concat_ws("|", "classification.evidence", "risk.evidence").alias("evidence"))
 
@@ -488,15 +460,6 @@ def files_markdown(spark, d):
     return render.files_summary(file_view(spark, d))
 
 
-@query("""select doc_id, 'doc' || doc_id || '.' || ext as name, ext in ('env', 'pem') or (ext = 'json' and doc_id % 2 = 0) as sensitive from (select doc_id, (['env', 'pem', 'json', 'ts'])[doc_id % 4 + 1] as ext from documents) where ext <> 'env' and ext <> 'json'""")
-def sensitive_files(spark, d):
-    """F08."""
-    ext = F.element_at(F.array(*(F.lit(x) for x in ("env", "pem", "json", "ts"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("."), ext)
-    rows = read(spark, d, "documents").where(~ext.isin("env", "json")).select("doc_id", name.alias("name"))
-    return rows.withColumn("sensitive", sanitize.is_sensitive_file(F.col("name")))
-
-
 #: Names that stand for every part of the rule, and near misses; whether the rule takes them.
 FILE_NAMES = (
     (".env", True), (".ENV.local", True), ("doc.env", False), ("envs", False), ("appsettings.Dev#.json", True), ("my.appsettings.json", False), ("secrets#.json", True), ("secrets.yml", False), ("credentials#", True),
@@ -506,8 +469,8 @@ FILE_NAMES_SQL = ", ".join(f"({k}, '{name}', {str(hit).lower()})" for k, (name,
 
 
 @query(f"select doc_id, 'a/' || replace(t.name, '#', cast(doc_id as varchar)) as name, t.hit as sensitive from documents join (values {FILE_NAMES_SQL}) t(k, name, hit) on doc_id % {len(FILE_NAMES)} = t.k")
-def sensitive_names(spark, d):
-    """F08 over all documents: every part of the rule and its near misses (``sensitive_files`` is its half of two endings)."""
+def sensitive_files(spark, d):
+    """F08 over all documents: every part of the rule and its near misses."""
     at = (F.col("doc_id") % len(FILE_NAMES) + 1).cast("int")
     name = F.replace(F.element_at(F.array(*(F.lit(n) for n, _ in FILE_NAMES)), at), F.lit("#"), F.col("doc_id").cast("string"))
     rows = read(spark, d, "documents").select("doc_id", F.concat(F.lit("a/"), name).alias("name"))
@@ -527,3 +490,6 @@ def log_redact(spark, d):
     """X14, X15."""
     line = F.concat(F.lit("Bearer abc."), F.col("c_custkey").cast("string"), F.lit(" c"), F.col("c_custkey").cast("string"), F.lit('@mail.org {"token" : "t'), "c_name", F.lit('"}'))
     return read(spark, d, "customer").select("c_custkey", sanitize.redact_auth(sanitize.redact_log(line)).alias("line"), sanitize.mask_token(F.col("c_name")).alias("masked"))
+
+
+from . import cases  # noqa: E402, F401  (registers its queries)

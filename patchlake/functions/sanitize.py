@@ -18,7 +18,6 @@ QUERY_SECRET = r"(?i)([?&](?:access_token|token|key|secret|password|auth|api_key
 URL_LOGIN = r"(?i)https?://([^:]+):([^@]+)@"
 JSON_SECRET = r"(?i)\"(app_password|token|password|secret|authorization)\"\s*:\s*\"([^\"]+)\""
 AUTH_HEADER = r"(?i)(Authorization:\s*)([^\r\n]+)"
-VENDOR_TOKEN = r"(?i)(ATBB[A-Za-z0-9_-]{10,})"
 LOG_BEARER = r"(?i)Bearer\s+[A-Za-z0-9\-._~+/]+=*"
 LOG_BASIC = r"(?i)Basic\s+[A-Za-z0-9+/]+=*"
 LOG_VENDOR_TOKEN = r"ATBB[a-zA-Z0-9_\-]+"

@@ -74,6 +74,15 @@ def file_facts(files: DataFrame, lines: DataFrame) -> DataFrame:
     return out.withColumns({"all_blank": F.coalesce("all_blank", F.lit(True)), "all_comments": F.coalesce("all_comments", F.lit(True)), "text": F.coalesce("text", F.lit(""))})
 
 
+def parsed_facts(parsed: DataFrame) -> DataFrame:
+    """``file_facts`` of ``diff.parsed_files``, inside the row: no explode, no shuffle."""
+    path = F.coalesce(first_filled(F.col("new_path"), F.col("old_path")), F.lit(""))
+    of = lambda role: F.transform(F.filter("lines", lambda x: x["role"] == role), lambda x: F.substring(x["line"], 2, 1 << 30))
+    d = parsed.withColumn("path", path).withColumn("changed", F.concat(of("add"), of("delete"))).drop("lines")
+    blank, comment = F.forall("changed", is_blank), F.forall("changed", lambda c: is_comment_line(c, extname(F.col("path"))))
+    return d.withColumns({"all_blank": blank, "all_comments": comment, "text": F.array_join("changed", "\n")}).drop("changed")
+
+
 def change_kind(facts: DataFrame) -> Column:
     """Struct (kind, functional_change, confidence, evidence) by the first rule that holds on a row of ``file_facts``."""
     path, ext, base = F.col("path"), extname(F.col("path")), basename(F.col("path"))
@@ -132,6 +141,7 @@ def with_risk(facts: DataFrame, sensitive: Column | None = None) -> DataFrame:
     has = lambda c, p: c.rlike("(?i)" + p)
     routed = has(text, r"\[(HttpGet|HttpPost|HttpPut|HttpDelete|HttpPatch|Route)\b|rpc\s+\w+\s*\(")
     signature = has(text, r"public\s+async\s+Task<[^>]+>\s+\w+\s*\(|public\s+\w+\s+\w+\s*\([^)]*\)")
+    # alternatives of one verb are folded into one pattern, so a text is searched once; the matches are the same
     surface = base.contains("Controller") | (ext == ".proto")
     flags = F.array(
         surface & routed,

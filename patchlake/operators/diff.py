@@ -41,6 +41,61 @@ def _header_paths(line: Column) -> tuple[Column, Column]:
     return pick(1, old), pick(2, new)
 
 
+_DIRECTIVE = r"\A(new file mode|deleted file mode|similarity index|rename from|rename to|copy from|copy to|Binary files)"
+
+
+def _role(line: Column, first: Column, inside: Column) -> Column:
+    """What a line of a file is; ``first`` is the file's header line, ``inside`` holds from the first hunk header on."""
+    return (
+        F.when(first, "header")
+        .when(~inside & line.rlike(_DIRECTIVE), "directive")
+        .when(line.startswith("--- "), "old")
+        .when(line.startswith("+++ "), "new")
+        .when(line.startswith("@@ "), F.when(line.rlike(_HUNK), "hunk").otherwise("skip"))
+        .when(~inside, "skip")
+        .when(line.startswith("+") & ~line.startswith("+++"), "add")
+        .when(line.startswith("-") & ~line.startswith("---"), "delete")
+        .when(line.startswith(" ") | (line == ""), "context")
+        .otherwise("skip")
+    )
+
+
+def parsed_files(diffs: DataFrame) -> DataFrame:
+    """Rows (pr, file_ord, lines, old_path, new_path, status, is_binary, additions, deletions, header_lines) of (pr, raw_diff).
+
+    ``lines`` is array<struct<role, line>>. The same as ``diff_files`` of
+    ``marked_lines``, but read with array functions inside the row of the file: no line
+    is exploded and nothing is shuffled. Columns of ``diffs`` besides these are dropped.
+    """
+    d = file_texts(diffs).select(*FILE, F.split("text", r"\r?\n", -1).alias("raw"))
+    at = F.array_position(F.transform("raw", lambda line, i: (i > 0) & line.rlike(_HUNK)), F.lit(True))
+    d = d.withColumn("hunk_at", F.when(at > 0, at - 1).otherwise(F.size("raw")))
+    d = d.select(*FILE, F.transform("raw", lambda line, i: F.struct(_role(line, i == 0, i >= F.col("hunk_at")).alias("role"), line.alias("line"))).alias("lines"))
+    shown = lambda line: wide_trim(F.substring(line, 5, 1 << 30))
+    is_null = lambda x: shown(x["line"]) == "/dev/null"
+    last = lambda array: F.try_element_at(array, F.lit(-1))
+    of = lambda array, role: F.filter(array, lambda x: x["role"] == role)
+    git_old, git_new = _header_paths(F.col("lines")[0]["line"])
+    old_path = lambda old, header: F.when(old.isNull(), header).when(~is_null(old), F.regexp_replace(shown(old["line"]), r"\Aa/", ""))
+    old, new = last(of(F.col("lines"), "old")), last(of(F.col("lines"), "new"))
+    # the old path as it stands where the last new one is read
+    after_new = F.array_position(F.transform(F.reverse("lines"), lambda x: x["role"] == "new"), F.lit(True)).cast("int") - 1
+    old_then = last(of(F.slice("lines", 1, F.greatest(F.lit(0), F.size("lines") - after_new)), "old"))
+    new_path = F.when(new.isNull(), git_new).when(is_null(new), F.coalesce(old_path(old_then, git_old), F.lit(""))).otherwise(F.regexp_replace(shown(new["line"]), r"\Ab/", ""))
+    line_status = lambda x: (
+        F.when((x["role"] == "old") & is_null(x), "added")
+        .when((x["role"] == "new") & is_null(x), "deleted")
+        .when(x["role"] == "directive", F.when(x["line"].startswith("new file"), "added").when(x["line"].startswith("deleted file"), "deleted").when(x["line"].startswith("rename"), "renamed").when(x["line"].startswith("copy"), "copied").when(x["line"].startswith("Binary"), "binary"))
+    )
+    heads = F.filter("lines", lambda x: x["role"].isin("header", "directive", "old", "new"))
+    return d.select(
+        *FILE, "lines", old_path(old, git_old).alias("old_path"), new_path.alias("new_path"), F.coalesce(last(F.array_compact(F.transform(heads, line_status))), F.lit("modified")).alias("status"),
+        F.exists("lines", lambda x: (x["role"] == "directive") & x["line"].startswith("Binary files")).alias("is_binary"),
+        F.size(of(F.col("lines"), "add")).cast("long").alias("additions"), F.size(of(F.col("lines"), "delete")).cast("long").alias("deletions"),
+        F.transform(heads, lambda x: x["line"]).alias("header_lines"),
+    )
+
+
 def marked_lines(diffs: DataFrame) -> DataFrame:
     """``file_lines`` with what each line is: ``role`` is header, old, new, hunk, directive, add, delete, context or skip.
 
@@ -52,21 +107,7 @@ def marked_lines(diffs: DataFrame) -> DataFrame:
     w = Window.partitionBy(*FILE).orderBy("n")
     line = F.col("line")
     d = d.withColumn("hunk_ord", F.sum(((F.col("n") > 0) & line.rlike(_HUNK)).cast("int")).over(w))
-    inside = F.col("hunk_ord") > 0
-    directive = line.rlike(r"\A(new file mode|deleted file mode|similarity index|rename from|rename to|copy from|copy to|Binary files)")
-    role = (
-        F.when(F.col("n") == 0, "header")
-        .when(~inside & directive, "directive")
-        .when(line.startswith("--- "), "old")
-        .when(line.startswith("+++ "), "new")
-        .when(line.startswith("@@ "), F.when(line.rlike(_HUNK), "hunk").otherwise("skip"))
-        .when(~inside, "skip")
-        .when(line.startswith("+") & ~line.startswith("+++"), "add")
-        .when(line.startswith("-") & ~line.startswith("---"), "delete")
-        .when(line.startswith(" ") | (line == ""), "context")
-        .otherwise("skip")
-    )
-    return d.withColumn("role", role)
+    return d.withColumn("role", _role(line, F.col("n") == 0, F.col("hunk_ord") > 0))
 
 
 def diff_files(marked: DataFrame) -> DataFrame:

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from ..functions.ids import revision_id
 from ..operators import gate
 
-TABLES = ("manifest", "files_index", "commits", "coverage", "file_changes", "patches", "context", "files_summary", "actions", "file_details")
-
 
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -22,17 +22,17 @@ def _same(spark, con, name, folder):
     return [r.asDict() for r in got.collect()]
 
 
-def test_sensitive_names_cover_the_rule_over_all_documents(spark, tmp_path):
+def test_sensitive_files_cover_the_rule_over_all_documents(spark, tmp_path):
     con = _documents(spark, tmp_path, ["x"] * 50)
-    got = {r["doc_id"]: (r["name"], r["sensitive"]) for r in _same(spark, con, "sensitive_names", tmp_path)}
+    got = {r["doc_id"]: (r["name"], r["sensitive"]) for r in _same(spark, con, "sensitive_files", tmp_path)}
     assert len(got) == 50
     assert got[0] == ("a/.env", True) and got[2] == ("a/doc.env", False) and got[26] == ("a/secrets26.json", True) and got[38] == ("a/doc38.json", False)
 
 
-def test_code_risk_all_tags_risk_words(spark, tmp_path):
+def test_code_risk_tags_risk_words(spark, tmp_path):
     words = "plain token jwt bearer claim permission rbac identity password hash rehash encrypt secret apikey connectionstring lock block locker transactionscope semaphoreslim".split()
     con = _documents(spark, tmp_path, words)
-    got = {words[r["pr"]]: (r["level"], r["tags"]) for r in _same(spark, con, "code_risk_all", tmp_path)}
+    got = {words[r["pr"]]: (r["level"], r["tags"]) for r in _same(spark, con, "code_risk", tmp_path)}
     assert len(got) == len(words)
     assert got["plain"] == ("medium", "public_api") and got["identity"] == ("high", "public_api,auth_security")
     assert got["secret"] == ("high", "public_api,auth_security,secret_config") and got["block"] == ("medium", "public_api,concurrency_transaction")

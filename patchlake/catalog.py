@@ -380,7 +380,7 @@ def url_redact(spark, d):
 @query("""select page_id, case when page_id % 4 = 1 then 'insecure protocol' when page_id % 4 = 2 then 'invalid path' when page_id = 0 then 'invalid id' end as error,
   case when page_id % 4 in (0, 3) and page_id > 0 then 'https://bitbucket.org/ws' || (page_id % 9) || '/repo.x/pull-requests/' || page_id end as canonical_url from pages""")
 def url_parts(spark, d):
-    """Links checked and made canonical."""
+    """Links checked and made canonical."""
     n = F.col("page_id").cast("string")
     link = F.concat(F.when(F.col("page_id") % 4 == 1, "http").otherwise("https"), F.lit("://BitBucket.org/Ws"), (F.col("page_id") % 9).cast("string"), F.lit("/Repo.x/pull-"), F.when(F.col("page_id") % 4 == 2, "x").otherwise("requests"), F.lit("/"), n, F.lit("/?a=1#b"))
     return read(spark, d, "pages").withColumn("l", urls.parse_link(link)).select("page_id", "l.error", "l.canonical_url")
@@ -448,7 +448,7 @@ def truncate_patch(spark, d):
 
 @query(r"""with c as (select conv_id as pr, row_number() over (partition by conv_id order by turn, text) - 1 as ord, regexp_replace(string_split(text, chr(10))[1], '^\s+|\s+$', '', 'g') as subject from conversations) select pr, ord, subject from c where ord < 10""")
 def commit_subjects(spark, d):
-    """P02, O03, F10."""
+    """P02, O03."""
     c = read(spark, d, "conversations").groupBy(F.col("conv_id").alias("pr")).agg(text.in_order(F.struct(F.lit("h").alias("hash"), F.col("text").alias("message")), F.col("turn"), F.col("text")).alias("commits"))
     return manifest.project_commits(c).select("pr", F.col("ord").cast("long").alias("ord"), "subject")
 
@@ -492,4 +492,4 @@ def log_redact(spark, d):
     return read(spark, d, "customer").select("c_custkey", sanitize.redact_auth(sanitize.redact_log(line)).alias("line"), sanitize.mask_token(F.col("c_name")).alias("masked"))
 
 
-from . import cases  # noqa: E402, F401  (registers its queries)
+from . import cases, service_queries  # noqa: E402, F401  (they register their queries)

@@ -45,6 +45,23 @@ def newest(prs: DataFrame, page: int = 50) -> DataFrame:
     return prs.orderBy(F.desc("updated_on"), "id").limit(page)
 
 
+def discovered(listing: DataFrame, user: str, page: int = 50) -> DataFrame:
+    """The newest page of the user's open rows; of all open rows where the user has none.
+
+    What the provider would be asked twice for is one plan: whether the first answer is
+    empty is a single row beside the second.
+    """
+    first = listing.where((F.upper("state") == "OPEN") & belongs_to(F.col("author_uuid"), F.lit(user)))
+    some = F.broadcast(first.limit(1).agg((F.count("*") > 0).alias("_some")))
+    second = listing.where(F.upper("state") == "OPEN").join(some, F.lit(True)).where("not _some").drop("_some")
+    return newest(first.unionByName(second), page)
+
+
+def replaced_scope(cache: DataFrame, new: DataFrame, scope: str) -> DataFrame:
+    """A discovery cache (scope, id, ...) in which the rows of ``scope`` are ``new``; no rows clear it."""
+    return cache.where(F.col("scope") != scope).unionByName(new.withColumn("scope", F.lit(scope)).select(cache.columns))
+
+
 def cache_status(prs: DataFrame, active: DataFrame) -> DataFrame:
     """``prs`` (id, source_commit, target_commit, updated_on) with cache_status against ``active`` (id, have_source, have_target, generated_at).
 

@@ -95,11 +95,20 @@ def orphans(details: DataFrame, index: DataFrame) -> DataFrame:
     return _row(d, "orphan", "warning", F.col("id"), F.lit("not in the index"))
 
 
-def violations(rolled: DataFrame, index: DataFrame, details: DataFrame, patches: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
+def violations(rolled: DataFrame, index: DataFrame, details: DataFrame, patches: DataFrame, coverage: DataFrame | None = None, required: dict[str, DataFrame] | None = None) -> DataFrame:
+    """All checks over the revisions of ``rolled``.
+
+    ``required`` are the tables of which every change set must have a row; one that
+    lacks a part gets that violation only, as nothing else can be said of it.
+    """
     checks = [manifest_schema(rolled), index_schema(index), duplicate_ids(index), references(index, details, patches), totals(rolled, index), important_ids(rolled, index), kind_mismatch(rolled, index), orphans(details, index)]
     if coverage is not None:
         checks.append(coverage_schema(coverage))
-    return reduce(DataFrame.unionByName, checks)
+    found = reduce(DataFrame.unionByName, checks)
+    if not required:
+        return found
+    missing = missing_parts(rolled.select("pr"), required)
+    return missing.unionByName(found.join(missing.select("pr").distinct(), "pr", "left_anti"))
 
 
 class InvalidRevision(ValueError):

@@ -148,6 +148,27 @@ def redaction_tally(texts: DataFrame) -> DataFrame:
     return texts.groupBy("pr").agg(F.sum(F.size(hits)).alias("redacted_values"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(hits)))).alias("categories"))
 
 
+def redaction_report(texts: DataFrame, authors: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Rows (pr, redacted_values, categories, omitted_files): ``redaction_tally`` with identities and sensitive files.
+
+    ``authors`` has (pr, author), a struct of which any of raw, account_id, uuid,
+    nickname or email counts once as ``pii_user_identity``; ``files`` has (pr, path).
+    """
+    out = redaction_tally(texts)
+    if authors is not None:
+        names = set(authors.schema["author"].dataType.fieldNames())
+        known = [F.coalesce(filled(F.col(f"author.{n}").cast("string")).isNotNull(), F.lit(False)) for n in ("raw", "account_id", "uuid", "nickname", "email") if n in names]
+        told = authors.groupBy("pr").agg(F.count_if(F.greatest(F.lit(False), F.lit(False), *known)).alias("identities"))
+        empty = F.expr("cast(array() as array<string>)")
+        both = out.join(told, "pr", "full")
+        more = F.when(F.col("identities") > 0, F.array(F.lit("pii_user_identity"))).otherwise(empty)
+        out = both.select("pr", (F.coalesce("redacted_values", F.lit(0)) + F.coalesce("identities", F.lit(0))).alias("redacted_values"), F.array_sort(F.array_union(F.coalesce("categories", empty), more)).alias("categories"))
+    if files is None:
+        return out.withColumn("omitted_files", F.lit(0).cast("long"))
+    omitted = files.groupBy("pr").agg(F.count_if(is_sensitive_file(F.col("path"))).alias("omitted_files"))
+    return out.join(omitted, "pr", "left").withColumn("omitted_files", F.coalesce("omitted_files", F.lit(0)))
+
+
 def manifests(meta: DataFrame, commits: DataFrame, rolled: DataFrame, tickets: DataFrame | None = None) -> DataFrame:
     """Manifest rows; title and description are scanned for secrets and personal data, ``is_draft`` is always false."""
     counts = commits.groupBy("pr").agg(F.count("*").alias("commits_count"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, filled, in_order
+from ..functions.text import basename, filled, first_filled, in_order, wide_trim
 from .classify import MODULES, module_of
 from .diff import FILE
 
@@ -39,6 +39,12 @@ def ticket_id(branch: Column, commits: Column, prefixes: list[str]) -> Column:
     return F.coalesce(*(F.upper(c) for c in in_branch), F.upper(in_commits), F.lit("N/A"))
 
 
+def commit_summary(messages: Column) -> Column:
+    """First lines of commit messages, trimmed, without empty ones."""
+    firsts = F.transform(messages, lambda m: wide_trim(F.get(F.split(F.coalesce(m, F.lit("")), "\n"), F.lit(0))))
+    return F.filter(firsts, lambda x: x != "")
+
+
 def title(branch: Column, ticket: Column, commits: Column) -> Column:
     first = F.get(commits, F.lit(0))
     clean = F.regexp_replace(F.regexp_replace(first, r"\A\[.*?\]\s*", ""), r"(?i)\Awce-\d+:\s*", "")
@@ -100,6 +106,47 @@ def module_highlights(mods: DataFrame, highlights: DataFrame, fallback: bool = T
     return out
 
 
+def totals(diffstat: DataFrame) -> DataFrame:
+    """Rows (pr, total_files_changed, total_additions, total_deletions): files that have a path, sums over all rows."""
+    return diffstat.groupBy("pr").agg(
+        F.count(first_filled(F.col("new_path"), F.col("old_path"))).alias("total_files_changed"), F.sum(F.coalesce("lines_added", F.lit(0))).alias("total_additions"), F.sum(F.coalesce("lines_removed", F.lit(0))).alias("total_deletions")
+    )
+
+
+def detail_stats(prs: DataFrame, manifests: DataFrame, diffstat: DataFrame) -> DataFrame:
+    """Rows (pr, files, additions, deletions, commits): the manifest's numbers, else sums of the diffstat with one commit."""
+    told = manifests.select("pr", F.struct(F.col("total_files").alias("files"), F.col("total_additions").alias("additions"), F.col("total_deletions").alias("deletions"), F.col("commits_count").alias("commits")).alias("told"))
+    own = diffstat.groupBy("pr").agg(F.count("*").alias("files"), F.sum("lines_added").alias("additions"), F.sum("lines_removed").alias("deletions"))
+    own = own.select("pr", F.struct("files", "additions", "deletions", F.lit(1).cast("long").alias("commits")).alias("own"))
+    return prs.select("pr").join(told, "pr", "left").join(own, "pr", "left").select("pr", F.coalesce("told", "own").alias("s")).select("pr", "s.*")
+
+
+def pr_info(meta: DataFrame, prefixes: list[str]) -> DataFrame:
+    """Rows (pr, ticket_id, title, source_branch, target_branch, author, commit_summary) from (pr, title, source_branch, target_branch, author_name, author_user, messages).
+
+    A title that is missing is made from the ticket, commits and branch; without
+    commits the title stands for them. The author is shown as given.
+    """
+    d = meta.withColumn("commits", commit_summary(F.col("messages"))).withColumn("ticket_id", ticket_id(F.col("source_branch"), F.col("commits"), prefixes))
+    d = d.withColumn("title", F.coalesce(filled(F.col("title")), title(F.col("source_branch"), F.col("ticket_id"), F.col("commits"))))
+    author = F.coalesce(first_filled(F.col("author_name"), F.col("author_user")), F.lit("unknown"))
+    return d.select("pr", "ticket_id", "title", "source_branch", "target_branch", author.alias("author"), F.when(F.size("commits") > 0, F.col("commits")).otherwise(F.array("title")).alias("commit_summary"))
+
+
+def documents(info: DataFrame, stats: DataFrame, mods: DataFrame) -> DataFrame:
+    """One payload a change set: rows (pr, payload) with the JSON text, as it is saved."""
+    changes = mods.groupBy("pr").agg(in_order(F.struct("module", "files", "highlights"), F.col("module_ord")).alias("changes_by_module"))
+    more = enriched(mods, info.select("pr", F.col("commit_summary").alias("commits")))
+    d = info.join(stats, "pr", "left").join(changes, "pr", "left").join(more, "pr", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    empty = F.expr("cast(array() as array<struct<module:string,files:array<string>,highlights:array<string>>>)")
+    whole = F.struct(
+        F.struct("ticket_id", "title", "source_branch", "target_branch", "author").alias("pr_info"), "commit_summary", F.struct(*(zero(c) for c in ("total_files_changed", "total_additions", "total_deletions"))).alias("diff_stat"),
+        F.coalesce("changes_by_module", empty).alias("changes_by_module"), "summary_insights", "deployment_and_migration_notes", "key_impacted_components",
+    )
+    return d.select("pr", F.to_json(whole).alias("payload"))
+
+
 def enriched(mods: DataFrame, commits: DataFrame) -> DataFrame:
     """Rows (pr, summary_insights, deployment_and_migration_notes, key_impacted_components) from modules with highlights and (pr, commits)."""
     empty = F.expr("cast(array() as array<string>)")

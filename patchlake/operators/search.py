@@ -44,6 +44,12 @@ def sync_status(pointers: DataFrame, manifests: DataFrame, prs: DataFrame) -> Da
     return d.withColumn("synced", F.col("active_revision").isNotNull())
 
 
-def first_in(cache: DataFrame, capacity: int) -> DataFrame:
-    """Entries that a cache of ``capacity`` keeps when the oldest insertions go first: (key, inserted_at)."""
-    return cache.orderBy(F.desc("inserted_at"), "key").limit(capacity)
+def cached(inserts: DataFrame, now: Column, capacity: int = 30, ttl_seconds: int = 30 * 86400) -> DataFrame:
+    """What a cache holds at ``now`` after ``inserts`` (key, inserted_at): the newest insertion of each key, the last ``capacity`` of those, none older than the time to live.
+
+    Reading an entry does not keep it: the oldest insertion goes first.
+    """
+    last = inserts.groupBy("key").agg(F.max("inserted_at").alias("inserted_at"))
+    kept = last.orderBy(F.desc("inserted_at"), F.desc("key")).limit(capacity)
+    age = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col("inserted_at").cast("timestamp"))
+    return kept.where(age < ttl_seconds)

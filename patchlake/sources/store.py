@@ -1,15 +1,14 @@
 """Revisioned store: stage, check, publish, move the pointer.
 
-Tables are written under ``revisions/revision_id=...`` for a batch of change sets at
-once, one table a document kind and partitioned by change set, never one file a row.
-Readers find a revision only through its pointer, which is written last, so a failed
-or lost run leaves the published state as it was.
+A batch of change sets is one partition of each table, ``tables/<name>/batch=b-<batch>``,
+never one file a row. Readers find a revision only through its pointer, which is
+appended last, so a failed or lost run leaves the published state as it was, and two
+runs at once never write the same file.
 """
 
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.ids import revision_id
 from ..operators import gate
 
+#: Tables of which every change set must have a row.
+REQUIRED = ("manifest", "coverage")
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -43,62 +45,86 @@ def publish(root: str, tables: dict[str, DataFrame], rolled: DataFrame, details:
     """
     spark = rolled.sparkSession
     batch = batch or uuid.uuid4().hex
-    staging, final = f"{root}/.tmp-{batch}", f"{root}/revisions/{batch}"
+    staging = f"{root}/.tmp-{batch}"
+    final = {name: f"{root}/tables/{name}/batch=b-{batch}" for name in tables}
+    moved: list[str] = []
     try:
         for name, d in tables.items():
             d.write.mode("overwrite").parquet(f"{staging}/{name}")
         read = {name: spark.read.parquet(f"{staging}/{name}") for name in tables}
         patches = read["patches"].select("pr", F.concat(F.lit("files/"), F.col("file_id"), F.lit("/patch.diff")).alias("ref"))
-        gate.require_valid(gate.violations(rolled, read["files_index"], details, patches, read.get("coverage")))
-        _rename(spark, staging, final)
+        gate.require_valid(gate.violations(rolled, read["files_index"], details, patches, read.get("coverage"), {n: read[n] for n in REQUIRED if n in read}))
+        for name, path in final.items():
+            _rename(spark, f"{staging}/{name}", path)
+            moved.append(path)
     except BaseException:
-        _remove(spark, staging)
+        for path in (staging, *moved):
+            _remove(spark, path)
         raise
-    manifest = spark.read.parquet(f"{final}/manifest")
+    _remove(spark, staging)
+    manifest = spark.read.parquet(final["manifest"])
     pointer = manifest.select("pr", revision_id(F.col("source_commit"), F.col("target_commit")).alias("active_revision"), F.lit(batch).alias("batch"), "source_commit", "target_commit", F.col("source_commit").alias("source_hash"), F.col("target_commit").alias("destination_hash"), generated_at.alias("generated_at"))
     _move_pointer(root, pointer)
     return batch
 
 
 def _move_pointer(root: str, new: DataFrame) -> None:
-    """The pointer table is a new version beside the old; its name is the greatest."""
-    spark = new.sparkSession
-    versions = pointer_versions(spark, root)
-    old = spark.read.parquet(f"{root}/pointer/{versions[-1]}") if versions else None
-    if old is not None:
-        new = old.join(new.select("pr"), "pr", "left_anti").unionByName(new)
-    name = f"v{(int(versions[-1][1:]) + 1) if versions else 1:08d}"
-    new.write.parquet(f"{root}/pointer/.tmp-{name}")
-    _rename(spark, f"{root}/pointer/.tmp-{name}", f"{root}/pointer/{name}")
-
-
-def pointer_versions(spark: SparkSession, root: str) -> list[str]:
-    if not _exists(spark, f"{root}/pointer"):
-        return []
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/pointer")
-    names = [s.getPath().getName() for s in target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)]
-    return sorted(n for n in names if n.startswith("v"))
+    """Appends the batch's pointers; of a change set the latest one counts, so only new rows are ever written."""
+    new.withColumn("moved_at", F.current_timestamp()).write.mode("append").parquet(f"{root}/pointer")
 
 
 def pointers(spark: SparkSession, root: str) -> DataFrame | None:
-    versions = pointer_versions(spark, root)
-    return spark.read.parquet(f"{root}/pointer/{versions[-1]}") if versions else None
+    """The pointer of each change set: the last moved, of equal times the one with the greater batch name."""
+    if not _exists(spark, f"{root}/pointer"):
+        return None
+    d = spark.read.parquet(f"{root}/pointer")
+    rest = [c for c in d.columns if c not in ("pr", "moved_at")]
+    return d.groupBy("pr").agg(F.max_by(F.struct(*rest), F.struct("moved_at", "batch")).alias("x")).select("pr", "x.*")
+
+
+def compact_pointers(spark: SparkSession, root: str) -> None:
+    """Rewrites the pointers as one row a change set; run while nothing is published."""
+    now = spark.read.parquet(f"{root}/pointer")
+    rest = [c for c in now.columns if c != "pr"]
+    last = now.groupBy("pr").agg(F.max_by(F.struct(*rest), F.struct("moved_at", "batch")).alias("x")).select("pr", "x.*")
+    last.write.mode("overwrite").parquet(f"{root}/.tmp-pointer")
+    _rename(spark, f"{root}/pointer", f"{root}/.old-pointer")
+    _rename(spark, f"{root}/.tmp-pointer", f"{root}/pointer")
+    _remove(spark, f"{root}/.old-pointer")
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """Rows of a table that belong to the active revision of their change set."""
+    """Rows of a table that belong to the active revision of their change set: one scan, whose batches the join prunes."""
     active = pointers(spark, root)
     if active is None:
         return None
-    batches = [r["batch"] for r in active.select("batch").distinct().collect()]
-    parts = [spark.read.parquet(f"{root}/revisions/{b}/{name}").withColumn("batch", F.lit(b)) for b in batches]
-    whole = reduce(DataFrame.unionByName, parts)
-    return whole.join(active.select("pr", "batch"), ["pr", "batch"], "left_semi").drop("batch")
+    whole = spark.read.parquet(f"{root}/tables/{name}")
+    return whole.join(active.select("pr", F.concat(F.lit("b-"), "batch").alias("batch")), ["pr", "batch"], "left_semi").drop("batch")
+
 
+def export_json(d: DataFrame, path: str, folders: int = 64) -> None:
+    """JSON lines in ``folders`` folders, dealt by a hash of the change set, so a row never gets a file of its own."""
+    dealt = d.withColumn("bucket", F.pmod(F.xxhash64("pr"), F.lit(folders)))
+    dealt.repartition(folders, "bucket").write.mode("overwrite").partitionBy("bucket").json(path)
+
+
+def write_raw(raw: DataFrame, root: str, batch: str) -> None:
+    """The provider's answers of a batch as they came."""
+    raw.write.mode("overwrite").parquet(f"{root}/raw/{batch}")
+
+
+def write_payloads(payloads: DataFrame, root: str, stamp: str) -> str:
+    """JSON payloads (pr, payload) of one run under a name with its time."""
+    path = f"{root}/payloads/payload_{stamp}"
+    payloads.select("payload").write.mode("errorifexists").text(path)
+    return path
+
+
+def write_summary(summary: DataFrame, root: str, run: str) -> None:
+    """A run's summary, redacted, appended to all summaries; the latest is the last by ``finished_at``."""
+    from ..functions.sanitize import redact_columns
 
-def export_json(d: DataFrame, path: str) -> None:
-    """JSON lines, one folder a change set."""
-    d.write.mode("overwrite").partitionBy("pr").json(path)
+    redact_columns(summary).withColumn("run", F.lit(run)).write.mode("append").json(f"{root}/summaries")
 
 
 def append_log(d: DataFrame, path: str) -> None:

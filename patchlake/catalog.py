@@ -358,11 +358,18 @@ def pii_redact(spark, d):
     return read(spark, d, "documents").select("doc_id", sanitize.sanitize_text(F.col("text")).alias("clean"))
 
 
-@query(rf"select source as pr, cast(count(*) filter (regexp_matches(text, '{EMAIL_SQL}')) as bigint) as redacted_values from documents where not regexp_matches(text, '(?i)bearer\s|akia|asia|private key|(password|pwd)\s*=|://') group by source")
+#: One row for every category found in a text; the patterns are the scanner's own.
+HITS_SQL = rf"""hits as (select source, unnest(list_filter([
+  case when regexp_matches(text, '{EMAIL_SQL}') then 'pii_email' end, case when regexp_matches(regexp_replace(text, '{EMAIL_SQL}', '[REDACTED:EMAIL]', 'g'), '{UUID_SQL}') then 'pii_uuid' end,
+  {", ".join("case when regexp_matches(text, '" + (pattern.split("[" + chr(92) + "s" + chr(92) + "S]")[0] if label == "PRIVATE_KEY" else pattern).replace("'", "''") + "') then '" + label.lower() + "' end" for pattern, label in sanitize.SECRETS)}
+], lambda x: x is not null)) as hit from documents)"""
+
+
+@query(f"with {HITS_SQL}, s as (select source, count(*) as n, string_agg(distinct hit, ',' order by hit) as categories from hits group by source) select d.source as pr, coalesce(n, 0) as redacted_values, coalesce(categories, '') as categories from (select distinct source from documents) d left join s on d.source is not distinct from s.source")
 def redaction_tally(spark, d):
-    """Hits of all texts, by source; the SQL knows e-mails only and leaves out texts with links or secrets."""
+    """What is found in all texts, by source."""
     texts = read(spark, d, "documents").select(F.col("source").alias("pr"), "text")
-    return manifest.redaction_tally(texts).select("pr", "redacted_values")
+    return manifest.redaction_tally(texts).select("pr", F.col("redacted_values").cast("long").alias("redacted_values"), F.array_join("categories", ",").alias("categories"))
 
 
 @query("select page_id, regexp_replace(html, '<[^>]*>', '', 'g') as plain from pages")

@@ -21,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a folder of this machine only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a session on one machine may leave it unset and gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = root.get() if root.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="patchlake-")
         spark.sparkContext.setCheckpointDir(root)
     return root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}"

@@ -30,11 +30,17 @@ def _paired(name: str, gap: int) -> Column:
     return F.expr(f"if({n} = 0, {_EMPTY}, zip_with(slice({name}, 1, {n}), slice({name}, {gap + 1}, {n}), (a, b) -> xxhash64(a, b)))")
 
 
+STATISTICS = ("word_chars", "n_words", "n_symbols", "n_upper", "n_bangs", "n_digits", "n_lines", "n_dup_lines", "n_distinct_words", "n_repeat_words")
+
+
 def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text and with counts of its words, lines and characters; a null text has no words."""
-    own = [F.col(c) for c in docs.columns if c != text_col]
-    keep = [c for c in docs.columns if c != text_col]
-    d = docs.select(*own, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
+    """``docs`` without the text and with counts of its words, lines and characters; a null text has no words.
+
+    Columns of ``docs`` named like a statistic give way to it.
+    """
+    own = [c for c in docs.columns if c != text_col and c not in STATISTICS]
+    keep = ["_own"]  # a struct, so that no name of theirs meets one of those below
+    d = docs.select(F.struct(*own).alias("_own") if own else F.lit(0).alias("_own"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
     d = d.select(*keep, "_t", F.trim(F.translate("_t", "\t\n\x0b\f\r", "     ")).alias("_s"))
     d = d.select(*keep, "_t", F.expr("if(_s = '', cast(array() as array<string>), split(_s, ' +'))").alias("_w"), F.length(F.replace("_s", F.lit(" "), F.lit(""))).cast("long").alias("word_chars"))
     d = d.select(
@@ -55,7 +61,8 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = d.select(*rest, F.expr("filter(zip_with(slice(_o, 1, size(_o) - 1), slice(_o, 2, size(_o) - 1), (x, y) -> if(x.a = y.a, array(x.i, y.i), cast(null as array<int>))), p -> p is not null)").alias("_p"))
     d = d.select(*rest, F.expr("sort_array(array_distinct(flatten(_p)))").alias("_q"))
     covered = F.expr(f"aggregate(zip_with(slice(_q, 1, size(_q) - 1), slice(_q, 2, size(_q) - 1), (x, y) -> least({WINDOW}, y - x)), 0, (s, x) -> s + x) + {WINDOW}")
-    return d.select(*rest, F.coalesce(F.when(F.col("_q").isNotNull(), covered), F.lit(0)).cast("long").alias("n_repeat_words"))
+    d = d.select(*rest, F.coalesce(F.when(F.col("_q").isNotNull(), covered), F.lit(0)).cast("long").alias("n_repeat_words"))
+    return d.select(*(["_own.*"] if own else []), *STATISTICS)
 
 
 def _ratio(top: str, bottom: str) -> Column:

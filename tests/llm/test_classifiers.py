@@ -182,7 +182,8 @@ def test_quality_statistics_equal_brute_force(spark):
     texts = [None, "", " \t\n", "a", "é # $ 5%", "l1 x\nl2\nl1 x\n\nl1 x", "a b c d e f g h " * 9, "A!! " * 30]
     texts += [" ".join(rng.choices("abcd", k=rng.randint(1, 120))) + rng.choice(["", "\n" + "z y x w v u t s " * 3]) for _ in range(60)]
     texts.append("long " * 50_000)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df = spark.createDataFrame([(k, t, "clash", 7) for k, t in enumerate(texts)], "doc_id long, text string, _t string, n_words int")
+    assert quality.text_statistics(df).columns[:2] == ["doc_id", "_t"]
     for r in quality.text_statistics(df).collect():
         t = texts[r["doc_id"]] or ""
         words = [w.decode() for w in t.encode().split()]
@@ -191,6 +192,34 @@ def test_quality_statistics_equal_brute_force(spark):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want, t[:60]
 
 
+def test_learnt_rules_judge_as_a_plain_reading_of_them_does(spark):
+    import re
+
+    docs, labels = _docs(spark)
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    stats = quality.text_statistics(docs.where("doc_id is not null"))
+    values = [r.asDict() for r in stats.select("*", *(c.alias(f"f_{n}") for n, c in quality.features().items())).collect()]
+    sound = [v for v in values if not (v["n_words"] < 20 or 100 * v["n_repeat_words"] > 30 * v["n_words"])]
+    rules = quality.learn(stats.where(~quality.base_failed()).join(labels, "doc_id"))
+    assert rules.rules
+
+    def holds(test, v):
+        x = v[f"f_{test.feature}"]
+        return x > test.threshold if test.above else x <= test.threshold
+
+    kept = {r["doc_id"]: r for r in quality.quality(docs.where("doc_id is not null"), labels).collect()}
+    hit = {k: [0, 0] for k in range(len(rules.rules))}
+    for v in sound:
+        first = next((k for k, rule in enumerate(rules.rules) if all(holds(t, v) for t in rule)), None)
+        assert kept[v["doc_id"]]["kept"] == (first is None)
+        assert (kept[v["doc_id"]]["rule"] is None) == (first is None)
+        if first is not None and v["doc_id"] in marks:
+            hit[first][marks[v["doc_id"]]] += 1
+    # every rule rejects bad rows with the precision asked for, over all labelled rows it is the first to meet
+    assert all(bad >= 5 and bad >= 0.95 * (bad + good) for bad, good in hit.values())
+    assert re.match(r"\w+ (>|<=) ", str(rules.rules[0][0]))
+
+
 def test_quality_rules(spark):
     docs, labels = _docs(spark)
     got = {r["doc_id"]: r for r in quality.quality(docs, labels).collect()}

@@ -167,6 +167,11 @@ _FOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Bits in which the sketches of a pair may differ, of all 256 and of the first 64. A bit differs with probability
 #: (1 - s) / 2, so at 0.8 they differ in 25.6 and 6.4 on average; these limits are some six deviations off.
 APART, ROUGH = 56, 20
+#: A second sketch, of the texts that share a bucket with another group: one bit each of so many minima. At 0.8 a pair
+#: differs in 204.8 of 2,048 on average; the limit is four deviations above, so it loses about 1 pair in 30,000 there.
+WIDE = 2048
+WIDE_APART = 259
+_WIDE_ODD = np.random.default_rng(SEED + 2).integers(0, 2**64, WIDE, np.uint64, endpoint=False) | np.uint64(1)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -177,13 +182,26 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 def min_hashes(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of a set that is not empty the band keys and the sketch: one bit of every minimum, as four signed longs."""
-    low = np.full(MINIMA, 2**64 - 1, np.uint64)
+    low = _minima(shingles, _ODD)
     with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 256):
-            np.minimum(low, np.multiply.outer(_ODD, shingles[at : at + 256]).min(axis=1), out=low)
         keys = _mixed((low[: BANDS * BAND].reshape(BANDS, BAND) * _PLACE).sum(axis=1, dtype=np.uint64), 1)
+    return keys.view(np.int64), _bits(low)
+
+
+def _minima(shingles: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    low = np.full(len(odd), 2**64 - 1, np.uint64)
+    step = max(1, 65_536 // len(odd))
+    with np.errstate(over="ignore"):
+        for at in range(0, len(shingles), step):
+            np.minimum(low, np.multiply.outer(odd, shingles[at : at + step]).min(axis=1), out=low)
+    return low
+
+
+def _bits(low: np.ndarray) -> np.ndarray:
+    """One bit of every minimum, as signed longs."""
+    with np.errstate(over="ignore"):
         bits = ((low ^ (low >> np.uint64(29))) * _FOLD) >> np.uint64(63)
-    return keys.view(np.int64), np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -199,10 +217,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shingles and have sketches that differ in few bits; a candidate becomes a link
     if the sets themselves have a Jaccard similarity of ``least`` or more. Bands and
     limits are laid out for 0.8 or more; see the figures beside them. A large group
-    is not spelt out in pairs: links to the smallest node of each bucket come first,
-    and the complete look-up skips pairs that are in one group already. Texts with
+    is not spelt out in pairs: links to the smallest node of each bucket come first, and
+    the complete look-up, between the groups so found, compares a wider sketch inside the
+    join, so pairs well below the bound never leave it. Texts with
     the same words are one node, whatever their number. ``group_id`` is the smallest
-    id of the group. Null and empty texts are one group of their own. Null ids are
+    id of the group. Rows of one id are expected to have one text. Null and empty texts are one group of their own. Null ids are
     left out: they name no document.
     """
     named = docs.where(F.col(id_col).isNotNull())
@@ -240,13 +259,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return step
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        ids = written(ids.distinct(), "similar")
+        # a bounded list of ids is sent to the texts; a longer one meets them in a shuffle
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+        return source.join(ids, "id", "left_semi").dropDuplicates(["id"])
+
     def links(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs.join(at_a, "a").join(at_b, "b").where(F.expr(f"{apart} <= {APART}")).select("a", "b"), "similar")
-        ends = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "similar")
-        # a bounded list of ids is sent to the texts; a longer one meets them in a shuffle
-        ends = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
-        asked = source.join(ends, "id", "left_semi").dropDuplicates(["id"])
-        sets = written(_shingle_sets(asked, width), "similar")
+        sets = written(_shingle_sets(texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))), width), "similar")
         checked = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
         return written(map_batches(checked.select("a", "b", "ha", "hb"), verify, "a long, b long"), "similar")
 
@@ -260,8 +281,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     grouped = written(entries.select("k", "x", "h0").join(known, "x", "left").withColumn("g", F.coalesce("g", "x")), "similar")
     mixed = written(grouped.groupBy("k").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("k"), "similar")
     own = written(grouped.join(mixed, "k"), "similar")
-    other = own.select("k", F.col("x").alias("y"), F.col("h0").alias("g0"), F.col("g").alias("gy"))
-    between = own.withColumnRenamed("k", "kx").join(other, (F.col("kx") == F.col("k")) & (F.col("g") != F.col("gy")) & (F.col("x") < F.col("y")) & rough)
+    wide = written(_wide_sketches(texts_of(own.select(F.col("x").alias("id"))), width), "similar")
+    own = written(own.join(wide, "x"), "similar")
+    other = own.select("k", F.col("x").alias("y"), F.col("h0").alias("g0"), F.col("g").alias("gy"), F.col("w").alias("wy"))
+    differ = F.expr("+".join(f"bit_count(w[{k}] ^ wy[{k}])" for k in range(WIDE // 64)) + f" <= {WIDE_APART}")
+    between = own.withColumnRenamed("k", "kx").join(other, (F.col("kx") == F.col("k")) & (F.col("g") != F.col("gy")) & (F.col("x") < F.col("y")) & rough & differ)
     second = links(between.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     roots = components(first.unionByName(second))
     named_nodes = prints.select("id", "words").join(nodes.select("words", "node"), "words")
@@ -269,6 +293,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.groupBy(F.col("id").alias(id_col)).agg(F.min("group_id").alias("group_id"))
 
 
+def _wide_sketches(docs: DataFrame, width: int) -> DataFrame:
+    """Rows (x, w): the second sketch of a text."""
+
+    def start():
+        def step(batch: pa.RecordBatch):
+            words = [_bits(_minima(shingle_set(t, width), _WIDE_ODD)) for t in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64()))], names=["x", "w"])
+
+        return step
+
+    return map_batches(docs.select("id", "text"), start, "x long, w array<long>")
+
+
 def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """Rows (id, h): the sorted distinct shingle hashes of a text as bytes."""
 

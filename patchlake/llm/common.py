@@ -53,24 +53,50 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*known, root])
 
 
+#: Rows in a batch sent to a worker, and rows of it that are looked at together; texts may be long.
+BATCH_ROWS, SLICE_ROWS = 2000, 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sends workers smaller batches than Spark's default, unless the session has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the system; the worker may stay idle for long."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc here
+        pass
+
+
 def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """``mapInArrow`` with per-task set-up: ``start()`` is called once in a task and its result on every batch."""
+    """``mapInArrow`` with per-task set-up: ``start()`` is called once in a task and its result on every few hundred rows."""
 
     def run(batches):
         step = start()
         for batch in batches:
-            out = step(batch)
-            if out is None:
-                continue
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                out = step(batch.slice(at, SLICE_ROWS))
+                if out is None:
+                    continue
+                if isinstance(out, pa.RecordBatch):
+                    yield out
+                else:
+                    yield from out
         end = getattr(step, "end", None)
         if end is not None:
             yield from end()
+        del step, end
+        release()
 
     importable(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -17,6 +17,7 @@ gives its group; only the last group of a tier is not full. Tokens are never shu
 from __future__ import annotations
 
 import os
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -34,8 +35,8 @@ TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 64 * 2048
 #: Tokens a task holds back to choose from, spread over the tiers.
 SPARE = 256 * 2048
-#: A worker remembers the ids of so many units a kind, none longer than so many characters: some 25 MB.
-CACHE, LONGEST = 60_000, 48
+#: Letters of the longest word that goes through the byte-pair core, whose time grows with the square of a word.
+LONGEST = 1000
 #: White space besides the space and the line feed, of either reading of ``\\s``.
 ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 ODD_WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -57,15 +58,12 @@ def _byte_level() -> dict[str, int]:
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, the same as the tokenizer's own.
 
-    The tokenizer never merges across its pre-tokens. A text without two adjacent
-    white-space characters, and none but spaces and line feeds, falls apart there into
-    units that are encoded independently, and the ids of a unit are remembered; any
-    other text, and one that holds the string of an added token, is encoded as a whole.
-
     Where the file's ids follow its merges, as in any byte-level vocabulary of this
-    family, new units go through a byte-pair core built from the file's own
-    vocabulary, which gives the same ids some seven times faster; else through the
-    tokenizer itself, as do texts encoded as a whole.
+    family, texts go through a byte-pair core built from the file's own vocabulary,
+    which gives the same ids several times faster. It gets texts whose white space is
+    single spaces and line feeds, so that both cut them alike; any other text, one with
+    a very long word and one that holds the string of an added token go through the
+    tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -79,7 +77,6 @@ class Encoder:
         self.added = [t["content"] for t in model.get("added_tokens") or []]
         model = model["model"]
         self.core = self._core(model["vocab"], model.get("merges") or [])
-        self.first, self.later = Units(self._unit, ""), Units(self._unit, " ")
 
     @staticmethod
     def _core(vocab: dict[str, int], merges: list):
@@ -93,50 +90,18 @@ class Encoder:
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         return tiktoken.Encoding("core", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        from array import array
-
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _unit(self, text: str) -> bytes:
-        from array import array
-
-        if self.core is None:
-            return self._encode([text])[0]
-        return array("I", self.core.encode_ordinary(text)).tobytes()
-
     def _plain(self, text: str) -> bool:
-        """Whether all white space is single spaces and line feeds and no added token is spelt out."""
+        """Whether all white space is single spaces and line feeds, no word is very long and no added token is spelt out."""
         if any(c in text for c in ODD_ASCII) or not text.isascii() and any(c in text for c in ODD_WIDE):
             return False
-        # white space is spaces and line feeds only, so every run is one character long if there are as many runs as characters
-        words = len(text.split())
-        runs = words - 1 + (text[:1] in (" ", "\n")) + (text[-1:] in (" ", "\n")) if words else 1
-        return text.count(" ") + text.count("\n") == runs and not any(t in text for t in self.added)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out, later = [], self.later.__getitem__
-        for text in texts:
-            if not self._plain(text):
-                out.append(self._encode([text])[0])
-                continue
-            words = text.replace("\n", " \n").split(" ")
-            out.append(self.first[words[0]] + b"".join(map(later, words[1:])))
-        return out
-
-
-class Units(dict):
-    """Ids of units by what follows ``lead``; a unit that begins with a line feed has no lead."""
-
-    def __init__(self, encode, lead: str):
-        super().__init__()
-        self.encode, self.lead = encode, lead
+        if any(pair in text for pair in ("  ", "\n\n", " \n", "\n ")) or any(t in text for t in self.added):
+            return False
+        return max(map(len, text.split()), default=0) <= LONGEST
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word if word[:1] == "\n" else self.lead + word) if word or self.lead else b""
-        if len(self) < CACHE and len(word) <= LONGEST:
-            self[word] = ids
-        return ids
+    def __call__(self, text: str) -> bytes:
+        if self.core is not None and self._plain(text):
+            return array("I", self.core.encode_ordinary(text)).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 class Packer:
@@ -248,7 +213,7 @@ def pieces(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, id_col: s
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 for key, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                    yield from packer.add(key, encode([text or ""])[0] + last)
+                    yield from packer.add(key, encode(text or "") + last)
                 if sum(packer.held.values()) > SPARE:
                     yield from packer.pack(SPARE // 2)
 

@@ -4,7 +4,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from patchlake.llm import language, quality, toxicity, urlfilter
+from patchlake.llm import common, language, quality, toxicity, urlfilter
 
 
 def _docs(spark, n=600):
@@ -197,7 +197,7 @@ def test_learnt_rules_judge_as_a_plain_reading_of_them_does(spark):
 
     docs, labels = _docs(spark)
     marks = {r["doc_id"]: r["quality"] for r in labels.collect()}
-    stats = quality.text_statistics(docs.where("doc_id is not null"))
+    stats = common.written(quality.text_statistics(docs.where("doc_id is not null")), "stats")
     values = [r.asDict() for r in stats.select("*", *(c.alias(f"f_{n}") for n, c in quality.features().items())).collect()]
     sound = [v for v in values if not (v["n_words"] < 20 or 100 * v["n_repeat_words"] > 30 * v["n_words"])]
     rules = quality.learn(stats.where(~quality.base_failed()).join(labels, "doc_id"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from . import language as lang
 from . import html as pages_html
-from . import maxscore, mixing, packing
+from . import alignment, decontaminate, maxscore, mixing, packing
+from . import phrases as collocations
 from . import quality as qual
 from . import simhash
 from . import toxicity as tox
@@ -61,6 +62,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qual.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents")).drop("groups")
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return told.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 OP8_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as c
@@ -90,6 +104,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_maxscore": op8_maxscore,
         "op9_language": op9_language,
         "op10_quality": op10_quality,
+        "op11_phrases": op11_phrases,
+        "op12_alignment": op12_alignment,
+        "op13_decontaminate": op13_decontaminate,
     }
 
 
@@ -149,6 +166,58 @@ select page_id, payload_bytes,
 from p
 """
 
+OP11_SQL = r"""
+with t as (
+  select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as s from documents
+), p as (
+  select lang, unnest(list_transform(regexp_split_to_array(s, '[.,;:!?\x0A-\x0D]'), lambda x: regexp_extract_all(x, '[^\x20\x09]+'))) as w from t
+), whole as (
+  select lang, cast(sum(len(w)) as bigint) as n from p group by lang
+), f as (
+  select lang, x, count(*) as f from (
+    select lang, unnest(w) as x from p
+    union all select lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from p
+    union all select lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from p
+  ) group by lang, x
+), c as (
+  select lang, x as phrase, f as a, string_split(x, ' ') as w from f where f >= 10 and contains(x, ' ')
+), cut as (
+  select lang, phrase, a, w, k, array_to_string(w[1:k], ' ') as one, array_to_string(w[k + 1:], ' ') as two from (select *, unnest(range(1, len(w))) as k from c)
+), scored as (
+  select cut.lang, phrase, a, w, k, fl.f as l, fr.f as r, cast((1000000::hugeint * a * a) // (fl.f::hugeint * fr.f) as bigint) as score
+  from cut join f as fl on fl.lang = cut.lang and fl.x = one join f as fr on fr.lang = cut.lang and fr.x = two
+), best as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), longer as (
+  select lang, x, max(a) as a from (select lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) as x from c where len(w) = 3) group by lang, x
+), kept as (
+  select best.* from best left join longer on longer.lang = best.lang and longer.x = best.phrase where longer.a is null or 100 * longer.a < 50 * best.a
+), ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept
+)
+select lang, cast(rank as bigint) as rank, phrase, a, l, r, n, score from ranked join whole using (lang) where rank <= 2000
+"""
+
+OP13_SQL = r"""
+with d as (
+  select row_number() over () as row, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents
+), b as (
+  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null
+), i as (
+  select distinct item_id, least(len(w), 10) as n, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda k: w[k:k + 9])) as x from b where len(w) > 0
+), o as (
+  select row, n, unnest(range(1, len(w) - n + 2)) as k, w from d cross join (select distinct n from i)
+), h as (
+  select row, k, o.n, item_id from o join i on i.n = o.n and i.x = o.w[k:k + o.n - 1]
+), hit as (
+  select row, count(distinct place) as n_hit from (select row, unnest(range(k, k + n)) as place from h) group by row
+), items as (
+  select row, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from h group by row
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (row) left join items using (row)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op4_warc": OP4_SQL, "op8_maxscore": OP8_SQL}
+    return {"op3_mixing": OP3_SQL, "op4_warc": OP4_SQL, "op8_maxscore": OP8_SQL, "op11_phrases": OP11_SQL, "op13_decontaminate": OP13_SQL}

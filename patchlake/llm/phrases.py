@@ -4,18 +4,22 @@ Pass 1 counts words exactly and, in the same scan, the bucket of every bigram. P
 counts bigrams exactly, but only those whose words are frequent (Apriori) and whose
 bucket is (PCY), and counts the buckets of trigrams made of such bigrams (DHP). Pass 3
 counts the trigrams whose two bigrams are frequent and whose bucket is. What decides is
-broadcast as bitmaps of a fixed size: bit b says that bucket b holds at least the least
-count. Two phrases in one bucket only let an infrequent one through to the exact count,
-so results are whole at any size of the corpus; a larger ``buckets`` prunes more.
+broadcast as bitmaps: bit b says that bucket b holds at least the least count. There
+is a bucket for every ``BUCKET_BYTES`` of text, up to ``MOST_BUCKETS``, which bounds the
+broadcast. Two phrases in one bucket only let an infrequent one through to the exact
+count, so results are whole with any number of buckets; more of them prune more.
 
 A task cuts texts into words with array operations on their bytes, gives each distinct
 word of a block a number through Arrow's dictionary and counts n-grams as packed
-numbers, so its memory is bounded by the block and the buckets. Counts are summed by
+numbers; it hands bucket counts on before they exceed ``HELD_BUCKETS``, so its memory is
+bounded by the block, those and the bitmaps. Counts are summed by
 Spark, first in the task; scores are exact decimals of 38 digits.
 """
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,8 +30,10 @@ from .common import map_batches, written
 
 LEAST = 10
 TOP = 2000
-#: Buckets of a pass: a byte each in a task, a bit each in the broadcast.
-BUCKETS = 1 << 25
+#: Bytes of text for a bucket, and the most and the fewest buckets (a bit each in the broadcast).
+BUCKET_BYTES, MOST_BUCKETS, FEWEST_BUCKETS = 8, 1 << 28, 1 << 20
+#: Buckets with a count that a task holds.
+HELD_BUCKETS = 1 << 22
 #: Buckets in a row on the way from tasks to bitmaps.
 SPAN = 1 << 16
 #: Bytes of text that a task looks at together.
@@ -103,26 +109,46 @@ def _mixed(*hashes: np.ndarray) -> np.ndarray:
 
 
 class Counters:
-    """Bucket counts of a task, each up to 255."""
+    """Bucket counts of a task, each up to 255; only buckets with a count are held."""
 
     def __init__(self, buckets: int):
-        self.count = np.zeros(buckets, np.uint8)
+        self.mask = np.uint64(buckets - 1)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
 
-    def add(self, hashes: np.ndarray, counts: np.ndarray) -> None:
-        at = (hashes & np.uint64(len(self.count) - 1)).astype(np.int64)
+    @staticmethod
+    def _summed(at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(at, kind="stable")
         at, counts = at[order], counts[order]
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        if len(first):
-            self.count[at[first]] = np.minimum(255, self.count[at[first]] + np.add.reduceat(counts, first))
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        return at[first], np.minimum(255, np.add.reduceat(counts, first, dtype=np.int64)).astype(np.uint8)
+
+    def add(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        if len(hashes):
+            self.parts.append(self._summed((hashes & self.mask).astype(np.uint32), np.minimum(counts, 255)))
+            self.held += len(self.parts[-1][0])
+
+    def full(self) -> bool:
+        """Whether more than ``HELD_BUCKETS`` are held after equal ones are summed."""
+        if self.held > HELD_BUCKETS:
+            self._fold()
+            # near the limit each block would be summed with all that is held
+            return self.held > HELD_BUCKETS // 2
+        return False
+
+    def _fold(self) -> None:
+        if len(self.parts) > 1:
+            self.parts = [self._summed(*(np.concatenate(x) for x in zip(*self.parts)))]
+            self.held = len(self.parts[0][0])
 
     def spans(self):
-        """(span, places as 16 bits, counts) of the spans with a count."""
-        for k in range(0, len(self.count), SPAN):
-            part = self.count[k : k + SPAN]
-            at = np.flatnonzero(part)
-            if len(at):
-                yield k // SPAN, at.astype("<u2").tobytes(), part[at].tobytes()
+        """(span, places as 16 bits, counts) of the spans with a count; nothing is held after."""
+        self._fold()
+        parts, self.parts, self.held = self.parts, [], 0
+        for at, counts in parts:
+            cut = np.flatnonzero(np.diff(at // SPAN, prepend=np.uint32(0xFFFFFFFF)))
+            for low, high in zip(cut, [*cut[1:], len(at)]):
+                yield int(at[low]) // SPAN, (at[low:high] % SPAN).astype("<u2").tobytes(), counts[low:high].tobytes()
 
 
 def has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -204,8 +230,10 @@ def _grams(lang: str, words: list[pa.Array], count: np.ndarray) -> pa.RecordBatc
 
 
 def _span_rows(counters: Counters):
-    for span, places, counts in counters.spans():
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in _KINDS[:5]), pa.array([span], pa.int32()), pa.array([places], pa.binary()), pa.array([counts], pa.binary())], names=_NAMES)
+    rows = counters.spans()
+    while part := list(islice(rows, 512)):
+        span, places, counts = zip(*part)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(part), k) for k in _KINDS[:5]), pa.array(span, pa.int32()), pa.array(places, pa.binary()), pa.array(counts, pa.binary())], names=_NAMES)
 
 
 def scan(docs: DataFrame, order: int, buckets: int, items=None, frequent=None) -> DataFrame:
@@ -247,6 +275,8 @@ def scan(docs: DataFrame, order: int, buckets: int, items=None, frequent=None) -
         def flush():
             for lang, texts in held.items():
                 yield from counted(lang, texts)
+                if counters and counters.full():
+                    yield from _span_rows(counters)
             held.clear()
             size[0] = 0
 
@@ -278,12 +308,15 @@ def _shared_bits(spark: SparkSession, spans: DataFrame, buckets: int):
     return spark.sparkContext.broadcast(_bitmap(spans, buckets).tobytes())
 
 
-def counts(docs: DataFrame, least: int = LEAST, buckets: int = BUCKETS, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def counts(docs: DataFrame, least: int = LEAST, buckets: int | None = None, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Per language all words, and the words, bigrams and trigrams that occur ``least`` times or more: (lang, n), (lang, w1, f), (lang, w1, w2, f), (lang, w1, w2, w3, f)."""
-    if buckets & (buckets - 1) or buckets < 8 or not 1 <= least <= 255:
-        raise ValueError("buckets must be a power of two from 8, least from 1 to 255")
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    if buckets is None:
+        size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = min(MOST_BUCKETS, max(FEWEST_BUCKETS, 1 << (size // BUCKET_BYTES).bit_length()))
+    if buckets & (buckets - 1) or not 8 <= buckets <= 1 << 32 or not 1 <= least <= 255:
+        raise ValueError("buckets must be a power of two from 8 to 2^32, least from 1 to 255")
     first = written(scan(source, 1, buckets), "phrases-1")
     whole = written(first.where("span is null").groupBy("lang").agg(F.sum("n").alias("n")), "phrases-n")
     words = written(_summed(first, 1, least), "phrases-words")
@@ -324,7 +357,7 @@ def maximal(found: DataFrame) -> DataFrame:
     return short.select(*found.columns).unionByName(found.where("w3 is not null"))
 
 
-def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, buckets: int = BUCKETS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, buckets: int | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Rows (lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of two and three words.
 
     A null or empty text has no words; null languages are ``und``, as are documents so

@@ -5,7 +5,8 @@ deepest one that holds most of it, and votes for that container's generalised
 tag-and-class path. Votes are summed by host in Spark, and every page is read again with
 the winning path of its host; a page without that path uses its own best container, in
 the end the page itself. Menus, headers, footers, sidebars, notices, adverts, forms,
-reader comments and the like are left out wherever they stand.
+reader comments and the like are left out wherever they stand; a section of an article named by one word like
+"discussion" goes by what it holds.
 
 Reading is linear in the page in time and memory, however deep or broken its markup: open
 elements are found by their names' own stacks, what an element inherits lies on the stack,
@@ -20,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import re
 from functools import lru_cache
+from itertools import takewhile
 
 import pyarrow as pa
 import xxhash
@@ -36,16 +38,24 @@ CLOSES_P = BLOCK - frozenset("body html caption dd dt legend li option optgroup
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th"), "thead": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead", "tfoot", "tr", "td", "th")}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",), "option": ("select", "datalist")}
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks whose end tag may be left out, controls that end with their own tag whatever is open in them, and inline elements that go on behind a block's end.
+OPEN_ENDED = frozenset("option optgroup li p dt dd tr td th tbody thead tfoot caption".split())
+CONTROLS = frozenset("select button datalist".split())
+FORMATTING = frozenset("b big code em font i nobr s small strike strong tt u".split())
 
 #: Elements that may be a page's main text.
 CONTAINER = frozenset("article main section div td center".split())
 #: Elements whose kind alone says that they are no main text.
-DROPPED = frozenset("nav footer aside form script style noscript iframe template button select textarea dialog menu search head title".split())
+DROPPED = frozenset("nav footer aside form script style noscript iframe template button select datalist textarea dialog menu search head title".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 #: Elements no class or id can take out.
 NEVER_DROPPED = frozenset("html body article main".split())
 #: Words of a class or id that name other parts of a page, ...
 UNWANTED = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adsbygoogle sponsor sponsors sponsored promo promos promotion banner cookie cookies consent gdpr notice notices notification notifications alert alerts popup popover modal overlay toast newsletter subscribe subscription signup login register searchbox searchform share sharing social related recommended recommendations breadcrumb breadcrumbs menu menus nav navs navbar navigation navmenu topnav sitenav subnav sidebar sidebars sidenav widget widgets footer colophon copyright topbar toolbar pagination pager comment comments commentlist respond reply replies responses disqus discussion skip relatedposts relatedarticles relatedstories recommendedposts recommendedarticles recommendedstories readercomments usercomments commentthread commentsthread disqusthread privacynotice alertinfo alertwarning alertdanger alertsuccess".split())
+#: ... those of them that, alone, may as well name a section of an article: there it goes by what the section holds, ...
+WEAK = frozenset("discussion responses replies alerts social share sharing recommended recommendations related".split())
+#: Inside an article, a part with a weak name stays if it has this many characters, at most this share of them in links, and no form, control or other unwanted part.
+SECTION_CHARS, SECTION_LINKS = 200, 0.2
 #: ... of a page's header, which inside an article is its headline's place, ...
 HEADER = frozenset("header masthead".split())
 #: ... and words that say nothing beside them. A name counts only if all its words are of these kinds, so "related-work" or "share-prices" stays.
@@ -65,9 +75,11 @@ _PART = re.compile(r"[a-z]+")
 
 @lru_cache(4096)
 def _kind(name: str) -> int:
-    """Of one class or id: 2 if it names an unwanted part, 1 if a header, else 0."""
+    """Of one class or id: 3 if it is one weak word, 2 if it names an unwanted part, 1 if a header, else 0."""
     words = _PART.findall(_HUMP.sub(" ", name).lower())
     words.append("".join(words))  # "side-bar" is "sidebar"
+    if words[-1] in WEAK:
+        return 3
     if words[-1] in UNWANTED:
         return 2
     if words[-1] in HEADER:
@@ -79,9 +91,9 @@ def _kind(name: str) -> int:
 
 
 @lru_cache(8192)
-def _read_tag(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """The generalised label of an element, whether it is dropped by itself and whether it is a header."""
-    label, drop, header = name, name in DROPPED, name == "header"
+def _read_tag(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """The generalised label of an element, whether it is dropped by itself, whether it is a header and whether its name is a weak one."""
+    label, drop, header, weak = name, name in DROPPED, name == "header", False
     if "=" in attributes:
         found = {k.lower(): a or b or c for k, a, b, c in _NAMED.findall(attributes)}
         own = entities.unescape(found.get("class", "")).split()
@@ -91,7 +103,14 @@ def _read_tag(name: str, attributes: str) -> tuple[str, bool, bool]:
             kinds = {_kind(c) for c in (*own, *entities.unescape(found.get("id", "")).split()) if len(c) <= 100}
             drop = drop or 2 in kinds or found.get("role", "").strip().lower() in DROPPED_ROLES
             header = header or 1 in kinds and name not in HEADING
-    return label, drop, header
+            weak = not drop and 3 in kinds
+    return label, drop, header, weak
+
+
+def _ends_in_value(attributes: str) -> bool:
+    """Whether the slash at the end belongs to an unquoted value, as in ``href=/``; then it ends no element."""
+    _, has_value, value = attributes.rsplit(None, 1)[-1].partition("=")
+    return bool(has_value) and value[0] not in "\"'"
 
 
 class Page:
@@ -104,8 +123,10 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        # of each open element: name, dropped, in a header, path, container, in an article or main
-        stack = [("", False, False, 0, 0, False)]
+        # of each open element: name, dropped, in a header, path, container, in an article or main, section with a weak name, blocks before it
+        stack = [("", False, False, 0, 0, False, 0, 0)]
+        sections: list[int] = []  # of each block, the innermost section with a weak name, 0 for none
+        around, spoiled = [0], [False]  # of each such section, the one around it and whether it holds other unwanted parts
         at_name: dict[str, list[int]] = {}  # depths of the open elements of each name
         blocks: list[int] = [0]  # depths of the open blocks
         text: list[str] = []
@@ -128,12 +149,13 @@ class Page:
             text.clear()
             if joined:
                 at = blocks[-1]
-                name, _, header, _, container, _ = stack[at]
-                if name in HEADING and COMMENTS.fullmatch(joined):
-                    around = stack[at - 1]  # its rest is dropped
-                    stack[at - 1] = (around[0], True, *around[2:])
+                name, _, header, _, container, _, section, _ = stack[at]
+                outer = stack[at - 1]
+                if name in HEADING and COMMENTS.fullmatch(joined) and not (outer[0] in ("article", "main") and outer[7] == len(self.blocks)):
+                    stack[at - 1] = (outer[0], True, *outer[2:])  # its rest is dropped
                 elif name in HEADING or not header:
                     self.blocks.append((container, joined, links, name in HEADING))
+                    sections.append(section)
             links = 0
 
         def add(raw: str) -> None:
@@ -158,17 +180,22 @@ class Page:
                     if name in BLOCK:
                         flush()
                     elif blocks[-1] > depth:
-                        continue
+                        drops = stack[depth][1] and not stack[depth - 1][1]
+                        inner = takewhile(lambda b: b > depth, reversed(blocks))
+                        if name not in CONTROLS and (name in FORMATTING and not drops or any(stack[b][0] not in OPEN_ENDED for b in inner)):
+                            continue
+                        flush()
                     close_to(depth)
                 elif name == "p":
                     flush()
                 continue
             if name in BLOCK:
                 flush()
-                if name in CLOSES_P and stack[blocks[-1]][0] == "p":
+                control = depth_of(CONTROLS)  # nothing in a control ends what is around it
+                if name in CLOSES_P and stack[blocks[-1]][0] == "p" and blocks[-1] > control:
                     close_to(blocks[-1])
                 if name in SIBLINGS:
-                    scope, again = depth_of(SCOPE[name]), True
+                    scope, again = max(control, depth_of(SCOPE[name])), True
                     while again and (depth := depth_of(SIBLINGS[name])) > scope:
                         close_to(depth)
                         again = name in ("tr", "tbody", "tfoot")
@@ -179,7 +206,10 @@ class Page:
             elif name == "br":
                 add(" ")
                 continue
-            if name in VOID or attributes.endswith("/") and name not in BLOCK and name not in RAW:
+            elif name == "button" and at_name.get(name):
+                flush()
+                close_to(at_name[name][-1])
+            if name in VOID or attributes.endswith("/") and name not in BLOCK and name not in RAW and not _ends_in_value(attributes):
                 continue
             if name in RAW:
                 lower = lower or source.lower()
@@ -188,11 +218,17 @@ class Page:
                     end = lower.find(f"</{name}", end + 1)
                 at = len(source) if end < 0 else (source.find(">", end) + 1 or len(source))
                 continue
-            _, drop, header, path, container, inside = stack[-1]
+            _, drop, header, path, container, inside, section, _ = stack[-1]
             if len(attributes) > 400:
-                label, own_drop, own_header = _read_tag.__wrapped__(name, attributes)
+                label, own_drop, own_header, weak = _read_tag.__wrapped__(name, attributes)
             else:
-                label, own_drop, own_header = _read_tag(name, attributes if _NAMED.search(attributes) else "")
+                label, own_drop, own_header, weak = _read_tag(name, attributes if _NAMED.search(attributes) else "")
+            if weak and inside and name in CONTAINER:
+                around.append(section)
+                spoiled.append(False)
+                section = len(around) - 1
+            elif weak or own_drop:
+                own_drop = spoiled[section] = True
             inside = inside or name in ("article", "main")
             if name not in ("html", "body"):
                 path = xxhash.xxh3_64_intdigest(label.encode("utf-8", "surrogatepass"), path)
@@ -205,9 +241,26 @@ class Page:
             at_name.setdefault(name, []).append(len(stack))
             if name in BLOCK:
                 blocks.append(len(stack))
-            stack.append((name, drop, header or own_header, path, container, inside))
+            stack.append((name, drop, header or own_header, path, container, inside, section, len(self.blocks)))
         add(source[at:])
         flush()
+        if len(around) > 1:
+            self._without_parts(sections, around, spoiled)
+
+    def _without_parts(self, sections: list[int], around: list[int], spoiled: list[bool]) -> None:
+        """Leaves out the blocks of sections with a weak name that do not read like a section of the text."""
+        chars, linked = [0] * len(around), [0] * len(around)
+        for section, (_, text, links, _) in zip(sections, self.blocks):
+            chars[section] += len(text)
+            linked[section] += links
+        for k in range(len(around) - 1, 0, -1):
+            chars[around[k]] += chars[k]
+            linked[around[k]] += linked[k]
+            spoiled[around[k]] = spoiled[around[k]] or spoiled[k]
+        gone = [False]
+        for k in range(1, len(around)):
+            gone.append(gone[around[k]] or spoiled[k] or chars[k] < SECTION_CHARS or linked[k] > SECTION_LINKS * chars[k])
+        self.blocks = [b for s, b in zip(sections, self.blocks) if not gone[s]]
 
     def best(self) -> tuple[int, float]:
         """The path of the deepest container that holds most of the text besides links, and how much it holds; path 0 is the page itself.
@@ -263,7 +316,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     White space is white space in Unicode, so a no-break space is one; a line break
     element is white space inside its block. Of a header inside an article only the
     headings stay. After a heading like "Comments" the rest of the element around it
-    is reader comments. A tag cut off by the end of the page is markup. Pages with a
+    is reader comments, unless the heading opens an article or main. A section of an
+    article whose class or id is one word like "discussion" or "share" stays if it
+    reads like prose. A control ends with its own tag, other inline elements with theirs
+    if only elements whose end tag may be left out are open in them. A tag cut off by the end of the page is markup. Pages with a
     null url, or one without a host, vote together. Ties between paths go to the one
     with more text, then to the smaller path. Repeated rows are returned as often as
     they come in, null ids too; an empty table gives an empty result; other columns

@@ -13,6 +13,8 @@ OTHER = [
     "<nav><ul><li><a href=/>#</a><li><a href=/x>#</a></ul></nav>", "<div class='ad-banner'>#</div>", "<aside><p>#</p></aside>", "<div id=cookie-notice>#<button>#</button></div>", "<form action=/>#<input name=q><label>#</label></form>",
     "<script>var a = '<p>#</p>';</script>", "<style>p { margin: 0 } /* # */</style>", "<!-- <p>#</p> -->", "<section class='comments'><h3>#</h3><p>#</p><article class=comment><p>#</p></article></section>", "<div class='siteHeader'><p>#</p></div>",
     "<div class='related-posts'><a href=/a>#</a></div>", "<footer><p>#</p></footer>", "<noscript>#</noscript>", "<div role=navigation>#</div>", "<div class='newsletter-signup'>#</div>", "<ul class='breadcrumbs'><li>#</li></ul>",
+    "<select><option>#<option>#</select>", "<select name=s><optgroup label=x><option selected>#</select>", "<button class=b><p>#</button>", "<label class=menu>#</label>", "<a class=advert href=/>#</a>", "<datalist><option>#</datalist>", "<span class=share>#</span>", "<b class=ad>#</b>",
+    "<div class=share><a href=/>#</a></div>", "<section id=responses><form>#</form><p>#</p></section>", "<div class='social'><button>#</button></div>",
 ]
 #: Parts of a main text and the blocks they are.
 OWN = [
@@ -108,3 +110,37 @@ def test_broken_and_deep_pages_take_linear_time():
         page = "<b><div>" + unit * (200_000 // len(unit))
         assert took(page) < 12, unit
     assert _text("<div>" * 30_000 + "deep") == "deep"
+
+
+PROSE = "The measured values differ from those expected by a tenth, which the calibration does not explain. " * 3
+
+
+def test_inline_elements_end_with_open_blocks_in_them():
+    cases = {
+        "<article><h1>T</h1><select><option>a<option>b</select><p>Body text</p></article>": "T\nBody text",
+        "<body><select><option>EN<option>DE</select><h1>Title</h1><p>Whole page.</p></body>": "Title\nWhole page.",
+        "<body><button><p>one</button><p>Body</p><button>x<button>y</button><p>More</p>": "Body\nMore",
+        "<body><label class=menu><ul><li>a</ul><p>b</label><p>Body</p>": "Body",
+        "<body><a class=ad><p>b</a><p>Body</p>": "Body",
+        "<body><p><b>one<p>two</b> three</p>": "one\ntwo three",
+        "<body><select><optgroup><option>x</select>Body": "Body",
+        "<body><select><div>x</select><p>Body</p>": "Body",
+    }
+    for page, text in cases.items():
+        assert _text(page) == text, page
+
+
+def test_sections_of_an_article_with_one_word_names_go_by_what_they_hold():
+    own = " ".join(PROSE.split())
+    for name in ("class=discussion", "id=responses", "id=alerts", "class=social", "class=share", "class='recommended'"):
+        assert _text(f"<article><h1>T</h1><p>Lead.</p><section {name}><h2>Head</h2><p>{PROSE}</p></section></article>") == f"T\nLead.\nHead\n{own}", name
+        for part in ("<p>short</p>", f"<a href=/>{PROSE}</a>", f"<p>{PROSE}</p><form>f</form>", f"<div class=comment>x</div><p>{PROSE}</p>"):
+            assert _text(f"<article><h1>T</h1><p>Lead.</p><section {name}>{part}</section></article>") == "T\nLead.", (name, part)
+        assert _text(f"<body><div><h1>T</h1><p>Lead.</p></div><div {name}>{PROSE}</div>") == "T\nLead.", name
+        inner = f"<article><p>Lead.</p><div {name}><p>{PROSE}</p><div {name}><a href=/>{PROSE}</a></div></div></article>"
+        assert _text(inner) == "Lead.", name
+
+
+def test_a_first_heading_that_says_comments_is_a_title():
+    assert _text("<article><h2>Comments</h2><p>On style.</p><h3>Comments</h3><p>mine</p></article>") == "Comments\nOn style."
+    assert _text("<article><h1>T</h1><p>Text.</p><section><h2>3 comments</h2><p>mine</p></section></article>") == "T\nText."

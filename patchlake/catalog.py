@@ -499,4 +499,4 @@ def log_redact(spark, d):
     return read(spark, d, "customer").select("c_custkey", sanitize.redact_auth(sanitize.redact_log(line)).alias("line"), sanitize.mask_token(F.col("c_name")).alias("masked"))
 
 
-from . import cases, service_queries  # noqa: E402, F401  (they register their queries)
+from . import cases, service_queries, stored_queries  # noqa: E402, F401  (they register their queries)

@@ -34,6 +34,12 @@ def file_change(changes: DataFrame, patches: DataFrame, pr, file, include_patch:
     return d.withColumn("truncated", F.coalesce(F.length("patch") > most, F.lit(False))).withColumn("patch", truncated(F.col("patch"), most))
 
 
+def file_changes(changes: DataFrame, patches: DataFrame, most: int = 16000) -> DataFrame:
+    """Change documents of many files with their patches cut to ``most`` characters; rows of both are found by (pr, file_id)."""
+    d = changes.join(patches.select("pr", "file_id", "patch"), ["pr", "file_id"], "left")
+    return d.withColumn("truncated", F.coalesce(F.length("patch") > most, F.lit(False))).withColumn("patch", truncated(F.col("patch"), most))
+
+
 def truncated(patch: Column, most: int = 16000) -> Column:
     return F.when(F.length(patch) > most, F.concat(F.substring(patch, 1, most), F.lit(TRUNCATED))).otherwise(patch)
 

@@ -94,35 +94,44 @@ def change_kinds(spark, d):
 
 
 def _lines_view(spark, d):
-    """Documents as source files of one class each: one hunk whose lines are code around the document's first word."""
-    word = F.regexp_replace(F.initcap(F.regexp_extract(F.lower("text"), "[a-z]{3,}", 0)), "[^A-Za-z]", "")
-    docs = read(spark, d, "documents").where(F.length(word) > 0)
-    name = F.concat(F.lit("src/"), word, F.lit("Controller.cs"))
-    raw = F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\n--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n@@ -5,1 +5,4 @@\n+public class "), word, F.lit("Controller\n+public void Run"), word, F.lit("(int x)\n-public "), word, F.lit("Controller(\n end"))
-    return docs.select(F.col("doc_id").alias("pr"), raw.alias("raw_diff"))
+    """Documents as source files of one class each: every line of the text is a method named by the line's first word, with the line as its comment."""
+    code = lambda t, word: F.when(word == "", F.concat(F.lit("// "), t)).otherwise(F.concat(F.lit("public void "), F.initcap(word), F.lit("(int x) // "), t))
+    lines = F.transform(F.split("text", "\n", -1), lambda t: code(t, F.regexp_extract(F.lower(t), "[a-z]{3,}", 0)))
+    body = F.concat(F.lit("\n+public class Doc {\n+"), F.array_join(lines, "\n+"))
+    name, n = "src/DocController.cs", (F.size(lines) + 1).cast("string")
+    raw = F.concat(F.lit(f"diff --git a/{name} b/{name}\nnew file mode 100644\n--- /dev/null\n+++ b/{name}\n@@ -0,0 +1,"), n, F.lit(" @@"), body)
+    return read(spark, d, "documents").select(F.col("doc_id").alias("pr"), raw.alias("raw_diff"))
 
 
-WORD_SQL = "with w as (select doc_id as pr, regexp_extract(lower(text), '[a-z]{3,}') as r from documents), x as (select pr, upper(r[1]) || r[2:] as word from w where length(r) > 0)"
+#: The lines of all documents with the first word of each.
+WORD_SQL = """with l as (select doc_id as pr, unnest(string_split(text, chr(10))) as t, unnest(range(2, len(string_split(text, chr(10))) + 2)) as line from documents),
+  w as (select pr, t, line, regexp_extract(lower(t), '[a-z]{3,}') as r from l)"""
 
 
-@query(WORD_SQL + """ select pr, 'class' as kind, word || 'Controller' as name, 'added_symbol' as change, cast(5 as bigint) as line from x
-  union all select pr, 'method', 'Run' || word, 'added_symbol', 6 from x
-  union all select pr, 'constructor', word || 'Controller', 'deleted_symbol', 7 from x""")
+@query(WORD_SQL + """ select doc_id as pr, 'class' as kind, 'Doc' as name, 'added_symbol' as change, cast(1 as bigint) as line from documents
+  union all select pr, 'method', upper(r[1]) || r[2:], 'added_symbol', min(line) from w where r not in ('', 'task', 'guid') group by pr, r""")
 def diff_symbols(spark, d):
-    """Symbols of changed lines."""
+    """Symbols of changed lines, from the whole text of every document."""
     marked = diff.marked_lines(_lines_view(spark, d))
     files = diff.diff_files(marked).withColumn("kind", F.lit("functional_logic"))
     return symbol_ops.symbols(diff.diff_lines(marked), files).select("pr", "kind", "name", "change", F.col("line").cast("long").alias("line"))
 
 
-@query(WORD_SQL + r""", r as (select pr, regexp_matches(word, '(?i)jwt|token|bearer|claim|permission|rbac|identity|password|hash|encrypt|secret') as auth,
-  regexp_matches(word, '(?i)apikey|connectionstring|password|secret') as config, regexp_matches(word, '(?i)lock$|transactionscope|begintransactionasync|semaphoreslim') as locks from x)
-select pr, 'functional_logic' as kind, case when auth then 'high' else 'medium' end as level,
-  concat_ws(',', 'public_api', case when auth then 'auth_security' end, case when config then 'secret_config' end, case when locks then 'concurrency_transaction' end) as tags,
-  concat_ws('|', 'Functional code modifications present', 'Public Controller action method signature modified', case when auth then 'Authentication, authorization, or security sensitive logic modified' end,
+@query(WORD_SQL + r""", c as (
+  select pr, 'public class Doc {' || chr(10) || string_agg(case when r = '' then '// ' || t else 'public void ' || upper(r[1]) || r[2:] || '(int x) // ' || t end, chr(10) order by line) as code from w group by pr
+), r as (
+  select pr, regexp_matches(code, '(?i)\[(HttpGet|HttpPost|HttpPut|HttpDelete|HttpPatch|Route)\b|rpc\s+\w+\s*\(') as route, regexp_matches(code, '(?i)public\s+async\s+Task<[^>]+>\s+\w+\s*\(|public\s+\w+\s+\w+\s*\([^)]*\)') as signature,
+    regexp_matches(code, '(?i)\[Authorize\b|\[AllowAnonymous\]|jwt|token|bearer|claim|permission|rbac|password|hash|encrypt|secret') as auth,
+    regexp_matches(code, '(?i)migrationBuilder\.(CreateTable|DropTable|AddColumn|DropColumn|AlterColumn)|(CREATE|ALTER|DROP)\s+TABLE') as tables,
+    regexp_matches(code, '(?i)apiKey|ConnectionString|Password|Secret') as config, regexp_matches(code, '(?i)TransactionScope|BeginTransactionAsync|lock\s*\(|SemaphoreSlim|Monitor\.') as locks from c
+)
+select pr, 'functional_logic' as kind, case when auth or tables then 'high' when route or signature or config or locks then 'medium' else 'low' end as level,
+  concat_ws(',', case when route or signature then 'public_api' end, case when auth then 'auth_security' end, case when tables then 'database_schema' end, case when config then 'secret_config' end, case when locks then 'concurrency_transaction' end) as tags,
+  concat_ws('|', 'Functional code modifications present', case when route then 'API endpoint route or gRPC RPC method definition modified' when signature then 'Public Controller action method signature modified' end,
+    case when auth then 'Authentication, authorization, or security sensitive logic modified' end, case when tables then 'Database table or column structure altered' end,
     case when config then 'Application configuration or secret property modified' end, case when locks then 'Database transaction or thread concurrency sync primitive modified' end) as evidence from r""")
 def code_risk(spark, d):
-    """X03, X05 on code of all documents."""
+    """Kind and risk of code made from the whole text of every document."""
     facts = classify.parsed_facts(diff.parsed_files(_lines_view(spark, d)))
     facts = classify.with_risk(facts.withColumn("classification", classify.change_kind(facts)))
     return facts.select("pr", "classification.kind", "risk.level", F.array_join("risk.tags", ",").alias("tags"), F.concat_ws("|", "classification.evidence", "risk.evidence").alias("evidence"))
@@ -358,10 +367,12 @@ def pii_redact(spark, d):
     return read(spark, d, "documents").select("doc_id", sanitize.sanitize_text(F.col("text")).alias("clean"))
 
 
-#: One row for every category found in a text; the patterns are the scanner's own.
+#: One row for every category found in a text.
 HITS_SQL = rf"""hits as (select source, unnest(list_filter([
   case when regexp_matches(text, '{EMAIL_SQL}') then 'pii_email' end, case when regexp_matches(regexp_replace(text, '{EMAIL_SQL}', '[REDACTED:EMAIL]', 'g'), '{UUID_SQL}') then 'pii_uuid' end,
-  {", ".join("case when regexp_matches(text, '" + (pattern.split("[" + chr(92) + "s" + chr(92) + "S]")[0] if label == "PRIVATE_KEY" else pattern).replace("'", "''") + "') then '" + label.lower() + "' end" for pattern, label in sanitize.SECRETS)}
+  case when regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') then 'private_key' end, case when regexp_matches(text, '(?i)\bBearer\s+[A-Za-z0-9\-._~+/]{{8,}}=*') then 'bearer_token' end,
+  case when regexp_matches(text, '\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\b') then 'aws_key' end,
+  case when regexp_matches(text, '(?i)\b(?:Server|Data Source|Host)\s*=[^;\r\n]+;[^\r\n"'']*?(?:Password|Pwd)\s*=[^;\r\n"'']+;?|\b[a-z][a-z0-9+]*://[^\s:/@]+:[^\s@/]+@[^\s"'']+') then 'connection_string' end
 ], lambda x: x is not null)) as hit from documents)"""
 
 

@@ -35,10 +35,10 @@ class Index:
     folder: str
 
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/postings")
+        return self.spark.read.schema("gram string, path_id long, at int").parquet(f"{self.folder}/postings")
 
     def grams(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/grams")
+        return self.spark.read.schema("gram string, n long").parquet(f"{self.folder}/grams")
 
 
 def build(paths: DataFrame, folder: str, path_col: str = "path", files: int | None = None, buckets: int = 64) -> Index:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .functions import policy, sanitize, urls
+from .catalog import HITS_SQL
+from .functions import policy, urls
 from .operators import discovery, gate, manifest, payload, search
 from .registering import query, read
 
@@ -184,12 +185,17 @@ def manifest_cache(spark, d):
     return search.cached(events, now, 30, 36000)
 
 
-@query(r"""select source as pr, cast(sum(cast(regexp_matches(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}') as bigint)) + count(*) filter (doc_id % 5 = 0) as bigint) as identities_and_mails, count(*) filter (doc_id % 4 = 1) as omitted_files from documents group by source""")
+@query(f"""with {HITS_SQL}, t as (select source, count(*) as n, list(distinct hit) as found from hits group by source), a as (
+  select source, count(*) filter (doc_id % 5 = 0) as identities, count(*) filter (doc_id % 4 = 1) as omitted_files from documents group by source
+)
+select a.source as pr, cast(coalesce(n, 0) + identities as bigint) as redacted_values, omitted_files,
+  array_to_string(list_sort(list_concat(coalesce(found, []), case when identities > 0 then ['pii_user_identity'] else [] end)), ',') as categories
+from a left join t on a.source is not distinct from t.source""")
 def redaction_report(spark, d):
-    """E-mails, identities and omitted files."""
+    """What is found in all whole texts, identities and omitted files, with their categories."""
     n = F.col("doc_id")
-    docs = read(spark, d, "documents").select(F.col("source").alias("pr"), n.alias("n"), F.regexp_extract("text", sanitize.EMAIL, 0).alias("text"), F.struct(F.when(n % 5 == 0, n.cast("string")).alias("uuid"), F.lit("").alias("nickname"), F.lit("shown").alias("display_name")).alias("author"), F.when(n % 4 == 1, "a/.env").otherwise("a/b.ts").alias("path"))
-    return manifest.redaction_report(docs, docs, docs).select("pr", F.col("redacted_values").alias("identities_and_mails"), "omitted_files")
+    docs = read(spark, d, "documents").select(F.col("source").alias("pr"), "text", F.struct(F.when(n % 5 == 0, n.cast("string")).alias("uuid"), F.lit("").alias("nickname"), F.lit("shown").alias("display_name")).alias("author"), F.when(n % 4 == 1, "a/.env").otherwise("a/b.ts").alias("path"))
+    return manifest.redaction_report(docs, docs, docs).select("pr", F.col("redacted_values").cast("long").alias("redacted_values"), "omitted_files", F.array_join("categories", ",").alias("categories"))
 
 
 @query("""select event_id, event_id % 4 <> 0 and event_id % 3 <> 0 and event_id % 2 = 1 as allowed, case when event_id % 4 = 0 then 'Write profile is disabled in config/write.json.' when event_id % 3 = 0 then 'Action ''pr.merge'' is explicitly denied in write profile.' when event_id % 2 = 0 then 'Action ''pr.merge'' is not listed in allowed capabilities.' end as reason from events""")

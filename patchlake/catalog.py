@@ -94,12 +94,12 @@ def change_kinds(spark, d):
 
 
 def _lines_view(spark, d):
-    """Documents as source files of one class each: every line of the text is a method named by the line's first word, with the line as its comment."""
+    """Documents as source files named by their first word, of one class each: every line of the text is a method named by the line's first word, with the line as its comment."""
     code = lambda t, word: F.when(word == "", F.concat(F.lit("// "), t)).otherwise(F.concat(F.lit("public void "), F.initcap(word), F.lit("(int x) // "), t))
     lines = F.transform(F.split("text", "\n", -1), lambda t: code(t, F.regexp_extract(F.lower(t), "[a-z]{3,}", 0)))
     body = F.concat(F.lit("\n+public class Doc {\n+"), F.array_join(lines, "\n+"))
-    name, n = "src/DocController.cs", (F.size(lines) + 1).cast("string")
-    raw = F.concat(F.lit(f"diff --git a/{name} b/{name}\nnew file mode 100644\n--- /dev/null\n+++ b/{name}\n@@ -0,0 +1,"), n, F.lit(" @@"), body)
+    name = F.concat(F.lit("src/"), F.initcap(F.regexp_extract(F.lower("text"), "[a-z]{3,}", 0)), F.lit("Controller.cs"))
+    raw = F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\nnew file mode 100644\n--- /dev/null\n+++ b/"), name, F.lit("\n@@ -0,0 +1,"), (F.size(lines) + 1).cast("string"), F.lit(" @@"), body)
     return read(spark, d, "documents").select(F.col("doc_id").alias("pr"), raw.alias("raw_diff"))
 
 
@@ -108,7 +108,7 @@ WORD_SQL = """with l as (select doc_id as pr, unnest(string_split(text, chr(10))
   w as (select pr, t, line, regexp_extract(lower(t), '[a-z]{3,}') as r from l)"""
 
 
-@query(WORD_SQL + """ select doc_id as pr, 'class' as kind, 'Doc' as name, 'added_symbol' as change, cast(1 as bigint) as line from documents
+@query(WORD_SQL + """ select doc_id as pr, 'class' as kind, 'Doc' as name, 'added_symbol' as change, cast(1 as bigint) as line from documents where text is not null
   union all select pr, 'method', upper(r[1]) || r[2:], 'added_symbol', min(line) from w where r not in ('', 'task', 'guid') group by pr, r""")
 def diff_symbols(spark, d):
     """Symbols of changed lines, from the whole text of every document."""
@@ -118,10 +118,10 @@ def diff_symbols(spark, d):
 
 
 @query(WORD_SQL + r""", c as (
-  select pr, 'public class Doc {' || chr(10) || string_agg(case when r = '' then '// ' || t else 'public void ' || upper(r[1]) || r[2:] || '(int x) // ' || t end, chr(10) order by line) as code from w group by pr
+  select pr, 'public class Doc {' || chr(10) || string_agg(case when r = '' then '// ' || t else 'public void ' || upper(r[1]) || r[2:] || '(int x) // ' || t end, chr(10) order by line) as code, coalesce(arg_min(r, line) filter (r <> ''), '') as word from w group by pr
 ), r as (
   select pr, regexp_matches(code, '(?i)\[(HttpGet|HttpPost|HttpPut|HttpDelete|HttpPatch|Route)\b|rpc\s+\w+\s*\(') as route, regexp_matches(code, '(?i)public\s+async\s+Task<[^>]+>\s+\w+\s*\(|public\s+\w+\s+\w+\s*\([^)]*\)') as signature,
-    regexp_matches(code, '(?i)\[Authorize\b|\[AllowAnonymous\]|jwt|token|bearer|claim|permission|rbac|password|hash|encrypt|secret') as auth,
+    regexp_matches(code, '(?i)\[Authorize\b|\[AllowAnonymous\]|jwt|token|bearer|claim|permission|rbac|password|hash|encrypt|secret') or regexp_matches(word, 'jwt|token|bearer|claim|permission|rbac|identity') as auth,
     regexp_matches(code, '(?i)migrationBuilder\.(CreateTable|DropTable|AddColumn|DropColumn|AlterColumn)|(CREATE|ALTER|DROP)\s+TABLE') as tables,
     regexp_matches(code, '(?i)apiKey|ConnectionString|Password|Secret') as config, regexp_matches(code, '(?i)TransactionScope|BeginTransactionAsync|lock\s*\(|SemaphoreSlim|Monitor\.') as locks from c
 )

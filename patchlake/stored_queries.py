@@ -9,6 +9,7 @@ from .operators import search, trigrams
 from .registering import query, read
 from .sources import clustered, commits, store
 from .sources.shared import fresh_path
+from .streaming import sessions
 
 NOW = "2024-06-01 00:00:00"
 
@@ -75,3 +76,26 @@ def path_search(spark, d):
     pages = read(spark, d, "pages").select("page_id", "url")
     index = trigrams.build(pages, fresh_path(spark, "trigrams"), "url")
     return trigrams.search_index(index, pages, list(PATTERNS), 50, "url", ("page_id", "url")).select("pattern", "url", "page_id", F.col("rank").cast("long").alias("rank"), "total")
+
+
+@query("""with e as (
+  select user_id, ts, event_id, event_type, epoch_us(ts) as us from events where user_id is not null and ts is not null
+), c as (
+  select *, coalesce(us - lag(us) over (partition by user_id order by us, event_id) >= 1800000000, true) as fresh from e
+), n as (
+  select *, sum(cast(fresh as integer)) over (partition by user_id order by us, event_id rows unbounded preceding) as no from c
+), s as (
+  select user_id, no, min(us) as a, max(us) as b, count(*) as events, arg_max(event_type, (us, event_id)) as stage from n group by user_id, no
+)
+select user_id, a as started_us, b as ended_us, events, stage from s
+where (b + 1800000000 + 999) // 1000 <= (select max(us) // 1000 - 600000 from e)""")
+def lapsed_sessions(spark, d):
+    """All events as a stream; the sessions of 30 minutes that have lapsed when the watermark stands 10 minutes before the last event, each with its last stage."""
+    events = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")  # a pattern, as a stream takes no plain file
+    # times without a zone are taken as UTC, whatever the session's
+    events = events.withColumn("ts", F.timestamp_seconds(F.lit(0)) + (F.col("ts") - F.expr("timestamp_ntz'1970-01-01'")))
+    found = sessions.lapsed(events, "user_id", "ts", "event_id", "event_type")
+    out = fresh_path(spark, "sessions")
+    sessions.write_lapsed(found, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    rows = spark.read.schema(found.schema).parquet(f"{out}/rows")
+    return rows.select("user_id", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "events", "stage")

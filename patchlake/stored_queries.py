@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import search, trigrams
 from .registering import query, read
-from .sources import clustered, commits, store
+from .sources import clustered, commits, keyed, store
 from .sources.shared import fresh_path
 from .streaming import sessions
 
@@ -99,3 +99,16 @@ def lapsed_sessions(spark, d):
     sessions.write_lapsed(found, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     rows = spark.read.schema(found.schema).parquet(f"{out}/rows")
     return rows.select("user_id", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "events", "stage")
+
+
+@query("""select doc_id // 4 as key, max_by(doc_id, (doc_id % 3, doc_id)) as doc_id, max_by(sha256(coalesce(text, '')), (doc_id % 3, doc_id)) as text_sha256
+from documents where doc_id is not null group by 1 having not max_by(doc_id % 7 = 0, (doc_id % 3, doc_id))""")
+def merged_index(spark, d):
+    """A keyed table after three merges of all documents: four ids share a key, the last merge of a key wins, ids divisible by 7 remove it."""
+    root = fresh_path(spark, "keyed")
+    keyed.create(spark, root, "key long, doc_id long, text_sha256 string", ["key"], 16)
+    docs = read(spark, d, "documents").where("doc_id is not null")
+    rows = docs.select(F.floor(F.col("doc_id") / 4).cast("long").alias("key"), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), (F.col("doc_id") % 7 == 0).alias("gone"))
+    for turn in range(3):
+        keyed.merge(spark, root, rows.where(F.col("doc_id") % 3 == turn), ["doc_id"], "gone")
+    return keyed.snapshot(spark, root).rows()

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import written
+
 METADATA = "struct<id:bigint,title:string,description:string,state:string,draft:boolean,author:struct<display_name:string,username:string,uuid:string>,source:struct<branch:struct<name:string>,commit:struct<hash:string>>,destination:struct<branch:struct<name:string>,commit:struct<hash:string>>,updated_on:string>"
 COMMIT = "struct<hash:string,message:string>"
 DIFFSTAT = "struct<status:string,lines_added:bigint,lines_removed:bigint,old:struct<path:string>,new:struct<path:string>>"
@@ -37,6 +39,43 @@ def pages(spark: SparkSession, path: str, item: str, most: int = 50) -> DataFram
     return heads.select("pr", F.coalesce(values, F.expr(f"cast(array() as array<{item}>)")).alias("values"), warning.isNull().alias("complete"), warning.alias("warning"))
 
 
+def chains(heads: DataFrame, landed: DataFrame, most: int = 50) -> DataFrame:
+    """Rows (pr, pages, values, complete, warning): listings put together by following each page's ``next``.
+
+    ``heads`` (pr, link) names the first page of each listing, ``landed`` (pr, link, values,
+    next, error) holds pages in any order, repeated or unreachable ones included. A listing
+    ends at a page without next, before a failed page or one that never landed, or after
+    ``most`` pages; a loop is followed until then, as a reader would. What was reached is
+    kept. Of several pages of one link one without error counts, then the last by next and
+    values. Null listings or links are in no chain; an empty next is none.
+
+    Only links take part in the recursion, one join a page deep, which ends when no listing
+    goes on; values are joined once. A listing's result is at most ``most`` pages.
+    """
+    pages = landed.where("pr is not null and link is not null").withColumn("next", F.nullif("next", F.lit("")))
+    order = F.struct(F.col("error").isNull(), "next", F.xxhash64("values"))
+    one = lambda *c: pages.groupBy("pr", "link").agg(F.max_by(F.struct(*c), order).alias("x")).select("pr", "link", "x.*")
+    steps = written(one("next", "error"), "steps")
+    starts = heads.where("pr is not null and link is not null").groupBy("pr").agg(F.min("link").alias("link"))
+    # no limit on rows: the recursion's is for queries at a prompt
+    walk = heads.sparkSession.sql(
+        f"""with recursive chain(pr, link, depth) max recursion level {most + 2} as (
+          select pr, link, 1 from {{starts}}
+          union all
+          select c.pr, s.next, c.depth + 1 from chain c join {{steps}} s on s.pr = c.pr and s.link = c.link where s.next is not null and s.error is null and c.depth <= {most}
+        ) select pr, link, depth from chain limit all""",
+        starts=starts, steps=steps,
+    )
+    chain = written(walk, "chain")
+    found = chain.join(one("error", "values").withColumn("known", F.lit(True)), ["pr", "link"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    read = (F.col("depth") <= most) & F.col("error").isNull() & F.col("known")
+    end = F.when(F.col("depth") > most, "page limit reached").when(~F.col("known"), "page not landed").otherwise(F.col("error"))
+    by = found.groupBy("pr").agg(F.array_sort(F.collect_list(F.when(read, F.struct("depth", "values")))).alias("p"), F.max(end).alias("warning"))
+    kind = by.schema["p"].dataType.elementType["values"].dataType.simpleString()
+    empty = F.expr(f"cast(array() as {kind})")
+    return by.select("pr", F.size("p").cast("long").alias("pages"), F.flatten(F.transform("p", lambda x: F.coalesce(x["values"], empty))).alias("values"), F.col("warning").isNull().alias("complete"), "warning")
+
+
 def raw_diffs(spark: SparkSession, path: str) -> DataFrame:
     """Rows (pr, raw_diff): one text file a pr, named by it; gzip files are read as they are."""
     name = F.regexp_extract(F.input_file_name(), r"([^/]*?)(?:\.diff|\.patch|\.txt)?(?:\.gz)?\z", 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import search, trigrams
 from .registering import query, read
-from .sources import clustered, commits, keyed, store
+from .sources import clustered, commits, keyed, landed, store
 from .sources.shared import fresh_path
 from .streaming import sessions
 
@@ -112,3 +112,30 @@ def merged_index(spark, d):
     for turn in range(3):
         keyed.merge(spark, root, rows.where(F.col("doc_id") % 3 == turn), ["doc_id"], "gone")
     return keyed.snapshot(spark, root).rows()
+
+
+#: Pages of listings: 64 ids are one, page after page; some fail, some never landed, some lead back.
+LANDED_SQL = """select doc_id // 64 as pr, doc_id % 64 as k, length(coalesce(text, '')) as chars,
+  case when doc_id % 64 = 40 and doc_id // 64 % 5 = 0 then 33 when doc_id % 64 = 63 or (doc_id % 64 = 20 and doc_id // 64 % 3 = 1) then null else doc_id % 64 + 1 end as nxt,
+  case when doc_id % 89 = 88 then 'HTTP 500' end as error
+from documents where doc_id is not null and doc_id % 97 <> 96"""
+
+
+@query(f"""with recursive p as ({LANDED_SQL}), w(pr, k, depth) as (
+  select distinct doc_id // 64, cast(0 as bigint), 1 from documents where doc_id is not null
+  union all
+  select w.pr, cast(p.nxt as bigint), depth + 1 from w join p on p.pr = w.pr and p.k = w.k where nxt is not null and error is null and depth <= 50
+), r as (
+  select w.pr, depth, chars, case when depth > 50 then 'page limit reached' when p.k is null then 'page not landed' else error end as bad from w left join p on p.pr = w.pr and p.k = w.k
+)
+select pr, count(*) filter (bad is null) as pages, coalesce(string_agg(cast(chars as varchar), ',' order by depth) filter (bad is null), '') as sizes, max(bad) is null as complete, max(bad) as warning from r group by pr""")
+def page_chains(spark, d):
+    """Listings of pages followed from link to link: whole ones, loops, gaps, failed pages and those of more than 50 pages."""
+    n = F.col("doc_id")
+    docs = read(spark, d, "documents").where("doc_id is not null")
+    pr, k = F.floor(n / 64).cast("long"), n % 64
+    link = lambda c: F.concat(F.lit("https://api.example.org/"), pr.cast("string"), F.lit("?page="), c.cast("string"))
+    after = F.when((k == 40) & (pr % 5 == 0), 33).when((k != 63) & ~((k == 20) & (pr % 3 == 1)), k + 1)
+    pages = docs.where(n % 97 != 96).select(pr.alias("pr"), link(k).alias("link"), F.array(F.length(F.coalesce("text", F.lit("")))).alias("values"), link(after).alias("next"), F.when(n % 89 == 88, "HTTP 500").alias("error"))
+    heads = docs.select(pr.alias("pr"), link(F.lit(0)).alias("link")).distinct()
+    return landed.chains(heads, pages).select("pr", "pages", F.array_join("values", ",").alias("sizes"), "complete", "warning")

@@ -66,3 +66,25 @@ def test_retention_and_registry(spark):
     assert registry.deduplicated(links).count() == 1 and registry.invalid(links).first()["error"] == "invalid url"
     more = registry.added(registry.deduplicated(links), spark.createDataFrame([(0, "https://bitbucket.org/a/c/pull-requests/2")], "ord int, url string"))
     assert more.count() == 2 and registry.removed(more, links).count() == 1
+
+
+def test_page_chains(spark):
+    page = "pr string, link string, values array<int>, next string, error string"
+    rows = [
+        ("whole", "a", [1, 2], "b", None), ("whole", "b", None, "c", None), ("whole", "c", [3], "", None), ("whole", "lost", [9], "a", None),
+        ("loop", "a", [1], "b", None), ("loop", "b", [2], "a", None),
+        ("gap", "a", [1], "b", None), ("gap", "c", [3], None, None),
+        ("bad", "a", [1], "b", None), ("bad", "b", [2], "c", "HTTP 500"), ("bad", "c", [3], None, None),
+        ("twice", "a", [1], "b", "timeout"), ("twice", "a", [1], "b", None), ("twice", "a", [1], "b", None), ("twice", "b", [2], None, None),
+        ("first bad", "a", None, None, "HTTP 404"), (None, "a", [1], None, None), ("whole", None, [1], None, None),
+    ]
+    heads = [(pr, "a") for pr in ("whole", "loop", "gap", "bad", "twice", "first bad", "never")] + [("whole", "a"), (None, "a")]
+    got = landed.chains(spark.createDataFrame(heads, "pr string, link string"), spark.createDataFrame(rows, page), 5)
+    assert {r["pr"]: (r["pages"], r["values"], r["complete"], r["warning"]) for r in got.collect()} == {
+        "whole": (3, [1, 2, 3], True, None), "loop": (5, [1, 2, 1, 2, 1], False, "page limit reached"), "gap": (1, [1], False, "page not landed"),
+        "bad": (1, [1], False, "HTTP 500"), "twice": (2, [1, 2], True, None), "first bad": (0, [], False, "HTTP 404"), "never": (0, [], False, "page not landed"),
+    }
+    exact = [("p", str(k), [k], str(k + 1) if k < 5 else None, None) for k in range(1, 6)]
+    five = landed.chains(spark.createDataFrame([("p", "1")], "pr string, link string"), spark.createDataFrame(exact, page), 5).first()
+    assert (five["pages"], five["complete"]) == (5, True)
+    assert landed.chains(spark.createDataFrame([], "pr string, link string"), spark.createDataFrame([], page)).count() == 0

@@ -41,21 +41,20 @@ def coerced_file_id(c: Column, keep_zeros: bool = False) -> Column:
 
 
 def sorted_struct(c: Column, kind: T.DataType) -> Column:
-    """The value with the fields of every struct in name order, decided from the type."""
+    """The value with the fields of every struct in name order and the entries of every map in key order, decided from the type."""
     if isinstance(kind, T.StructType):
         fields = sorted(kind.fields, key=lambda f: f.name)
         return F.when(c.isNotNull(), F.struct(*(sorted_struct(c[f.name], f.dataType).alias(f.name) for f in fields)))
     if isinstance(kind, T.ArrayType):
         return F.transform(c, lambda x: sorted_struct(x, kind.elementType))
     if isinstance(kind, T.MapType):
-        return F.map_from_entries(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.struct(e["key"], sorted_struct(e["value"], kind.valueType)))) if _orderable(kind.valueType) else c
+        # by key alone: keys are unique and can be ordered, values may hold maps
+        by_key = lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0)
+        entries = F.array_sort(F.map_entries(c), by_key)
+        return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], sorted_struct(e["value"], kind.valueType))))
     return c
 
 
-def _orderable(kind: T.DataType) -> bool:
-    return not isinstance(kind, T.MapType)
-
-
 def stable_json(df: DataFrame, drop: tuple[str, ...] = ("generated_at",)) -> Column:
     """JSON of a row of ``df`` with sorted keys, without the volatile top-level columns."""
     fields = sorted((f for f in df.schema.fields if f.name not in drop), key=lambda f: f.name)

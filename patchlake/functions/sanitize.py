@@ -104,10 +104,12 @@ def redact_columns(df: DataFrame, workspace: str | None = None, repo: str | None
         if isinstance(kind, T.StructType):
             parts = [(F.lit("[REDACTED]") if hidden(f.name) else walk(c[f.name], f.dataType)).alias(f.name) for f in kind.fields]
             return F.when(c.isNotNull(), F.struct(*parts))
-        if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        if isinstance(kind, T.MapType):
             secret = F.lit("(?i)" + "|".join(HIDDEN_KEYS))
-            if isinstance(kind.valueType, T.StringType):
-                return F.transform_values(c, lambda k, v: F.when(F.regexp_like(k, secret), F.lit("[REDACTED]")).otherwise(walk(v, kind.valueType)))
+            # a value that is no string has no room for the mark and becomes null
+            mark = F.lit("[REDACTED]") if isinstance(kind.valueType, T.StringType) else F.lit(None)
+            named = isinstance(kind.keyType, T.StringType)
+            return F.transform_values(c, lambda k, v: F.when(F.regexp_like(k, secret), mark).otherwise(walk(v, kind.valueType)) if named else walk(v, kind.valueType))
         return c
 
     return df.select(*((F.lit("[REDACTED]") if hidden(f.name) else walk(F.col(f"`{f.name}`"), f.dataType)).alias(f.name) for f in df.schema.fields))

@@ -127,3 +127,20 @@ def test_tickets_and_titles(spark):
     assert one(spark, payload.ticket_id(F.lit("feature/none"), commits, ["ZZ-", "AB-"])) == "AB-7"
     assert one(spark, payload.title(F.lit("feature/do-this_now"), F.lit("N/A"), F.expr("cast(array() as array<string>)"))) == "do this now"
     assert one(spark, payload.title(F.lit("b"), F.lit("AB-7"), commits)) == "[AB-7] fix it"
+
+
+def test_maps_at_any_depth_are_redacted_and_sorted(spark):
+    secret = "mail me at a@b.org"
+    rows = [(
+        {"a": (secret, "hunter2", 1)}, {"b": [secret], "my_Token": ["x"]}, {"c": {"password": "x", "note": secret}}, {7: secret}, [{"author": "me", "n": secret}], None,
+    )]
+    d = spark.createDataFrame(rows, "s map<string,struct<note:string,password:string,n:int>>, l map<string,array<string>>, m map<string,map<string,string>>, k map<int,string>, a array<map<string,string>>, e map<string,map<string,int>>")
+    r = sanitize.redact_columns(d).first()
+    clean = "mail me at [REDACTED_EMAIL]"
+    assert r["s"]["a"].asDict() == {"note": clean, "password": "[REDACTED]", "n": 1}
+    assert r["l"] == {"b": [clean], "my_Token": None} and r["m"] == {"c": {"password": "[REDACTED]", "note": clean}}
+    assert r["k"] == {7: clean} and r["a"] == [{"author": "[REDACTED]", "n": clean}] and r["e"] is None
+    one = spark.sql("select map('x', map('b', array(map('p', 1, 'o', 2)), 'a', null), 'w', null) as m, map('k', named_struct('z', map('2', 2, '1', 1), 'a', 0)) as s")
+    two = spark.sql("select map('w', null, 'x', map('a', null, 'b', array(map('o', 2, 'p', 1)))) as m, map('k', named_struct('z', map('1', 1, '2', 2), 'a', 0)) as s")
+    assert one.select(ids.content_hash(one)).first() == two.select(ids.content_hash(two)).first()
+    assert one.select(ids.stable_json(one)).first()[0] == '{"m":{"w":null,"x":{"a":null,"b":[{"o":2,"p":1}]}},"s":{"k":{"a":0,"z":{"1":1,"2":2}}}}'

@@ -28,7 +28,7 @@ from ..operators import gate, progress
 from . import commits
 from .commits import Conflict
 
-__all__ = ["Conflict", "Snapshot", "collect", "pointers", "publish", "publish_batch", "read_table", "snapshot", "sweep"]
+__all__ = ["Conflict", "Snapshot", "applied", "collect", "pointers", "publish", "publish_batch", "read_table", "remove", "snapshot", "sweep"]
 
 #: Tables of which every change set must have a row.
 REQUIRED = ("manifest", "coverage")
@@ -41,7 +41,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -131,16 +131,21 @@ def read_table(spark: SparkSession, root: str, name: str, version: int | None =
 
 def _clean(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
-        _remove(spark, path)
+        remove(spark, path)
 
 
-def publish_batch(root: str, tables: dict[str, DataFrame], revisions: DataFrame, batch: str | None = None, base: int | None = None, check=None) -> str:
+def applied(spark: SparkSession, root: str, token: str, upto: int | None = None) -> bool:
+    """Whether a batch of this token is committed, at a version or now."""
+    return any(c.get("token") == token for c in commits.since(spark, root, 0, upto))
+
+
+def publish_batch(root: str, tables: dict[str, DataFrame], revisions: DataFrame, batch: str | None = None, base: int | None = None, check=None, token: str | None = None) -> str:
     """Write ``tables`` (each with pr) and ``revisions`` (pr, generated_at, ...) as one batch and commit it; returns its name.
 
     ``base`` is the version the batch was made from, by default the last one now.
     ``check`` gets the staged tables and raises if they are not to be published. A batch
-    that shares a change set with one committed after ``base`` raises Conflict; on any
-    error nothing of it stays.
+    that shares a change set with one committed after ``base`` raises Conflict, and so
+    does one whose ``token`` is committed already; on any error nothing of it stays.
     """
     spark = revisions.sparkSession
     batch = batch or uuid.uuid4().hex
@@ -162,17 +167,22 @@ def publish_batch(root: str, tables: dict[str, DataFrame], revisions: DataFrame,
         own = spark.read.parquet(f"{root}/{rows}")
 
         def conflicts(news: list[dict]) -> None:
+            if token is not None and any(c.get("token") == token for c in news):
+                raise Conflict(f"{token} is committed already")
             others = [f"{root}/{c['rows']}" for c in news if c["kind"] == "publish"]
             if others:
                 both = spark.read.parquet(*others).select("pr").join(own.select("pr"), "pr", "left_semi").limit(5).collect()
                 if both:
                     raise Conflict("published by another since version %d: %s" % (base, ", ".join(str(r["pr"]) for r in both)))
 
-        version = commits.commit(spark, root, {"kind": "publish", "batch": batch, "rows": rows, "revisions": own.count()}, base, conflicts)
+        if token is not None and applied(spark, root, token, base):
+            raise Conflict(f"{token} is committed already")
+        record = {"kind": "publish", "batch": batch, "rows": rows, "revisions": own.count()} | ({} if token is None else {"token": token})
+        version = commits.commit(spark, root, record, base, conflicts)
     except BaseException:
         _clean(spark, made)
         raise
-    _remove(spark, staging)
+    remove(spark, staging)
     if version % STATE_EVERY == 0:
         try:
             _commit_state(snapshot(spark, root, version))
@@ -181,7 +191,7 @@ def publish_batch(root: str, tables: dict[str, DataFrame], revisions: DataFrame,
     return batch
 
 
-def publish(root: str, tables: dict[str, DataFrame], rolled: DataFrame, details: DataFrame, generated_at, batch: str | None = None, base: int | None = None) -> str:
+def publish(root: str, tables: dict[str, DataFrame], rolled: DataFrame, details: DataFrame, generated_at, batch: str | None = None, base: int | None = None, token: str | None = None) -> str:
     """Publish one batch of revisions; raise and leave everything as it was if the gate finds errors or another got there first.
 
     ``rolled`` and ``details`` (pr, ref, patch_ref, folder) feed the gate. Returns the batch's name.
@@ -193,7 +203,7 @@ def publish(root: str, tables: dict[str, DataFrame], rolled: DataFrame, details:
 
     manifest = tables["manifest"]
     commits_of = manifest.select("pr", revision_id(F.col("source_commit"), F.col("target_commit")).alias("active_revision"), "source_commit", "target_commit", F.col("source_commit").alias("source_hash"), F.col("target_commit").alias("destination_hash"), generated_at.alias("generated_at"))
-    return publish_batch(root, tables, commits_of, batch, base, check)
+    return publish_batch(root, tables, commits_of, batch, base, check, token)
 
 
 # --- collection ----------------------------------------------------------------------
@@ -212,7 +222,7 @@ def _commit_state(at: Snapshot, kept: DataFrame | None = None, sizes: dict[str,
     try:
         return commits.commit(at.spark, at.root, record, at.version, conflicts)
     except BaseException:
-        _remove(at.spark, f"{at.root}/{state}")
+        remove(at.spark, f"{at.root}/{state}")
         raise
 
 
@@ -259,7 +269,7 @@ def collect(spark: SparkSession, root: str, now: Column, keep: int = 3, days: in
     except BaseException:
         _clean(spark, made)
         raise
-    _remove(spark, staging)
+    remove(spark, staging)
     return {"version": version, "removed": removed, "copied": copied, "batch": batch if copied else None}
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import search, trigrams
+from .operators import diff, search, trigrams
 from .registering import query, read
 from .sources import clustered, commits, keyed, landed, store
 from .sources.shared import fresh_path
-from .streaming import sessions
+from .streaming import refresh, sessions
 
 NOW = "2024-06-01 00:00:00"
 
@@ -139,3 +139,50 @@ def page_chains(spark, d):
     pages = docs.where(n % 97 != 96).select(pr.alias("pr"), link(k).alias("link"), F.array(F.length(F.coalesce("text", F.lit("")))).alias("values"), link(after).alias("next"), F.when(n % 89 == 88, "HTTP 500").alias("error"))
     heads = docs.select(pr.alias("pr"), link(F.lit(0)).alias("link")).distinct()
     return landed.chains(heads, pages).select("pr", "pages", F.array_join("values", ",").alias("sizes"), "complete", "warning")
+
+
+#: Documents as revisions: eight ids are one change set, two more of them land with each wave; some come late, some with a known commit.
+REVISIONS_SQL = """select doc_id, doc_id // 8 as pr, doc_id % 8 // 2 as wave, coalesce(text, '') as t,
+  case when doc_id // 8 % 4 = 2 then 'h' || doc_id % 8 // 4 else 'h' || doc_id end as commit,
+  case when doc_id // 8 % 3 = 1 and doc_id % 8 // 2 = 2 then 1 else 10 + doc_id % 8 * 3 % 10 + doc_id % 8 // 2 * 2 end as day
+from documents where doc_id is not null"""
+
+
+def _wave(n: int) -> str:
+    """The state after wave ``n``: of each change set the revision made in the last wave that found one outdated."""
+    return f"""n{n} as (
+  select r.pr, max_by(r.doc_id, (r.day, r.commit)) as doc_id, max_by(r.commit, (r.day, r.commit)) as commit, max(r.day) as day
+  from r left join a{n - 1} a on a.pr = r.pr where wave = {n} and (a.pr is null or (r.commit <> a.commit and r.day > a.day)) group by r.pr
+), a{n} as (
+  select * from n{n} union all select * from a{n - 1} where pr not in (select pr from n{n})
+)"""
+
+
+@query(f"""with r as ({REVISIONS_SQL}), a_ as (select pr, doc_id, commit, day from r where false), {', '.join(_wave(n).replace('a-1', 'a_') for n in range(4))}, made as (
+  {' union all '.join(f'select {n} as wave, pr, doc_id from n{n}' for n in range(4))}
+)
+select pr, cast(made.wave as bigint) as wave, commit as source_commit, 'docs/' || doc_id || '.md' as path, cast(len(string_split(t, chr(10))) as bigint) as additions from made join r using (pr, doc_id)""")
+def refreshed_revisions(spark, d):
+    """What four runs of the refresh stream analysed of all documents, landed in four waves."""
+    n = F.col("doc_id")
+    root, landing = fresh_path(spark, "refreshed"), fresh_path(spark, "landing")
+    pr, k, name = F.floor(n / 8).cast("long"), n % 8, F.concat(F.lit("docs/"), n.cast("string"), F.lit(".md"))
+    wave = F.floor(k / 2).cast("int")
+    commit = F.concat(F.lit("h"), F.when(pr % 4 == 2, F.floor(k / 4)).otherwise(n).cast("string"))
+    day = F.when((pr % 3 == 1) & (wave == 2), 1).otherwise(10 + k * 3 % 10 + wave * 2)
+    body = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n+"))
+    raw = F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\nnew file mode 100644\n--- /dev/null\n+++ b/"), name, F.lit("\n@@ -0,0 +1 @@\n+"), body)
+    docs = read(spark, d, "documents").where("doc_id is not null").select(pr.alias("pr"), commit.alias("source_commit"), F.lit("main").alias("target_commit"), F.concat(F.lit("2024-05-"), F.lpad(day.cast("string"), 2, "0"), F.lit("T00:00:00Z")).alias("updated_on"), raw.alias("raw_diff"), wave.alias("wave"))
+    facts = [F.col(c) for c in ("source_commit", "target_commit", "updated_on")]
+
+    def put(rows, base, token):
+        files = diff.parsed_files(rows.select("pr", "raw_diff"))
+        tables = {"files": files.select("pr", diff.file_path(files).alias("path"), "additions", F.lit(int(token.split("-")[1])).cast("long").alias("wave"))}
+        store.publish_batch(root, tables, rows.select("pr", "generated_at", "source_commit", "target_commit"), base=base, token=token)
+
+    for turn in range(4):
+        docs.where(F.col("wave") == turn).drop("wave").write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(docs.drop("wave").schema).parquet(landing)
+        refresh.refresh(stream, root, put, f"{root}-checkpoint", "refresh", facts).awaitTermination()
+    at = store.snapshot(spark, root)
+    return at.rows("files").join(at.revisions().select("pr", "origin", "source_commit"), ["pr", "origin"]).select("pr", "wave", "source_commit", "path", "additions")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import diff, search, trigrams
+from .operators import diff, gate, search, trigrams
 from .registering import query, read
 from .sources import clustered, commits, keyed, landed, store
 from .sources.shared import fresh_path
@@ -186,3 +186,39 @@ def refreshed_revisions(spark, d):
         refresh.refresh(stream, root, put, f"{root}-checkpoint", "refresh", facts).awaitTermination()
     at = store.snapshot(spark, root)
     return at.rows("files").join(at.revisions().select("pr", "origin", "source_commit"), ["pr", "origin"]).select("pr", "wave", "source_commit", "path", "additions")
+
+
+@query("""with d as (
+  select doc_id, doc_id // 8 as pr, len(string_split(coalesce(text, ''), chr(10))) as adds, coalesce(lang, 'unknown') as kind, 'file_000' || (doc_id % 8 + 1) as fid,
+    case when doc_id % 31 = 0 then 'file_0001' else 'file_000' || (doc_id % 8 + 1) end as id from documents where doc_id is not null
+), i as (select *, case when doc_id % 41 = 0 then '../x' else 'files/' || id || '/change.json' end as ref from d), x as (
+  select doc_id, pr, fid, 'files/' || fid || '/change.json' as ref, case when doc_id % 47 = 0 then '../p' else 'patch.diff' end as patch_ref from d where doc_id % 43 <> 0
+), r as (select pr, sum(adds) as adds from d group by pr)
+select pr, 'index_schema' as rule, 'error' as severity, id as subject, 'status' as detail from i where doc_id % 37 = 0
+union all select pr, 'duplicate_id', 'error', id, 'seen ' || count(*) || ' times' from i group by pr, id having count(*) > 1
+union all select pr, 'path_traversal', 'error', id, ref from i where ref = '../x'
+union all select pr, 'missing_detail', 'error', id, ref from i where ref <> '../x' and (pr, ref) not in (select (pr, ref) from x)
+union all select i.pr, 'path_traversal', 'error', id, patch_ref from i join x on x.pr = i.pr and x.ref = i.ref where patch_ref = '../p'
+union all select i.pr, 'missing_patch', 'error', id, patch_ref from i join x on x.pr = i.pr and x.ref = i.ref where patch_ref <> '../p' and x.doc_id % 53 = 0
+union all select pr, 'totals', 'error', 'total_additions', (adds + 1) || ' <> ' || adds from r where pr % 5 = 0
+union all select pr, 'important_file_id', 'error', 'file_0099', 'not in the index' from r where pr % 6 = 0
+union all select pr, 'important_file_id', 'error', 'file_0001', 'not in the index' from r where pr not in (select pr from i where id = 'file_0001')
+union all select pr, 'kind_counts', 'warning', kind, (count(*) + 1) || ' <> ' || count(*) from d where pr % 7 = 0 group by pr, kind
+union all select distinct pr, 'orphan', 'warning', fid, 'not in the index' from x where (pr, fid) not in (select (pr, id) from i)
+union all select pr, 'coverage_schema', 'error', 'diff', 'odd' from r where pr % 11 = 0""")
+def gate_report(spark, d):
+    """Every violation of faulty change sets made of all documents, in one pass over all parts."""
+    n = F.col("doc_id")
+    fid = lambda o: F.concat(F.lit("file_000"), (o + 1).cast("string"))
+    ref = lambda i: F.concat(F.lit("files/"), i, F.lit("/change.json"))
+    docs = read(spark, d, "documents").where("doc_id is not null").select("doc_id", F.floor(n / 8).cast("long").alias("pr"), fid(n % 8).alias("fid"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("additions"), F.coalesce("lang", F.lit("unknown")).alias("change_kind"))
+    own = docs.withColumn("id", F.when(n % 31 == 0, "file_0001").otherwise(F.col("fid")))
+    index = own.select("pr", "id", F.concat(F.lit("docs/"), n.cast("string"), F.lit(".md")).alias("path"), F.lit("markdown").alias("language"), F.when(n % 37 == 0, "odd").otherwise("added").alias("status"), "additions", F.lit(0).cast("long").alias("deletions"), "change_kind", F.expr("cast(array() as array<string>)").alias("risk_tags"), F.when(n % 41 == 0, "../x").otherwise(ref(F.col("id"))).alias("detail_ref"))
+    kinds = docs.groupBy("pr", "change_kind").agg(F.count("*").alias("files"), F.sum("additions").alias("additions"))
+    counts = F.collect_list(F.struct("change_kind", (F.col("files") + (F.col("pr") % 7 == 0).cast("long")).alias("n")))
+    rolled = kinds.groupBy("pr").agg(F.sum("files").alias("total_files"), (F.sum("additions") + (F.col("pr") % 5 == 0).cast("long")).alias("total_additions"), F.lit(0).cast("long").alias("total_deletions"), counts.alias("kind_counts"))
+    rolled = rolled.withColumns({"overall_level": F.lit("low"), "primary_kind": F.lit("unknown"), "important_file_ids": F.when(F.col("pr") % 6 == 0, F.array(F.lit("file_0001"), F.lit("file_0099"))).otherwise(F.array(F.lit("file_0001")))})
+    details = docs.where(n % 43 != 0).select("pr", ref(F.col("fid")).alias("ref"), F.when(n % 47 == 0, "../p").otherwise("patch.diff").alias("patch_ref"), F.col("fid").alias("folder"))
+    patches = docs.where(n % 53 != 0).select("pr", F.concat(F.lit("files/"), "fid", F.lit("/patch.diff")).alias("ref"))
+    coverage = docs.select("pr").distinct().select("pr", F.lit("diff").alias("section"), F.when(F.col("pr") % 11 == 0, "odd").otherwise("complete").alias("status"), F.lit(False).alias("truncated"), F.lit(1).alias("items_fetched"))
+    return gate.violations(rolled, index, details, patches, coverage)

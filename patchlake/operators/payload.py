@@ -75,17 +75,13 @@ def modules(paths: DataFrame) -> DataFrame:
     return d.groupBy("pr", "module").agg(F.array_distinct(in_order(F.col("name"), F.col("ord"))).alias("files")).withColumn("module_ord", rank)
 
 
-def file_highlights(files: DataFrame, symbols: DataFrame, most: int = 8) -> DataFrame:
-    """Rows (pr, name, highlights): evidence, risk evidence and symbols of each file, the first ``most``; of equal basenames the last file counts.
+def symbols_said(symbols: DataFrame) -> DataFrame:
+    """Rows (pr, file_ord, said): the symbols of each file in words, in order."""
+    return symbols.groupBy(*FILE).agg(in_order(symbol_said(F.col("kind"), F.col("name"), F.col("change")), F.col("symbol_ord")).alias("said"))
 
-    ``files`` has (pr, file_ord, path, classification, risk).
-    """
-    said = F.concat(F.upper("kind"), F.lit(": "), F.col("name"), F.lit(" ("), F.col("change"), F.lit(")"))
-    syms = symbols.groupBy(*FILE).agg(in_order(said, F.col("symbol_ord")).alias("said"))
-    d = files.join(syms, FILE, "left").withColumn("name", F.element_at(F.split("path", "/"), -1)).where("name <> ''")
-    empty = F.expr("cast(array() as array<string>)")
-    whole = F.slice(F.array_distinct(F.concat("classification.evidence", "risk.evidence", F.coalesce("said", empty))), 1, most)
-    return d.groupBy("pr", "name").agg(F.max_by(whole, F.col("file_ord")).alias("highlights"))
+
+def symbol_said(kind: Column, name: Column, change: Column) -> Column:
+    return F.concat(F.upper(kind), F.lit(": "), name, F.lit(" ("), change, F.lit(")"))
 
 
 def fallback_highlight(module: Column, files: Column) -> Column:
@@ -95,14 +91,35 @@ def fallback_highlight(module: Column, files: Column) -> Column:
     return F.concat(out, F.array_join(F.slice(files, 1, 3), ", "))
 
 
-def module_highlights(mods: DataFrame, highlights: DataFrame, fallback: bool = True) -> DataFrame:
-    """``mods`` with the union of their files' highlights in order; a text by module name where there is none."""
-    d = mods.select("pr", "module", F.posexplode("files").alias("pos", "name")).join(highlights, ["pr", "name"])
-    joined = d.groupBy("pr", "module").agg(F.array_distinct(F.flatten(in_order(F.col("highlights"), F.col("pos")))).alias("highlights"))
-    empty = F.expr("cast(array() as array<string>)")
-    out = mods.join(joined, ["pr", "module"], "left").withColumn("highlights", F.coalesce("highlights", empty))
+def change_sets(files: DataFrame, fallback: bool = True, most: int = 8) -> DataFrame:
+    """Rows (pr, changes_by_module): per change set an array of (module, files, highlights), modules in fixed order.
+
+    ``files`` has (pr, file_ord, path, classification, risk, said). A module has the
+    deduplicated basenames of its files in file order and the union of their highlights:
+    evidence, risk evidence and symbols, the first ``most`` of each file; of equal
+    basenames, whatever their module, the last file counts. A module without any gets a
+    text by its name. Both groupings hold the rows of a change set together, so files
+    that are dealt by ``pr`` are not shuffled again.
+    """
+    empty, rank = F.expr("cast(array() as array<string>)"), F.array_position(F.array(*(F.lit(m) for m in MODULES)), F.col("module"))
+    whole = F.slice(F.array_distinct(F.concat("classification.evidence", "risk.evidence", F.coalesce("said", empty))), 1, most)
+    d = files.select("pr", "file_ord", basename(F.col("path")).alias("name"), (F.element_at(F.split("path", "/"), -1) != "").alias("named"), module_of(F.col("path")).alias("module"), whole.alias("h"))
+    d = d.withColumn("rank", rank)
+    first = F.array(*(F.struct(F.lit(k).alias("rank"), F.min(F.when(F.col("rank") == k, F.col("file_ord"))).alias("ord")) for k in range(1, len(MODULES) + 1)))
+    names = d.groupBy("pr", "name").agg(F.max_by("h", F.when(F.col("named"), F.col("file_ord"))).alias("h"), first.alias("places"))
+    placed = names.select("pr", "name", "h", F.inline(F.filter("places", lambda x: x["ord"].isNotNull())))
+    sets = placed.groupBy("pr").agg(F.array_sort(F.collect_list(F.struct("rank", "ord", "name", "h"))).alias("x"))
+
+    def of(k: int, module: str) -> Column:
+        own = F.filter("x", lambda x: x["rank"] == k)
+        said = F.array_distinct(F.flatten(F.filter(F.transform(own, lambda x: x["h"]), lambda h: h.isNotNull())))
+        return F.struct(F.lit(module).alias("module"), F.transform(own, lambda x: x["name"]).alias("files"), said.alias("highlights"))
+
+    mods = F.filter(F.array(*(of(k, m) for k, m in enumerate(MODULES, 1))), lambda m: F.size(m["files"]) > 0)
+    out = sets.select("pr", mods.alias("changes_by_module"))
     if fallback:
-        out = out.withColumn("highlights", F.when(F.size("highlights") > 0, F.col("highlights")).otherwise(F.array(fallback_highlight(F.col("module"), F.col("files")))))
+        text = lambda m: F.when(F.size(m["highlights"]) > 0, m["highlights"]).otherwise(F.array(fallback_highlight(m["module"], m["files"])))
+        out = out.withColumn("changes_by_module", F.transform("changes_by_module", lambda m: F.struct(m["module"].alias("module"), m["files"].alias("files"), text(m).alias("highlights"))))
     return out
 
 
@@ -133,11 +150,9 @@ def pr_info(meta: DataFrame, prefixes: list[str]) -> DataFrame:
     return d.select("pr", "ticket_id", "title", "source_branch", "target_branch", author.alias("author"), F.when(F.size("commits") > 0, F.col("commits")).otherwise(F.array("title")).alias("commit_summary"))
 
 
-def documents(info: DataFrame, stats: DataFrame, mods: DataFrame) -> DataFrame:
-    """One payload a change set: rows (pr, payload) with the JSON text, as it is saved."""
-    changes = mods.groupBy("pr").agg(in_order(F.struct("module", "files", "highlights"), F.col("module_ord")).alias("changes_by_module"))
-    more = enriched(mods, info.select("pr", F.col("commit_summary").alias("commits")))
-    d = info.join(stats, "pr", "left").join(changes, "pr", "left").join(more, "pr", "left")
+def documents(info: DataFrame, stats: DataFrame, sets: DataFrame) -> DataFrame:
+    """One payload a change set: rows (pr, payload) with the JSON text, as it is saved; ``sets`` as made by ``change_sets``."""
+    d = with_notes(info.join(stats, "pr", "left").join(sets, "pr", "left"), F.col("commit_summary"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     empty = F.expr("cast(array() as array<struct<module:string,files:array<string>,highlights:array<string>>>)")
     whole = F.struct(
@@ -147,22 +162,21 @@ def documents(info: DataFrame, stats: DataFrame, mods: DataFrame) -> DataFrame:
     return d.select("pr", F.to_json(whole).alias("payload"))
 
 
-def enriched(mods: DataFrame, commits: DataFrame) -> DataFrame:
-    """Rows (pr, summary_insights, deployment_and_migration_notes, key_impacted_components) from modules with highlights and (pr, commits)."""
+def with_notes(sets: DataFrame, commits: Column) -> DataFrame:
+    """``sets`` with summary_insights, deployment_and_migration_notes and key_impacted_components, read off changes_by_module inside the row."""
     empty = F.expr("cast(array() as array<string>)")
-    f = F.col("f")
-    migration = f.endswith(".cs") & (f.contains("Migration") | f.contains("Add_Table") | f.contains("Add_Column"))
-    around = lambda two: F.concat(F.lit(two[0]), f, F.lit(two[1]))
-    notes = F.array_compact(F.array(F.when(migration, F.concat(F.lit(NOTE_MIGRATION), F.regexp_replace(f, r"\.cs", ""))), F.when(f.endswith(".sql"), F.concat(F.lit(NOTE_SQL), f)), F.when(f.endswith(".proto"), around(NOTE_PROTO)), F.when(f.contains("appsettings") | f.endswith(".env"), around(NOTE_SETTINGS))))
-    files = mods.select("pr", "module_ord", F.posexplode("files").alias("pos", "f")).withColumn("notes", notes)
-    per_file = files.groupBy("pr").agg(
-        F.flatten(in_order(F.col("notes"), F.col("module_ord"), F.col("pos"))).alias("notes"),
-        F.filter(in_order(F.when(f.contains("Controller") | f.contains("Service") | f.contains("Repository"), f), F.col("module_ord"), F.col("pos")), lambda x: x.isNotNull()).alias("components"),
-    )
-    tagged = F.transform(F.filter("highlights", lambda h: ~h.startswith(FALLBACK_PREFIX)), lambda h: F.concat(F.lit("["), F.col("module"), F.lit("] "), h))
-    insights = mods.select("pr", "module_ord", tagged.alias("said")).groupBy("pr").agg(F.slice(F.flatten(in_order(F.col("said"), F.col("module_ord"))), 1, 8).alias("insights"))
-    d = commits.join(per_file, "pr", "left").join(insights, "pr", "left")
-    plain = F.filter(F.slice(F.coalesce("commits", empty), 1, 5), lambda c: ~c.startswith("Merge branch"))
+
+    def notes(f: Column) -> Column:
+        migration = f.endswith(".cs") & (f.contains("Migration") | f.contains("Add_Table") | f.contains("Add_Column"))
+        around = lambda two: F.concat(F.lit(two[0]), f, F.lit(two[1]))
+        return F.array_compact(F.array(F.when(migration, F.concat(F.lit(NOTE_MIGRATION), F.regexp_replace(f, r"\.cs", ""))), F.when(f.endswith(".sql"), F.concat(F.lit(NOTE_SQL), f)), F.when(f.endswith(".proto"), around(NOTE_PROTO)), F.when(f.contains("appsettings") | f.endswith(".env"), around(NOTE_SETTINGS))))
+
+    each = lambda f: F.flatten(F.transform("changes_by_module", f))
+    tagged = lambda m: F.transform(F.filter(F.coalesce(m["highlights"], empty), lambda h: ~h.startswith(FALLBACK_PREFIX)), lambda h: F.concat(F.lit("["), m["module"], F.lit("] "), h))
+    d = sets.withColumns({"_files": F.coalesce(each(lambda m: F.coalesce(m["files"], empty)), empty), "_said": F.coalesce(F.slice(each(tagged), 1, 8), empty)})
+    components = F.filter("_files", lambda f: f.contains("Controller") | f.contains("Service") | f.contains("Repository"))
+    plain = F.filter(F.slice(F.coalesce(commits, empty), 1, 5), lambda c: ~c.startswith("Merge branch"))
     some = lambda c, text: F.when(F.size(c) > 0, c).otherwise(F.array(F.lit(text)))
-    insight = F.when(F.size(F.coalesce("insights", empty)) > 0, F.col("insights")).otherwise(plain)
-    return d.select("pr", some(insight, NO_INSIGHTS).alias("summary_insights"), some(F.coalesce("notes", empty), NO_NOTES).alias("deployment_and_migration_notes"), F.slice(F.coalesce("components", empty), 1, 10).alias("key_impacted_components"))
+    d = d.withColumn("_notes", F.flatten(F.transform("_files", notes))).withColumn("_said", F.when(F.size("_said") > 0, F.col("_said")).otherwise(plain))
+    found = {"summary_insights": some(F.col("_said"), NO_INSIGHTS), "deployment_and_migration_notes": some(F.col("_notes"), NO_NOTES), "key_impacted_components": F.slice(components, 1, 10)}
+    return d.withColumns(found).drop("_files", "_said", "_notes")

@@ -318,6 +318,20 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return map_batches(docs.select("id", "text"), start, "id long, h binary")
 
 
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """Rows (id_col, group_id) for every id that is not alone: documents linked by SimHash or by similarity.
+
+    SimHash comes first, as ``simhash_components`` has it: fingerprints of few differing
+    bits are links. What it misses near the bound is added by ``similar_groups``, and the
+    links of both are followed together, so no link of either is lost. ``group_id`` is
+    the smallest id reachable; null ids name no document.
+    """
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), text_col)
+    by_print = simhash_components(named, id_col, text_col).select(F.col(id_col).alias("a"), F.col("component_id").alias("b"))
+    by_sets = similar_groups(named, id_col, text_col, **how).select(F.col(id_col).alias("a"), F.col("group_id").alias("b"))
+    return components(by_print.unionByName(by_sets)).select(F.col("node").alias(id_col), F.col("root").alias("group_id"))
+
+
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, all columns, without near-duplicates: of each group the document with the smallest id.
 
@@ -330,6 +344,6 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
         twice = docs.join(again, "doc_id", "left_semi").select(row.alias("_row"))
         twice = twice.groupBy("_row.doc_id").agg(F.min_by("_row", F.struct(F.col("_row.text"), F.xxhash64("_row"))).alias("_row")).select("_row.*")
         docs = once.unionByName(twice.select(docs.columns))
-    groups = similar_groups(docs, **how)
+    groups = near_copies(docs, **how)
     gone = written(groups.where("doc_id <> group_id").select("doc_id"), "similar-gone")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -108,6 +108,32 @@ def test_of_rows_with_one_id_the_smallest_text_stays(spark):
         assert [x[:2] for x in got] == [(0, c), (0, c), (1, b), (2, a), (3, c)] and got[2] in ((1, b, "q"), (1, b, "r"))
 
 
+def _linked(texts):
+    """By brute force: fingerprints of at most 3 differing bits, or shingle sets similar to 0.8 or more."""
+    prints = np.array([simhash.simhash(t) for t in texts], np.int64).view(np.uint64).ravel()
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    bits = lambda a, b: int(prints[a] ^ prints[b]).bit_count() <= 3
+    return bits, lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+
+def test_one_of_each_follows_simhash_links_and_similarity(spark):
+    rng = random.Random(11)
+    words, pairs = [f"w{k}" for k in range(5000)], []
+    while len(pairs) < 4:
+        a = rng.choices(words, k=300)
+        b = [rng.choice(words) if k % 30 == 7 else w for k, w in enumerate(a)]
+        bits, similar = _linked([" ".join(a), " ".join(b)])
+        if bits(0, 1) and not similar(0, 1):
+            # linked to the pair's second text by similarity only: the group needs links of both kinds
+            pairs += [" ".join(a), " ".join(b), " ".join(b[:290])]
+    texts = pairs + _texts()
+    bits, similar = _linked(texts)
+    want = _groups(len(texts), lambda a, b: bits(a, b) or similar(a, b))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == sorted(set(want))
+    assert {r["doc_id"]: r["group_id"] for r in simhash.near_copies(df).collect()} == {k: g for k, g in enumerate(want) if want.count(g) > 1}
+
+
 def test_fingerprints_equal_a_plain_count_of_bits():
     import xxhash
 
